@@ -174,7 +174,8 @@ def expected_channels(days: DataFrame) -> DataFrame:
         .agg(F.count("*").alias("expected"))
         .withColumn("_last", number)
         .select(
-            F.explode(F.sequence(F.lit(1), F.col("_last"))).cast("long").alias("migration_id"),
+            F.explode(F.sequence(F.lit(1).cast("long"), F.col("_last").cast("long")))
+            .alias("migration_id"),
             "task", "expected",
         )
     )

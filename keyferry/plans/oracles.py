@@ -12,7 +12,7 @@ ev as (
 b as (
   select max(seq) * 2 // 5 as flip, max(seq) * 3 // 5 as rel, max(seq) // 50 as recent,
     min(ts)::date as d0, max(ts)::date as d1,
-    (min(ts)::date + (max(ts)::date - min(ts)::date) // 2)::timestamp as mid
+    (min(ts)::date + ((max(ts)::date - min(ts)::date) // 2)::int)::timestamp as mid
   from ev
 )"""
 
