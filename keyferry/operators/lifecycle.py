@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from keyferry import params
 from keyferry.functions import states as S
 from keyferry.operators.rounds import first_decision
-from keyferry.scratch import lookup_join, settle
+from keyferry.scratch import fits_broadcast, lookup_join, settle
 
 MIGRATION = "migration_id"
 
@@ -29,10 +29,6 @@ def _first(condition: Column, *extra: str) -> Column:
     )
 
 
-def _seconds(name: str, timeouts: dict[str, int]) -> Column:
-    return F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(timeouts[name]))
-
-
 def milestones(
     log: DataFrame,
     max_rounds: int = params.MAX_ROUNDS,
@@ -55,16 +51,10 @@ def milestones(
             _first((kind == S.PREPARE_TARGET) & ok).alias("_target"),
             _first(~ok).alias("_failed"),
         )
-        .withColumn(
-            "_both", F.col("_source").isNotNull() & F.col("_target").isNotNull()
-        )
         .withColumn(
             "prepared",
-            F.when(
-                F.col("_both"),
-                F.when(F.col("_source.pos") > F.col("_target.pos"), F.col("_source"))
-                .otherwise(F.col("_target")),
-            ),
+            F.when(F.col("_source.pos") > F.col("_target.pos"), F.col("_source"))
+            .when(F.col("_source.pos") < F.col("_target.pos"), F.col("_target")),
         )
         .withColumn(
             "prepare_failed",
@@ -76,13 +66,15 @@ def milestones(
         .select(MIGRATION, "start", "prepared", "prepare_failed"),
         "started",
     )
+    # No stage has more rows than there are started migrations: one size check holds for all.
+    fits = fits_broadcast(started)
 
-    def after(events: DataFrame, stage: DataFrame, since: str) -> DataFrame:
-        joined = lookup_join(events, stage, [MIGRATION], F.col("pos"))
-        return joined.where(F.col("pos") > F.col(since))
+    def after(events: DataFrame, stage: DataFrame) -> DataFrame:
+        joined = lookup_join(events, stage, [MIGRATION], F.col("pos"), fits=fits)
+        return joined.where("pos > _since")
 
     starts = started.select(MIGRATION, F.col("start.pos").alias("_since"))
-    aborted = after(log.where(kind == S.ABORT), starts, "_since").groupBy(MIGRATION).agg(
+    aborted = after(log.where(kind == S.ABORT), starts).groupBy(MIGRATION).agg(
         _first(F.lit(True), "reason").alias("abort")
     )
 
@@ -91,23 +83,16 @@ def milestones(
         F.col("start.pos").alias("_since"),
         F.col("prepared.pos").alias("_prepared"),
     )
-    reports = after(log.where(kind == S.ROUND_COMPLETE), prepares, "_since")
+    reports = after(log.where(kind == S.ROUND_COMPLETE), prepares)
     early = reports.where("_prepared is null or pos < _prepared").groupBy(MIGRATION).agg(
         F.count("*").alias("earlier")
     )
-    counted = lookup_join(
-        reports.where("pos > _prepared").select(
-            MIGRATION, F.col("pos").alias("ord"), "at_ts", "delta_size", "converged"
-        ),
-        settle(early, "early-reports"),
-        [MIGRATION],
-        F.col("ord"),
-        "left",
-    ).withColumn("earlier", F.coalesce("earlier", F.lit(0)))
+    counted = reports.where("pos > _prepared").select(
+        MIGRATION, F.col("pos").alias("ord"), "at_ts", "delta_size", "converged"
+    )
     decided = settle(
-        first_decision(counted, max_rounds, max_non_decreasing).select(
-            MIGRATION,
-            F.struct(F.col("ord").alias("pos"), "at_ts", "decision").alias("decided"),
+        first_decision(counted, max_rounds, max_non_decreasing, early).select(
+            MIGRATION, F.struct(F.col("ord").alias("pos"), "at_ts", "decision").alias("decided")
         ),
         "decided",
     )
@@ -116,13 +101,13 @@ def milestones(
         MIGRATION, F.col("decided.pos").alias("_since")
     )
     aligned = settle(
-        after(log.where(kind == S.BARRIER_ALIGNED), waiting, "_since")
+        after(log.where(kind == S.BARRIER_ALIGNED), waiting)
         .groupBy(MIGRATION)
         .agg(_first(F.lit(True)).alias("aligned")),
         "aligned",
     )
     cut = aligned.select(MIGRATION, F.col("aligned.pos").alias("_since"))
-    final = after(log.where(kind == S.FINAL_DELTA_COMPLETE), cut, "_since").groupBy(MIGRATION).agg(
+    final = after(log.where(kind == S.FINAL_DELTA_COMPLETE), cut).groupBy(MIGRATION).agg(
         _first(F.lit(True), "ok").alias("final")
     )
     return (
@@ -138,96 +123,88 @@ def resolve(
 ) -> DataFrame:
     """Final state of each migration from its milestones.
 
-    Walks the four live states in order. A state ends by the earlier of its own event and an abort;
-    if that comes after the state's deadline (or is missing and ``now`` is past it) the migration
-    is aborted at the deadline instead.
+    A migration has at most six milestones; they are walked in log order. One that comes after the
+    deadline of the present state finds the migration aborted at the deadline. ``now`` is looked at
+    last, for migrations without a further milestone.
     """
     limits = {**params.TIMEOUTS_S, **(timeouts or {})}
-    null = F.lit(None)
-    walk = stages.withColumn("_now", now).select(
-        "*",
-        F.lit("INIT").alias("state"),
-        F.col("start.at_ts").alias("entered_at"),
-        F.lit(False).alias("_over"),
-        null.cast("string").alias("reason"),
-        null.cast("timestamp_ntz").alias("ended_at"),
-        null.cast("long").alias("ended_pos"),
-        null.cast("string").alias("timed_out_in"),
-        null.cast("timestamp_ntz").alias("left_at"),
-    )
-    abort = F.col("abort")
-    ok = F.coalesce("final.ok", F.lit(True))
+
+    def step(of: str, since: str | None, to: Column | str, why: Column | str | None = None) -> Column:
+        # ``since`` is the state the milestone ends; null is any.
+        return F.when(
+            F.col(of).isNotNull(),
+            F.struct(
+                F.col(f"{of}.pos").alias("pos"),
+                F.col(f"{of}.at_ts").alias("at_ts"),
+                F.lit(since).cast("string").alias("since"),
+                (F.lit(to) if isinstance(to, str) else to).alias("to"),
+                (why if isinstance(why, Column) else F.lit(why)).cast("string").alias("why"),
+            ),
+        )
+
     decision = F.col("decided.decision")
-    # Per state: its ending events in log order of precedence, with next state and reason.
-    endings = [
-        ("INIT", [
-            ("prepare_failed", F.lit("ABORTED"), F.lit("prepare failed")),
-            ("prepared", F.lit("PRE_COPY"), null),
-        ]),
-        ("PRE_COPY", [(
-            "decided",
+    ok = F.coalesce("final.ok", F.lit(True))
+    milestones_ = F.array(
+        step("prepare_failed", "INIT", "ABORTED", "prepare failed"),
+        step("prepared", "INIT", "PRE_COPY"),
+        step(
+            "decided", "PRE_COPY",
             F.when(decision == "AWAIT_BARRIER", decision).otherwise("ABORTED"),
             F.when(decision == "DIVERGED", "divergence")
             .when(decision == "MAX_ROUNDS", "maximum rounds"),
-        )]),
-        ("AWAIT_BARRIER", [("aligned", F.lit("FINALIZING"), null)]),
-        ("FINALIZING", [(
-            "final",
-            F.when(ok, "COMMITTED").otherwise("ABORTED"),
-            F.when(~ok, "final delta failed"),
-        )]),
-    ]
-    for state, ends in endings:
-        here = ~F.col("_over") & (F.col("state") == state)
-        deadline = F.col("entered_at") + _seconds(state, limits)
-        event = F.struct(
-            F.col("abort.pos").alias("pos"), F.col("abort.at_ts").alias("at_ts"),
-            F.lit("ABORTED").alias("to"), F.coalesce("abort.reason", F.lit("abort")).alias("why"),
-        )
-        event = F.when(abort.isNotNull(), event)
-        for name, to, why in reversed(ends):
-            own = F.struct(
-                F.col(f"{name}.pos").alias("pos"), F.col(f"{name}.at_ts").alias("at_ts"),
-                to.alias("to"), why.cast("string").alias("why"),
-            )
-            first = F.col(name).isNotNull() & (
-                event.isNull() | (F.col(f"{name}.pos") < event["pos"])
-            )
-            event = F.when(first, own).otherwise(event)
-        walk = walk.withColumn("_here", here).withColumn("_deadline", deadline).withColumn(
-            "_event", event
-        )
-        at = F.coalesce("_event.at_ts", "_now")
-        late = F.col("_here") & (at > F.col("_deadline"))
-        moved = F.col("_here") & ~late & F.col("_event").isNotNull()
-        to = F.col("_event.to")
-        ends_here = moved & to.isin(S.TERMINAL)
-
-        def after(value_late, value_moved, keep: str) -> Column:
-            return F.when(F.col("_late"), value_late).when(F.col("_moved"), value_moved).otherwise(
-                F.col(keep)
-            )
-
-        walk = walk.withColumn("_late", late).withColumn("_moved", moved).withColumn(
-            "_ends", ends_here
+        ),
+        step("aligned", "AWAIT_BARRIER", "FINALIZING"),
+        step(
+            "final", "FINALIZING",
+            F.when(ok, "COMMITTED").otherwise("ABORTED"), F.when(~ok, "final delta failed"),
+        ),
+        step("abort", None, "ABORTED", F.coalesce("abort.reason", F.lit("abort"))),
+    )
+    end_of_log = F.struct(
+        F.lit(None).cast("long").alias("pos"), F.col("_now").alias("at_ts"),
+        F.lit("none").alias("since"), F.lit(None).cast("string").alias("to"),
+        F.lit(None).cast("string").alias("why"),
+    )
+    steps = F.concat(
+        F.sort_array(F.filter(milestones_, lambda m: m.isNotNull())), F.array(end_of_log)
+    )
+    begin = F.struct(
+        F.lit("INIT").alias("state"),
+        F.col("start.at_ts").alias("entered_at"),
+        F.lit(None).cast("string").alias("reason"),
+        F.lit(None).cast("timestamp_ntz").alias("ended_at"),
+        F.lit(None).cast("long").alias("ended_pos"),
+        F.lit(None).cast("string").alias("timed_out_in"),
+        F.lit(None).cast("timestamp_ntz").alias("left_at"),
+    )
+    seconds = F.create_map(*[F.lit(x) for pair in limits.items() for x in pair])
+
+    def walk(at: Column, m: Column) -> Column:
+        limit = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds[at["state"]])
+        deadline = F.when(S.is_active(at["state"]), at["entered_at"] + limit)
+        late = F.coalesce(m["at_ts"] > deadline, F.lit(False))
+        moves = ~late & S.is_active(at["state"]) & (
+            m["since"].isNull() | (m["since"] == at["state"])
         )
-        walk = walk.select(
-            *[c for c in walk.columns if c not in (
-                "state", "entered_at", "_over", "reason", "ended_at", "ended_pos", "timed_out_in",
-                "left_at", "_here", "_deadline", "_event", "_late", "_moved", "_ends")],
-            after(F.lit("ABORTED"), to, "state").alias("state"),
-            after(F.col("_deadline"), F.col("_event.at_ts"), "entered_at").alias("entered_at"),
-            (F.col("_over") | F.col("_late") | F.col("_ends")).alias("_over"),
-            after(F.lit(f"timeout {state}"), F.col("_event.why"), "reason").alias("reason"),
-            F.when(F.col("_late"), F.col("_deadline"))
-            .when(F.col("_ends"), F.col("_event.at_ts"))
-            .otherwise(F.col("ended_at")).alias("ended_at"),
-            F.when(F.col("_ends"), F.col("_event.pos")).otherwise(F.col("ended_pos"))
-            .alias("ended_pos"),
-            F.when(F.col("_late"), state).otherwise(F.col("timed_out_in")).alias("timed_out_in"),
-            F.when(F.col("_late"), at).otherwise(F.col("left_at")).alias("left_at"),
+        ends = moves & S.is_terminal(m["to"])
+        return F.struct(
+            F.when(late, "ABORTED").when(moves, m["to"]).otherwise(at["state"]).alias("state"),
+            F.when(late, deadline).when(moves, m["at_ts"]).otherwise(at["entered_at"])
+            .alias("entered_at"),
+            F.when(late, F.concat(F.lit("timeout "), at["state"])).when(moves, m["why"])
+            .otherwise(at["reason"]).alias("reason"),
+            F.when(late, deadline).when(ends, m["at_ts"]).otherwise(at["ended_at"])
+            .alias("ended_at"),
+            F.when(ends, m["pos"]).otherwise(at["ended_pos"]).alias("ended_pos"),
+            F.when(late, at["state"]).otherwise(at["timed_out_in"]).alias("timed_out_in"),
+            F.when(late, m["at_ts"]).otherwise(at["left_at"]).alias("left_at"),
         )
-    return walk.drop("_over", "_now")
+
+    return (
+        stages.withColumn("_now", now)
+        .withColumn("_end", F.aggregate(steps, begin, walk))
+        .select(*stages.columns, "_end.*")
+    )
 
 
 def lifecycle(

@@ -80,11 +80,13 @@ def first_decision(
     reports: DataFrame,
     max_rounds: int = params.MAX_ROUNDS,
     max_non_decreasing: int = params.MAX_NON_DECREASING,
+    earlier: DataFrame | None = None,
 ) -> DataFrame:
     """The first report of each migration that ends its rounds, and why.
 
-    ``reports`` has ``migration_id, ord, delta_size, converged, earlier`` (reports counted before
-    these, 0 if none) and any further columns, which are kept. A report converges, else diverges if
+    ``reports`` has ``migration_id, ord, delta_size, converged`` and any further columns, which are
+    kept; ``earlier`` has ``migration_id, earlier``, the number of reports counted before these. A
+    report converges, else diverges if
     its delta is the ``max_non_decreasing``-th in a row that did not shrink, else is the last one
     allowed. No report after the ``max_rounds``-th can be the first decision, so those are dropped
     before the shuffle and a migration costs at most ``max_rounds`` rows.
@@ -93,6 +95,12 @@ def first_decision(
     numbered = reports.withColumn("_i", F.row_number().over(in_order)).where(
         F.col("_i") <= max_rounds
     )
+    if earlier is None:
+        numbered = numbered.withColumn("earlier", F.lit(0))
+    else:
+        numbered = numbered.join(earlier, "migration_id", "left").withColumn(
+            "earlier", F.coalesce("earlier", F.lit(0))
+        )
     previous = F.lag("delta_size").over(in_order)
     flagged = numbered.withColumn("_stuck", F.coalesce(F.col("delta_size") >= previous, F.lit(False)))
     runs = flagged.withColumn("_run", F.count_if(~F.col("_stuck")).over(in_order))
@@ -120,8 +128,7 @@ def precopy_outcome(
 ) -> DataFrame:
     """Where each migration's reported rounds (2 and later) lead, and at which round."""
     reports = rounds.where("round >= 2").select(
-        "migration_id", F.col("round").alias("ord"), "delta_size", "converged",
-        F.lit(0).alias("earlier"),
+        "migration_id", F.col("round").alias("ord"), "delta_size", "converged"
     )
     decided = first_decision(reports, max_rounds, max_non_decreasing)
     last = rounds.groupBy("migration_id").agg(F.max("round").alias("_last"))

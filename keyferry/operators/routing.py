@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from keyferry import params
 from keyferry.operators.placement import group_table
-from keyferry.scratch import fits_broadcast, settle
+from keyferry.scratch import settle
 
 
 def overrides_from_barriers(barriers: DataFrame) -> DataFrame:
@@ -86,8 +86,11 @@ def route_effective(
     and records stay where they are. A larger one goes through ``_route_by_blocks``.
     """
     intervals = settle(override_intervals(log), "intervals")
-    most = intervals.groupBy("key_group").count().agg(F.max("count")).first()[0] or 0
-    if not fits_broadcast(intervals, max_rows) or most > max_intervals:
+    size = intervals.groupBy("key_group").agg(F.count("*").alias("n")).agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
+        F.coalesce(F.max("n"), F.lit(0)).alias("most"),
+    ).first()
+    if size["rows"] > max_rows or size["most"] > max_intervals:
         return _route_by_blocks(records, log, block)
     i = F.broadcast(intervals).alias("i")
     r = records.alias("r")

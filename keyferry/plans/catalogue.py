@@ -605,7 +605,7 @@ def restart_recovery(spark: SparkSession, d: str) -> DataFrame:
     """Final counts of a query stopped and restarted on its checkpoint, with the owners after it:
     committed overrides (odd plans) stay, those in flight are gone."""
     b = bounds(spark, d)
-    job = _phased(spark, d, b, lambda r: jobs.running_counts(_keyed(r)), "append", "restart")
+    job = _phased(spark, d, b, lambda r: jobs.key_counts(_keyed(r)), "update", "restart")
     totals = job.result(spark).groupBy("key").agg(F.max("n").alias("n"))
     committed = inputs.plans(spark, d).where("plan_id % 2 = 1").select("key_group", "target")
     return with_groups(totals).join(F.broadcast(committed), "key_group", "left").select(

@@ -124,7 +124,7 @@ def override_log(daily: DataFrame) -> DataFrame:
         F.lit(-1).alias("pos"),
         F.lit(None).cast("int").alias("target"),
     )
-    return settle(moves.unionByName(clears), "override-log")
+    return moves.unionByName(clears)
 
 
 def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:

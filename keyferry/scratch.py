@@ -57,14 +57,17 @@ def lookup_join(
     how: str = "inner",
     max_rows: int = params.BROADCAST_ROWS,
     salts: int = params.SALTS,
+    fits: bool | None = None,
 ) -> DataFrame:
-    """Join ``big`` to a settled ``lookup`` with one row per key, however skewed ``big`` is.
+    """Join ``big`` to a ``lookup`` with one row per key, however skewed ``big`` is.
+
+    The lookup must be settled, so that counting it is cheap, or ``fits`` says whether it is small.
 
     Small lookups are broadcast, so ``big`` is not shuffled. Beyond ``max_rows`` each lookup row is
     copied ``salts`` times and the join runs on (key, salt), so that one key of ``big`` spreads over
     ``salts`` tasks. ``how`` is ``inner``, ``left``, ``left_semi`` or ``left_anti``.
     """
-    if fits_broadcast(lookup, max_rows):
+    if fits_broadcast(lookup, max_rows) if fits is None else fits:
         return big.join(F.broadcast(lookup), on, how)
     salted = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     spread = big.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
