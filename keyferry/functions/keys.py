@@ -14,7 +14,9 @@ def key_hash(key: Column) -> Column:
 
 
 def key_group(key: Column, num_groups: int = NUM_GROUPS) -> Column:
-    return F.pmod(key_hash(key), F.lit(num_groups)).cast("int")
+    """A null key counts as group 0. So the column is never null, and joins on it add no null
+    filter, which would compute every hash twice."""
+    return F.coalesce(F.pmod(key_hash(key), F.lit(num_groups)).cast("int"), F.lit(0))
 
 
 def owner_of_group(

@@ -52,7 +52,8 @@ def is_legal_move(from_state: Column, to_state: Column) -> Column:
 def state_table(spark: SparkSession) -> DataFrame:
     """One row per state with its three predicates."""
     state = F.col("state")
-    return spark.createDataFrame([(s,) for s in STATES], "state string").select(
+    names = F.explode(F.array(*[F.lit(s) for s in STATES])).alias("state")
+    return spark.range(1).select(names).select(
         state,
         is_terminal(state).alias("is_terminal"),
         is_active(state).alias("is_active"),

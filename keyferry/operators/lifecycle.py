@@ -33,6 +33,7 @@ def milestones(
     log: DataFrame,
     max_rounds: int = params.MAX_ROUNDS,
     max_non_decreasing: int = params.MAX_NON_DECREASING,
+    max_rows: int = params.BROADCAST_ROWS,
 ) -> DataFrame:
     """Per started migration the events that could end each state, timeouts not yet considered.
 
@@ -67,7 +68,7 @@ def milestones(
         "started",
     )
     # No stage has more rows than there are started migrations: one size check holds for all.
-    fits = fits_broadcast(started)
+    fits = fits_broadcast(started, max_rows)
 
     def after(events: DataFrame, stage: DataFrame) -> DataFrame:
         joined = lookup_join(events, stage, [MIGRATION], F.col("pos"), fits=fits)
@@ -212,9 +213,10 @@ def lifecycle(
     timeouts: dict[str, int] | None = None,
     max_rounds: int = params.MAX_ROUNDS,
     max_non_decreasing: int = params.MAX_NON_DECREASING,
+    max_rows: int = params.BROADCAST_ROWS,
 ) -> DataFrame:
     """One settled row per started migration: milestones and final state, "now" being the log's end."""
-    stages = milestones(log, max_rounds, max_non_decreasing)
+    stages = milestones(log, max_rounds, max_non_decreasing, max_rows)
     now = log.agg(F.max("at_ts")).scalar()
     return settle(resolve(stages, now, timeouts), "lifecycle")
 

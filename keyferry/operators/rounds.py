@@ -13,65 +13,70 @@ DAY_MS = 86_400_000
 
 
 def round_schedule(spark: SparkSession, start: str, rounds: int = 12) -> DataFrame:
-    """Intervals ``[from_ts, to_ts)`` of rounds 2.. after the full copy at ``start``.
+    """Intervals ``[from_ts, to_ts)`` of the rounds of a copy that begins at ``start``.
 
-    Schedule 0 halves its interval each round, schedule 1 keeps a day.
+    Round 1 is the full copy and has no ``from_ts``. After it, schedule 0 halves its interval each
+    round from a day on, schedule 1 keeps a day. Two rows per round.
     """
-    rows = []
-    at = {0: 0, 1: 0}
-    for r in range(2, rounds + 1):
-        for schedule, length in ((0, DAY_MS >> (r - 2)), (1, DAY_MS)):
-            rows.append((schedule, r, at[schedule], at[schedule] + length))
-            at[schedule] += length
-    offsets = spark.createDataFrame(rows, "schedule int, round int, from_ms long, to_ms long")
+    double = 2 * DAY_MS
+    halving = [
+        F.expr(f"{double}L - shiftright({double}L, cast(id as int) - {k})") for k in (2, 1)
+    ]
+    constant = [(F.col("id") - k) * DAY_MS for k in (2, 1)]
+    spans = [
+        F.struct(F.lit(i).alias("schedule"), lo.alias("from_ms"), hi.alias("to_ms"))
+        for i, (lo, hi) in enumerate((halving, constant))
+    ]
     begin = f"timestamp_ntz'{start}'"
-    return offsets.select(
-        "schedule",
+    at = "make_dt_interval(0, 0, 0, {} / 1000)"
+    return spark.range(1, rounds + 1).select(
+        F.col("id").cast("int").alias("round"), F.explode(F.array(*spans)).alias("s")
+    ).select(
+        "s.schedule",
         "round",
-        F.expr(f"{begin} + make_dt_interval(0, 0, 0, from_ms / 1000)").alias("from_ts"),
-        F.expr(f"{begin} + make_dt_interval(0, 0, 0, to_ms / 1000)").alias("to_ts"),
+        F.expr(f"if(round = 1, null, {begin} + {at.format('s.from_ms')})").alias("from_ts"),
+        F.expr(f"if(round = 1, {begin}, {begin} + {at.format('s.to_ms')})").alias("to_ts"),
     )
 
 
 def precopy_rounds(
     records: DataFrame,
     schedule: DataFrame,
-    start: str,
+    rounds: int = 12,
     converged_below: int = params.CONVERGED_BELOW,
 ) -> DataFrame:
     """Every non-empty key-group as a migration: entries and bytes copied in each round.
 
-    Round 1 copies all keys seen before ``start``; later rounds the keys changed in their interval,
-    also when there are none. ``schedule`` has a few dozen rows by construction. Records need
-    ``key, ts, key_group``.
+    A round copies the keys changed in its interval, round 1 all keys so far; rounds without change
+    have zeros. One scan: records are matched with the schedule, which has two rows per round, and
+    reduced to distinct keys before they are shuffled. Records need ``key, ts, key_group``.
     """
-    which = F.pmod(F.col("key_group"), F.lit(2))
-    in_round = (which == F.col("schedule")) & (F.col("ts") >= F.col("from_ts")) & (
-        F.col("ts") < F.col("to_ts")
+    in_round = (
+        (F.pmod(F.col("key_group"), F.lit(2)) == F.col("schedule"))
+        & (F.col("from_ts").isNull() | (F.col("ts") >= F.col("from_ts")))
+        & (F.col("ts") < F.col("to_ts"))
     )
-    begin = F.expr(f"timestamp_ntz'{start}'")
-    full = records.where(F.col("ts") < begin).select("key_group", F.lit(1).alias("round"), "key")
-    later = (
-        records.where(F.col("ts") >= begin)
-        .join(F.broadcast(schedule), in_round)
-        .select("key_group", "round", "key")
-    )
-    changed = full.unionByName(later).distinct()
+    # Records outside all rounds stay, so that their group is seen.
+    changed = records.join(F.broadcast(schedule), in_round, "left").select(
+        "key_group", "round", "key"
+    ).distinct()
     sizes = changed.groupBy("key_group", "round").agg(
-        F.count("*").alias("_entries"),
-        F.sum(keys.entry_bytes(F.col("key"))).alias("_bytes"),
+        F.count("*").alias("entries"), F.sum(keys.entry_bytes(F.col("key"))).alias("bytes")
     )
-    groups = records.select("key_group").distinct()
-    steps = schedule.select("schedule", "round").unionByName(
-        schedule.select("schedule", F.lit(1).alias("round")).distinct()
+    # At most one value per round and group.
+    by_round = F.map_from_entries(F.collect_list(
+        F.when(F.col("round").isNotNull(), F.struct("round", F.struct("entries", "bytes")))
+    ))
+    per_group = sizes.groupBy("key_group").agg(by_round.alias("_sizes")).select(
+        "key_group", "_sizes", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round")
     )
-    grid = groups.withColumn("schedule", which).join(F.broadcast(steps), "schedule")
-    entries = F.coalesce("_entries", F.lit(0))
-    return grid.join(sizes, ["key_group", "round"], "left").select(
+    size = F.try_element_at("_sizes", F.col("round"))
+    entries = F.coalesce(size["entries"], F.lit(0))
+    return per_group.select(
         F.col("key_group").cast("long").alias("migration_id"),
         "round",
         entries.alias("delta_size"),
-        F.coalesce("_bytes", F.lit(0)).alias("bytes"),
+        F.coalesce(size["bytes"], F.lit(0)).alias("bytes"),
         (entries < converged_below).alias("converged"),
     )
 

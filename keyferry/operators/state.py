@@ -51,9 +51,10 @@ def state_snapshot(
 def extract_groups(state: DataFrame, groups: DataFrame) -> DataFrame:
     """Entries of exactly the given key-groups, of every named state.
 
-    On a table partitioned by ``key_group`` only those directories are read.
+    On a table partitioned by ``key_group`` only those directories are read: the filter on the small
+    side, which all groups pass, is what makes the optimizer prune partitions at run time.
     """
-    wanted = groups.select("key_group").distinct()
+    wanted = groups.select("key_group").where("key_group >= 0").distinct()
     return state.join(F.broadcast(wanted), "key_group", "left_semi")
 
 

@@ -348,7 +348,7 @@ def precopy_rounds(spark: SparkSession, d: str) -> DataFrame:
     b = bounds(spark, d)
     schedule = rounds.round_schedule(spark, b.midpoint)
     ev = with_groups(records(spark, d).select("seq", "ts", "key"))
-    return rounds.precopy_rounds(ev, schedule, b.midpoint)
+    return rounds.precopy_rounds(ev, schedule)
 
 
 def precopy_outcome(spark: SparkSession, d: str) -> DataFrame:

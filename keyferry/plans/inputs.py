@@ -184,7 +184,7 @@ def expected_channels(days: DataFrame) -> DataFrame:
 def round_table(spark: SparkSession, sf_dir: str, b: Bounds) -> DataFrame:
     ev = with_groups(records(spark, sf_dir))
     schedule = rounds.round_schedule(spark, b.midpoint)
-    return settle(rounds.precopy_rounds(ev, schedule, b.midpoint), "rounds")
+    return settle(rounds.precopy_rounds(ev, schedule), "rounds")
 
 
 def event_log(spark: SparkSession, round_rows: DataFrame, b: Bounds) -> DataFrame:

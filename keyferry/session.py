@@ -15,9 +15,14 @@ SETTINGS = {
 }
 
 
-def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
+def local_session(
+    cores: str = "*",
+    partitions: int = 8,
+    memory: str = "8g",
+    settings: dict[str, str] | None = None,
+) -> SparkSession:
     builder = SparkSession.builder.master(f"local[{cores}]").appName("keyferry")
-    for name, value in SETTINGS.items():
+    for name, value in {**SETTINGS, **(settings or {})}.items():
         builder = builder.config(name, value)
     spark = (
         builder.config("spark.sql.shuffle.partitions", str(partitions))
