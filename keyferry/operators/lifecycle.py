@@ -130,81 +130,62 @@ def resolve(
     """
     limits = {**params.TIMEOUTS_S, **(timeouts or {})}
 
-    def step(of: str, since: str | None, to: Column | str, why: Column | str | None = None) -> Column:
+    def step(of: str, since: str | None, to: str, why: str = "null") -> str:
         # ``since`` is the state the milestone ends; null is any.
-        return F.when(
-            F.col(of).isNotNull(),
-            F.struct(
-                F.col(f"{of}.pos").alias("pos"),
-                F.col(f"{of}.at_ts").alias("at_ts"),
-                F.lit(since).cast("string").alias("since"),
-                (F.lit(to) if isinstance(to, str) else to).alias("to"),
-                (why if isinstance(why, Column) else F.lit(why)).cast("string").alias("why"),
-            ),
+        return (
+            f"if({of} is null, null, named_struct('pos', {of}.pos, 'at_ts', {of}.at_ts, 'since', "
+            f"cast({repr(since) if since else 'null'} as string), 'to', {to}, "
+            f"'why', cast({why} as string)))"
         )
 
-    decision = F.col("decided.decision")
-    ok = F.coalesce("final.ok", F.lit(True))
-    milestones_ = F.array(
-        step("prepare_failed", "INIT", "ABORTED", "prepare failed"),
-        step("prepared", "INIT", "PRE_COPY"),
+    steps = ", ".join([
+        step("prepare_failed", "INIT", "'ABORTED'", "'prepare failed'"),
+        step("prepared", "INIT", "'PRE_COPY'"),
         step(
             "decided", "PRE_COPY",
-            F.when(decision == "AWAIT_BARRIER", decision).otherwise("ABORTED"),
-            F.when(decision == "DIVERGED", "divergence")
-            .when(decision == "MAX_ROUNDS", "maximum rounds"),
+            "if(decided.decision = 'AWAIT_BARRIER', 'AWAIT_BARRIER', 'ABORTED')",
+            "case decided.decision when 'DIVERGED' then 'divergence' "
+            "when 'MAX_ROUNDS' then 'maximum rounds' end",
         ),
-        step("aligned", "AWAIT_BARRIER", "FINALIZING"),
+        step("aligned", "AWAIT_BARRIER", "'FINALIZING'"),
         step(
-            "final", "FINALIZING",
-            F.when(ok, "COMMITTED").otherwise("ABORTED"), F.when(~ok, "final delta failed"),
+            "final", "FINALIZING", "if(coalesce(final.ok, true), 'COMMITTED', 'ABORTED')",
+            "if(coalesce(final.ok, true), null, 'final delta failed')",
         ),
-        step("abort", None, "ABORTED", F.coalesce("abort.reason", F.lit("abort"))),
-    )
-    end_of_log = F.struct(
-        F.lit(None).cast("long").alias("pos"), F.col("_now").alias("at_ts"),
-        F.lit("none").alias("since"), F.lit(None).cast("string").alias("to"),
-        F.lit(None).cast("string").alias("why"),
+        step("abort", None, "'ABORTED'", "coalesce(abort.reason, 'abort')"),
+    ])
+    end_of_log = (
+        "named_struct('pos', cast(null as bigint), 'at_ts', _now, 'since', 'none', "
+        "'to', cast(null as string), 'why', cast(null as string))"
     )
-    steps = F.concat(
-        F.sort_array(F.filter(milestones_, lambda m: m.isNotNull())), F.array(end_of_log)
+    begin = (
+        "named_struct('state', 'INIT', 'entered_at', start.at_ts, 'reason', cast(null as string), "
+        "'ended_at', cast(null as timestamp_ntz), 'ended_pos', cast(null as bigint), "
+        "'timed_out_in', cast(null as string), 'left_at', cast(null as timestamp_ntz))"
     )
-    begin = F.struct(
-        F.lit("INIT").alias("state"),
-        F.col("start.at_ts").alias("entered_at"),
-        F.lit(None).cast("string").alias("reason"),
-        F.lit(None).cast("timestamp_ntz").alias("ended_at"),
-        F.lit(None).cast("long").alias("ended_pos"),
-        F.lit(None).cast("string").alias("timed_out_in"),
-        F.lit(None).cast("timestamp_ntz").alias("left_at"),
-    )
-    seconds = F.create_map(*[F.lit(x) for pair in limits.items() for x in pair])
-
-    def walk(at: Column, m: Column) -> Column:
-        limit = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds[at["state"]])
-        deadline = F.when(S.is_active(at["state"]), at["entered_at"] + limit)
-        late = F.coalesce(m["at_ts"] > deadline, F.lit(False))
-        moves = ~late & S.is_active(at["state"]) & (
-            m["since"].isNull() | (m["since"] == at["state"])
-        )
-        ends = moves & S.is_terminal(m["to"])
-        return F.struct(
-            F.when(late, "ABORTED").when(moves, m["to"]).otherwise(at["state"]).alias("state"),
-            F.when(late, deadline).when(moves, m["at_ts"]).otherwise(at["entered_at"])
-            .alias("entered_at"),
-            F.when(late, F.concat(F.lit("timeout "), at["state"])).when(moves, m["why"])
-            .otherwise(at["reason"]).alias("reason"),
-            F.when(late, deadline).when(ends, m["at_ts"]).otherwise(at["ended_at"])
-            .alias("ended_at"),
-            F.when(ends, m["pos"]).otherwise(at["ended_pos"]).alias("ended_pos"),
-            F.when(late, at["state"]).otherwise(at["timed_out_in"]).alias("timed_out_in"),
-            F.when(late, m["at_ts"]).otherwise(at["left_at"]).alias("left_at"),
-        )
-
-    return (
-        stages.withColumn("_now", now)
-        .withColumn("_end", F.aggregate(steps, begin, walk))
-        .select(*stages.columns, "_end.*")
+    seconds = " ".join(f"when '{state}' then {limit}" for state, limit in limits.items())
+    # Terminal states have no limit, so their deadline is null and nothing is late or moves.
+    deadline = f"(a.entered_at + make_dt_interval(0, 0, 0, case a.state {seconds} end))"
+    late = f"coalesce(m.at_ts > {deadline}, false)"
+    moves = f"(not {late} and {deadline} is not null and (m.since is null or m.since = a.state))"
+    ends = f"({moves} and m.to in ('COMMITTED', 'ABORTED'))"
+
+    def pick(when_late: str, moved: str, when_moved: str, keep: str) -> str:
+        return f"case when {late} then {when_late} when {moved} then {when_moved} else a.{keep} end"
+
+    walk = ", ".join([
+        "'state', " + pick("'ABORTED'", moves, "m.to", "state"),
+        "'entered_at', " + pick(deadline, moves, "m.at_ts", "entered_at"),
+        "'reason', " + pick("concat('timeout ', a.state)", moves, "m.why", "reason"),
+        "'ended_at', " + pick(deadline, ends, "m.at_ts", "ended_at"),
+        "'ended_pos', " + pick("a.ended_pos", ends, "m.pos", "ended_pos"),
+        "'timed_out_in', " + pick("a.state", "false", "null", "timed_out_in"),
+        "'left_at', " + pick("m.at_ts", "false", "null", "left_at"),
+    ])
+    in_order = f"concat(sort_array(filter(array({steps}), m -> m is not null)), array({end_of_log}))"
+    end = F.expr(f"aggregate({in_order}, {begin}, (a, m) -> named_struct({walk}))")
+    return stages.withColumn("_now", now).withColumn("_end", end).select(
+        *stages.columns, "_end.*"
     )
 
 

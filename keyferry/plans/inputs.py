@@ -195,83 +195,57 @@ def event_log(spark: SparkSession, round_rows: DataFrame, b: Bounds) -> DataFram
     (7 of 31), an abort (4 of 19), a late barrier (6 of 7), a failed final delta (4 of 5), no
     prepare at all (8 of 17), a late report (5 of 13).
     """
-    m = F.col("migration_id")
-
-    def one_in(n: int, rest: int):
-        return (m % n) == rest
-
-    outcome = rounds.precopy_outcome(round_rows).select(
-        "migration_id", "outcome", F.col("round").alias("last_round")
-    )
-    slow = F.when(one_in(31, 7), F.lit(60)).otherwise(F.lit(10))
-    slow_prepare = F.when(one_in(29, 12), F.lit(60)).otherwise(F.lit(10))
-
-    def round_s(number):
-        return slow_prepare + 10 + (number - 1) * slow
-
+    outcome = rounds.precopy_outcome(round_rows).selectExpr(
+        "migration_id as m",
+        "round as last_round",
+        "outcome = 'AWAIT_BARRIER' as converges",
+        "if(migration_id % 31 = 7, 60, 10) as slow",
+        "if(migration_id % 29 = 12, 60, 10) as prepare_s",
+    ).selectExpr("*", "prepare_s + 10 + last_round * slow as late_s")
     reports = (
         round_rows.where("round >= 2")
-        .join(outcome, "migration_id")
-        .where((F.col("round") <= F.col("last_round")) | (one_in(13, 5) & (F.col("round") == F.col("last_round") + 1)))
-        .select(
+        .join(outcome, F.col("migration_id") == F.col("m"))
+        .where("round <= last_round or (m % 13 = 5 and round = last_round + 1)")
+        .selectExpr(
             "migration_id",
-            (F.col("round") + 2).cast("long").alias("pos"),
-            round_s(F.col("round")).alias("at_s"),
-            F.lit(S.ROUND_COMPLETE).alias("kind"),
+            "cast(round + 2 as bigint) as pos",
+            "prepare_s + 10 + (round - 1) * slow as at_s",
+            f"'{S.ROUND_COMPLETE}' as kind",
             "delta_size", "bytes", "converged",
-            F.lit(None).cast("boolean").alias("ok"),
-            F.lit(None).cast("string").alias("reason"),
+            "cast(null as boolean) as ok",
+            "cast(null as string) as reason",
         )
     )
-    converged = F.col("outcome") == "AWAIT_BARRIER"
-    has_prepare = ~one_in(17, 8)
-    late_s = round_s(F.col("last_round") + 1)
-    aligned_s = late_s + F.when(one_in(7, 6), F.lit(120)).otherwise(F.lit(10))
-    late_pos = F.col("last_round") + 3
-
-    def event(condition, pos, at_s, kind, ok=None, size=None, reason=None):
-        return F.when(
-            condition,
-            F.struct(
-                pos.cast("long").alias("pos"),
-                at_s.cast("int").alias("at_s"),
-                F.lit(kind).alias("kind"),
-                (F.lit(None) if size is None else size).cast("long").alias("delta_size"),
-                (F.lit(None) if ok is None else ok).cast("boolean").alias("ok"),
-                F.lit(reason).cast("string").alias("reason"),
-            ),
+
+    def event(condition, pos, at_s, kind, size="null", ok="null", reason="null"):
+        return (
+            f"if({condition}, named_struct('pos', cast({pos} as bigint), 'at_s', {at_s}, "
+            f"'kind', '{kind}', 'delta_size', cast({size} as bigint), 'ok', cast({ok} as boolean), "
+            f"'reason', cast({reason} as string)), null)"
         )
 
-    control = outcome.select(
-        "migration_id",
-        F.explode(
-            F.filter(
-                F.array(
-                    event(one_in(11, 3), F.lit(0), F.lit(0), S.START_PRE_COPY),
-                    event(has_prepare, F.lit(1), F.lit(0), S.PREPARE_SOURCE, ok=F.lit(True)),
-                    event(has_prepare, F.lit(2), slow_prepare, S.PREPARE_TARGET, ok=~one_in(23, 9)),
-                    event(F.lit(True), F.lit(3), round_s(F.lit(1)), S.START_PRE_COPY),
-                    event(
-                        one_in(19, 4), late_pos + 1, late_s + 1, S.ABORT, reason="requested"
-                    ),
-                    event(converged, late_pos + 2, aligned_s, S.BARRIER_ALIGNED),
-                    event(
-                        converged, late_pos + 3, aligned_s + 10, S.FINAL_DELTA_COMPLETE,
-                        ok=~one_in(5, 4), size=m + 1,
-                    ),
-                ),
-                lambda e: e.isNotNull(),
-            )
-        ).alias("e"),
-    ).select(
-        "migration_id", "e.pos", "e.at_s", "e.kind", "e.delta_size",
-        F.lit(None).cast("long").alias("bytes"),
-        F.lit(None).cast("boolean").alias("converged"),
-        "e.ok", "e.reason",
+    aligned_s = "late_s + if(m % 7 = 6, 120, 10)"
+    control = ", ".join([
+        event("m % 11 = 3", 0, 0, S.START_PRE_COPY),
+        event("m % 17 <> 8", 1, 0, S.PREPARE_SOURCE, ok="true"),
+        event("m % 17 <> 8", 2, "prepare_s", S.PREPARE_TARGET, ok="m % 23 <> 9"),
+        event("true", 3, "prepare_s + 10", S.START_PRE_COPY),
+        event("m % 19 = 4", "last_round + 4", "late_s + 1", S.ABORT, reason="'requested'"),
+        event("converges", "last_round + 5", aligned_s, S.BARRIER_ALIGNED),
+        event(
+            "converges", "last_round + 6", f"{aligned_s} + 10", S.FINAL_DELTA_COMPLETE,
+            size="m + 1", ok="m % 5 <> 4",
+        ),
+    ])
+    control = outcome.selectExpr(
+        "m", f"explode(filter(array({control}), e -> e is not null)) as e"
+    ).selectExpr(
+        "m as migration_id", "e.pos", "e.at_s", "e.kind", "e.delta_size",
+        "cast(null as bigint) as bytes", "cast(null as boolean) as converged", "e.ok", "e.reason",
     )
     start = F.expr(f"timestamp_ntz'{b.midpoint}'")
     seconds = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("at_s"))
-    log = reports.unionByName(control.select(*reports.columns))
+    log = reports.unionByName(control)
     return settle(
         log.select(
             "migration_id", "pos", (start + seconds).alias("at_ts"), "kind",
