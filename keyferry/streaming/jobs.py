@@ -76,7 +76,7 @@ def key_counts(records: DataFrame) -> DataFrame:
 
 def running_counts(records: DataFrame, initial: DataFrame | None = None) -> DataFrame:
     """Every record with its key's count so far, from a moved state ``(key, n)`` if given."""
-    return in_order(records.select("key", "seq"), ["key"], ["seq"]).transformWithStateInPandas(
+    return in_order(records.select("key", "seq"), ["key"], ["seq"]).transformWithState(
         RunningCount(),
         RunningCount.OUTPUT,
         "append",
@@ -124,7 +124,7 @@ def hold_replay(records: DataFrame, control: DataFrame, lanes: int) -> DataFrame
     )
     return in_order(
         data.unionByName(marks), ["key_group", "lane"], ["seq", "ord"]
-    ).transformWithStateInPandas(HoldReplay(), HoldReplay.OUTPUT, "append", "none")
+    ).transformWithState(HoldReplay(), HoldReplay.OUTPUT, "append", "none")
 
 
 def lifecycles(log: DataFrame, timeouts: dict[str, int] | None = None) -> DataFrame:

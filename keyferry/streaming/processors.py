@@ -1,14 +1,14 @@
 """Stateful processors: running count, hold and replay, lifecycle.
 
-Each gets its rows in order and in Arrow chunks; what it keeps between rows lives in the state store.
+Each gets its rows in order, as an iterator; what it keeps between rows lives in the state store.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, GroupedData
+from pyspark.sql import DataFrame, GroupedData, Row
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from keyferry import params
@@ -28,23 +28,27 @@ def in_order(df: DataFrame, by: list[str], order: list[str]) -> GroupedData:
 
 
 class RunningCount(StatefulProcessor):
-    """Emit every record with its key's count so far. Can start from a moved state."""
+    """Emit every record with its key's count so far. Can start from a moved state.
+
+    One read and one write of the state per key and micro-batch.
+    """
 
     OUTPUT = "seq long, key string, n long"
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.count = handle.getValueState("count", "n long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
-        n = self.count.get()[0] if self.count.exists() else 0
-        for pdf in rows:
-            numbers = range(n + 1, n + 1 + len(pdf))
-            n += len(pdf)
-            yield pd.DataFrame({"seq": pdf["seq"], "key": pdf["key"], "n": numbers})
+        self.row = Row("seq", "key", "n")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        known = self.count.get()
+        n = known[0] if known else 0
+        for r in rows:
+            n += 1
+            yield self.row(r.seq, r.key, n)
         self.count.update((n,))
 
-    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        self.count.update((int(initialState["n"].iloc[0]),))
+    def handleInitialState(self, key, initialState: Row, timerValues) -> None:
+        self.count.update((initialState.n,))
 
     def close(self) -> None:
         pass
@@ -52,6 +56,7 @@ class RunningCount(StatefulProcessor):
 
 # Control records of a move, in the order they come.
 ARM, FLIP, RELEASE, CANCEL = "arm", "flip", "release", "cancel"
+NO_MOVE = ("other", None, None)
 
 
 class HoldReplay(StatefulProcessor):
@@ -59,87 +64,84 @@ class HoldReplay(StatefulProcessor):
 
     Grouped by (key_group, lane): a lane holds part of the group's keys, and control records go to
     all lanes. Rows carry ``control`` (null for records), ``source``, ``target`` and the group's
-    default ``owner``. ``fold`` turns a key's old value and its number of new rows into the next
-    values, and can be replaced.
+    default ``owner``. ``update`` turns a key's old value into the next one for each record.
+    Values and held rows go to the state store in batches of at most ``CHUNK``.
     """
 
     OUTPUT = (
         "seq long, key string, key_group int, phase string, owner int, effective_seq long, n long"
     )
 
+    def __init__(self, update: Callable[[int], int] = lambda n: n + 1) -> None:
+        self.next = update
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.counts = handle.getMapState("counts", "key string", "n long")
         self.held = handle.getListState("held", "seq long, key string")
         self.move = handle.getValueState("move", "phase string, source int, target int")
-
-    def fold(self, old: int | None, rank: pd.Series) -> pd.Series:
-        return rank + (old or 0)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
-        group = int(key[0])
-        move = tuple(self.move.get()) if self.move.exists() else ("other", None, None)
-        for pdf in rows:
-            start = 0
-            controls = pdf.index[pdf["control"].notna()]
-            for at in [*controls, len(pdf)]:
-                yield from self._records(group, move, pdf.iloc[start:at])
-                start = at + 1
-                if at < len(pdf):
-                    move = yield from self._control(group, move, pdf.iloc[at])
-        self.move.update(move)
-
-    def _control(self, group: int, move, row):
-        kind, at = row["control"], int(row["seq"])
-        if kind == ARM:
-            return ("pre", int(row["source"]), int(row["target"]))
+        self.row = Row("seq", "key", "key_group", "phase", "owner", "effective_seq", "n")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        group = key[0]
+        before = move = tuple(self.move.get() or NO_MOVE)
+        values: dict[str, int] = {}
+        waiting: list[tuple[int, str]] = []
+        for r in rows:
+            if r.control is not None:
+                self._hold(waiting)
+                move = yield from self._control(group, move, r, values)
+            elif move[0] == "held":
+                waiting.append((r.seq, r.key))
+                if len(waiting) == CHUNK:
+                    self._hold(waiting)
+            else:
+                phase, source, target = move
+                owner = {"pre": source, "live": target}.get(phase, r.owner)
+                n = self._count(r.key, values)
+                yield self.row(r.seq, r.key, group, phase, owner, r.seq, n)
+        self._hold(waiting)
+        self._store(values)
+        if move != before:
+            self.move.update(move)
+
+    def _control(self, group: int, move: tuple, r: Row, values: dict[str, int]):
         phase, source, target = move
-        if kind == FLIP and phase == "pre":
+        if r.control == ARM:
+            return ("pre", r.source, r.target)
+        if r.control == FLIP and phase == "pre":
             return ("held", source, target)
-        if kind == RELEASE and phase == "held":
-            yield from self._drain(group, target, at)
+        if r.control == RELEASE and phase == "held":
+            yield from self._drain(group, target, r.seq, values)
             return ("live", source, target)
-        if kind == CANCEL and phase in ("pre", "held"):
-            yield from self._drain(group, source, at)
-            return ("other", None, None)
+        if r.control == CANCEL and phase in ("pre", "held"):
+            yield from self._drain(group, source, r.seq, values)
+            return NO_MOVE
         return move
 
-    def _records(self, group: int, move, pdf: pd.DataFrame):
-        if pdf.empty:
-            return
-        phase, source, target = move
-        if phase == "held":
-            self.held.appendList(list(zip(pdf["seq"].tolist(), pdf["key"].tolist())))
-            return
-        owner = {"pre": source, "live": target}.get(phase, int(pdf["owner"].iloc[0]))
-        yield self._counted(group, pdf, phase, owner, pdf["seq"])
-
-    def _drain(self, group: int, owner: int, at: int):
-        chunk = []
-        for row in self.held.get():
-            chunk.append(tuple(row))
-            if len(chunk) == CHUNK:
-                yield self._held(group, chunk, owner, at)
-                chunk = []
-        if chunk:
-            yield self._held(group, chunk, owner, at)
+    def _drain(self, group: int, owner: int, at: int, values: dict[str, int]) -> Iterator[Row]:
+        for seq, key in self.held.get():
+            yield self.row(seq, key, group, "held", owner, at, self._count(key, values))
         self.held.clear()
 
-    def _held(self, group: int, chunk, owner: int, at: int) -> pd.DataFrame:
-        pdf = pd.DataFrame(chunk, columns=["seq", "key"])
-        return self._counted(group, pdf, "held", owner, at)
-
-    def _counted(self, group: int, pdf: pd.DataFrame, phase: str, owner: int, effective):
-        rank = pdf.groupby("key", sort=False).cumcount() + 1
-        n = pd.Series(0, index=pdf.index, dtype="int64")
-        for key, part in rank.groupby(pdf["key"], sort=False):
-            known = self.counts.getValue((key,)) if self.counts.containsKey((key,)) else None
-            values = self.fold(known[0] if known else None, part)
-            n.loc[part.index] = values
-            self.counts.updateValue((key,), (int(values.iloc[-1]),))
-        return pd.DataFrame({
-            "seq": pdf["seq"], "key": pdf["key"], "key_group": group, "phase": phase,
-            "owner": owner, "effective_seq": effective, "n": n,
-        })
+    def _hold(self, waiting: list[tuple[int, str]]) -> None:
+        if waiting:
+            self.held.appendList(waiting)
+            waiting.clear()
+
+    def _count(self, key: str, values: dict[str, int]) -> int:
+        n = values.get(key)
+        if n is None:
+            if len(values) >= CHUNK:
+                self._store(values)
+            known = self.counts.getValue((key,))
+            n = known[0] if known else 0
+        values[key] = n = self.next(n)
+        return n
+
+    def _store(self, values: dict[str, int]) -> None:
+        for key, n in values.items():
+            self.counts.updateValue((key,), (n,))
+        values.clear()
 
     def close(self) -> None:
         pass
