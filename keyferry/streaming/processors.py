@@ -5,17 +5,26 @@ Each gets its rows in order, as an iterator; what it keeps between rows lives in
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, GroupedData, Row
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from keyferry import params
-from keyferry.functions import states as S
+from keyferry.functions.states import (
+    ABORT, BARRIER_ALIGNED, FINAL_DELTA_COMPLETE, PREPARE_SOURCE, PREPARE_TARGET, ROUND_COMPLETE,
+    TERMINAL,
+)
+from keyferry.params import MAX_NON_DECREASING, MAX_ROUNDS, TIMEOUTS_S
 
 CHUNK = 10_000
 
+# Python workers get these classes themselves instead of importing this package, which they need
+# not have. So code in here refers to values of other modules, not to the modules.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def in_order(df: DataFrame, by: list[str], order: list[str]) -> GroupedData:
     """Group a stream so that each group's rows come in order within a micro-batch.
@@ -162,11 +171,11 @@ class Lifecycle(StatefulProcessor):
     def __init__(
         self,
         timeouts: dict[str, int] | None = None,
-        max_rounds: int = params.MAX_ROUNDS,
-        max_non_decreasing: int = params.MAX_NON_DECREASING,
+        max_rounds: int = MAX_ROUNDS,
+        max_non_decreasing: int = MAX_NON_DECREASING,
     ) -> None:
         self.limits_ms = {
-            k: v * 1000 for k, v in {**params.TIMEOUTS_S, **(timeouts or {})}.items()
+            k: v * 1000 for k, v in {**TIMEOUTS_S, **(timeouts or {})}.items()
         }
         self.max_rounds = max_rounds
         self.max_non_decreasing = max_non_decreasing
@@ -197,27 +206,27 @@ class Lifecycle(StatefulProcessor):
     def _event(self, s: dict, e, at_ms: int, out: list) -> None:
         kind, ok = e.kind, not (e.ok is False or e.ok == False)  # noqa: E712
         if s["state"] == "IDLE":
-            if kind not in (S.PREPARE_SOURCE, S.PREPARE_TARGET):
+            if kind not in (PREPARE_SOURCE, PREPARE_TARGET):
                 return
             self._enter(s, "INIT", at_ms, None, out)
-        if s["state"] in S.TERMINAL:
+        if s["state"] in TERMINAL:
             return
-        if kind == S.ABORT:
+        if kind == ABORT:
             self._enter(s, "ABORTED", at_ms, e.reason or "abort", out)
-        elif kind in (S.PREPARE_SOURCE, S.PREPARE_TARGET) and s["state"] == "INIT":
+        elif kind in (PREPARE_SOURCE, PREPARE_TARGET) and s["state"] == "INIT":
             if not ok:
                 self._enter(s, "ABORTED", at_ms, "prepare failed", out)
                 return
-            s["source_ok" if kind == S.PREPARE_SOURCE else "target_ok"] = True
+            s["source_ok" if kind == PREPARE_SOURCE else "target_ok"] = True
             if s["source_ok"] and s["target_ok"]:
                 self._enter(s, "PRE_COPY", at_ms, None, out)
-        elif kind == S.ROUND_COMPLETE:
+        elif kind == ROUND_COMPLETE:
             s["rounds"] += 1
             if s["state"] == "PRE_COPY":
                 self._round(s, e, at_ms, out)
-        elif kind == S.BARRIER_ALIGNED and s["state"] == "AWAIT_BARRIER":
+        elif kind == BARRIER_ALIGNED and s["state"] == "AWAIT_BARRIER":
             self._enter(s, "FINALIZING", at_ms, None, out)
-        elif kind == S.FINAL_DELTA_COMPLETE and s["state"] == "FINALIZING":
+        elif kind == FINAL_DELTA_COMPLETE and s["state"] == "FINALIZING":
             if ok:
                 self._enter(s, "COMMITTED", at_ms, None, out)
             else:
