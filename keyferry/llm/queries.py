@@ -7,9 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from keyferry.llm.bpe import op1_byte_bpe
+from keyferry.llm.decontaminate import OP2_SQL, op2_benchmark_winnowing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_benchmark_winnowing": op2_benchmark_winnowing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_benchmark_winnowing": OP2_SQL,
+}
