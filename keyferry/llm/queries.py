@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from keyferry.llm.bpe import op1_byte_bpe
 from keyferry.llm.decontaminate import OP2_SQL, op2_benchmark_winnowing
+from keyferry.llm.simhash import op7_simhash_golay
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_benchmark_winnowing": op2_benchmark_winnowing,
+    "op7_simhash_golay": op7_simhash_golay,
 }
 
 ORACLES: dict[str, str] = {
