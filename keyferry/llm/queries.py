@@ -9,13 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from keyferry.llm.bpe import op1_byte_bpe
 from keyferry.llm.decontaminate import OP2_SQL, op2_benchmark_winnowing
 from keyferry.llm.simhash import op7_simhash_golay
+from keyferry.llm.secrets import OP8_SQL, op8_credential_links
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_benchmark_winnowing": op2_benchmark_winnowing,
     "op7_simhash_golay": op7_simhash_golay,
+    "op8_credential_links": op8_credential_links,
 }
 
 ORACLES: dict[str, str] = {
     "op2_benchmark_winnowing": OP2_SQL,
+    "op8_credential_links": OP8_SQL,
 }
