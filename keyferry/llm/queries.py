@@ -10,12 +10,14 @@ from keyferry.llm.bpe import op1_byte_bpe
 from keyferry.llm.decontaminate import OP2_SQL, op2_benchmark_winnowing
 from keyferry.llm.simhash import op7_simhash_golay
 from keyferry.llm.secrets import OP8_SQL, op8_credential_links
+from keyferry.llm.langid import op3_ppm_language
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_benchmark_winnowing": op2_benchmark_winnowing,
     "op7_simhash_golay": op7_simhash_golay,
     "op8_credential_links": op8_credential_links,
+    "op3_ppm_language": op3_ppm_language,
 }
 
 ORACLES: dict[str, str] = {
