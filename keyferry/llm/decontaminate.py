@@ -258,13 +258,12 @@ def drop_contaminated(docs: DataFrame, bench: DataFrame) -> DataFrame:
         .distinct(),
         "contaminated",
     ).withColumnRenamed("text_hash", "_hash")
-    keyed = docs.withColumns(
-        {
-            "_id": F.coalesce(F.col("doc_id").cast("string"), F.lit("")),
-            "_hash": F.xxhash64("text"),
-        }
+    keyed = docs.select(
+        F.struct("*").alias("doc"),
+        F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"),
+        F.xxhash64("text").alias("_hash"),
     )
-    return lookup_join(keyed, bad, ["_id", "_hash"], F.col("_id"), "left_anti").select(*docs.columns)
+    return lookup_join(keyed, bad, ["_id", "_hash"], F.col("_id"), "left_anti").select("doc.*")
 
 
 def op2_benchmark_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -223,8 +223,8 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFr
 
 def known_language(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """``docs`` whose language is told with a score of at least ``least``."""
-    found = identify(docs.select(*docs.columns, F.col("text").alias("_text")), learn(docs), "_text")
-    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*docs.columns)
+    found = identify(docs.select(F.struct("*").alias("doc"), "text"), learn(docs))
+    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("doc.*")
 
 
 def op3_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -231,25 +231,22 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
         ).otherwise(F.concat(acc, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"))))),
     )
     pieces = F.expr(
-        "transform(sequence(0, size(_m)), i -> substring(text, "
+        "transform(sequence(0, size(_m)), i -> substring(doc.text, "
         "cast(if(i = 0, 0, _m[i - 1].end) + 1 as int), "
-        "cast(if(i = size(_m), length(text), _m[i].start) - if(i = 0, 0, _m[i - 1].end) as int)))"
+        "cast(if(i = size(_m), length(doc.text), _m[i].start) - if(i = 0, 0, _m[i - 1].end) as int)))"
     )
-    out = (
-        docs.withColumn("_h", F.xxhash64("text"))
-        .join(
-            found.select("_id", F.col("_hash").alias("_h2"), joined.alias("_m")),
-            F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_h2")),
-            "left",
-        )
-        .withColumn(
-            "text", F.when(F.col("_m").isNull(), F.col("text")).otherwise(F.array_join(pieces, mark))
-        )
+    out = docs.select(F.struct("*").alias("doc"), F.xxhash64("text").alias("_h")).join(
+        found.select("_id", F.col("_hash").alias("_h2"), joined.alias("_m")),
+        F.col("doc.doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_h2")),
+        "left",
     )
+    text = F.when(F.col("_m").isNull(), F.col("doc.text")).otherwise(F.array_join(pieces, mark))
+    out = out.withColumn("doc", F.col("doc").withField("text", text))
     if "n_chars" in docs.columns:
-        changed = F.length("text").cast(docs.schema["n_chars"].dataType)
-        out = out.withColumn("n_chars", F.when(F.col("_m").isNull(), F.col("n_chars")).otherwise(changed))
-    return out.select(*docs.columns)
+        changed = F.length("doc.text").cast(docs.schema["n_chars"].dataType)
+        n_chars = F.when(F.col("_m").isNull(), F.col("doc.n_chars")).otherwise(changed)
+        out = out.withColumn("doc", F.col("doc").withField("n_chars", n_chars))
+    return out.select("doc.*")
 
 
 def op8_credential_links(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -282,12 +282,16 @@ def keep_one(docs: DataFrame) -> DataFrame:
     repeated = (
         found.groupBy("doc_id", "text_hash").count().where("count > 1").limit(1).count() > 0
     )
-    keyed = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_hash": F.xxhash64("text")})
-    same = F.col("_id").eqNullSafe(F.col("_cid")) & (F.col("_hash") == F.col("_chash"))
+    keyed = docs.select(
+        F.struct("*").alias("doc"),
+        F.col("doc_id").cast("long").alias("id"),
+        F.xxhash64("text").alias("hash"),
+    )
+    same = F.col("id").eqNullSafe(F.col("_cid")) & (F.col("hash") == F.col("_chash"))
     kept = keyed.join(chosen, same, "left_semi")
     if repeated:
-        kept = kept.dropDuplicates(["_id", "_hash"])
-    return kept.select(*docs.columns)
+        kept = kept.dropDuplicates(["id", "hash"])
+    return kept.select("doc.*")
 
 
 def op7_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
