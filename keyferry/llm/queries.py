@@ -11,6 +11,7 @@ from keyferry.llm.decontaminate import OP2_SQL, op2_benchmark_winnowing
 from keyferry.llm.simhash import op7_simhash_golay
 from keyferry.llm.secrets import OP8_SQL, op8_credential_links
 from keyferry.llm.langid import op3_ppm_language
+from keyferry.llm.quality import op4_byte_cnn_quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_simhash_golay": op7_simhash_golay,
     "op8_credential_links": op8_credential_links,
     "op3_ppm_language": op3_ppm_language,
+    "op4_byte_cnn_quality": op4_byte_cnn_quality,
 }
 
 ORACLES: dict[str, str] = {
