@@ -12,6 +12,7 @@ from keyferry.llm.simhash import op7_simhash_golay
 from keyferry.llm.secrets import OP8_SQL, op8_credential_links
 from keyferry.llm.langid import op3_ppm_language
 from keyferry.llm.quality import op4_byte_cnn_quality
+from keyferry.llm.chat import OP5_SQL, op5_prefix_targets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
@@ -20,9 +21,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_credential_links": op8_credential_links,
     "op3_ppm_language": op3_ppm_language,
     "op4_byte_cnn_quality": op4_byte_cnn_quality,
+    "op5_prefix_targets": op5_prefix_targets,
 }
 
 ORACLES: dict[str, str] = {
     "op2_benchmark_winnowing": OP2_SQL,
     "op8_credential_links": OP8_SQL,
+    "op5_prefix_targets": OP5_SQL,
 }
