@@ -13,6 +13,7 @@ from keyferry.llm.secrets import OP8_SQL, op8_credential_links
 from keyferry.llm.langid import op3_ppm_language
 from keyferry.llm.quality import op4_byte_cnn_quality
 from keyferry.llm.chat import OP5_SQL, op5_prefix_targets
+from keyferry.llm.neighbours import op6_learned_partitions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_ppm_language": op3_ppm_language,
     "op4_byte_cnn_quality": op4_byte_cnn_quality,
     "op5_prefix_targets": op5_prefix_targets,
+    "op6_learned_partitions": op6_learned_partitions,
 }
 
 ORACLES: dict[str, str] = {
