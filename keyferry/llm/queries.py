@@ -14,6 +14,7 @@ from keyferry.llm.langid import op3_ppm_language
 from keyferry.llm.quality import op4_byte_cnn_quality
 from keyferry.llm.chat import OP5_SQL, op5_prefix_targets
 from keyferry.llm.neighbours import op6_learned_partitions
+from keyferry.llm.suffixes import OP9_SQL, op9_sparse_suffixes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
@@ -24,10 +25,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_byte_cnn_quality": op4_byte_cnn_quality,
     "op5_prefix_targets": op5_prefix_targets,
     "op6_learned_partitions": op6_learned_partitions,
+    "op9_sparse_suffixes": op9_sparse_suffixes,
 }
 
 ORACLES: dict[str, str] = {
     "op2_benchmark_winnowing": OP2_SQL,
     "op8_credential_links": OP8_SQL,
     "op5_prefix_targets": OP5_SQL,
+    "op9_sparse_suffixes": OP9_SQL,
 }
