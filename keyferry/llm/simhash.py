@@ -6,11 +6,13 @@ indices; two segments that differ in two bits or fewer always share one, because
 them is a neighbour of both. Of four wrong bits over three segments, either
 
 * one segment has none, and another has at most two: its exact bits and the other's index agree, or
-* all have at least one, so none has more than two: the indices of the first two agree.
+* all have at least one, so two of them have exactly one: a half of each is exact. Segments one bit apart
+  differ in parity, so it is enough that even ones give all their indices and odd ones their own.
 
-So the keys (exact segment, index of another) for all six ordered pairs, and (index, index) of the first
-two segments, bring together every pair of fingerprints within four bits. Within a key, rows are
-sorted and compared; fingerprints that are equal were merged before.
+So the keys (exact segment, index of another) for all six ordered pairs, and (exact half of one, its index,
+exact half of another) for all three pairs and their halves, bring together every pair of fingerprints
+within four bits. Every key has 33 or 34 bits, so few rows meet by chance. Equal fingerprints are
+merged before.
 
 A key's rows are linked as a forest: a search from one fingerprint takes all unvisited ones in reach,
 and goes on from those. That needs no pair of every two near copies, and leaves out no fingerprint
@@ -103,11 +105,13 @@ def _syndrome(words: np.ndarray) -> np.ndarray:
     return rest
 
 
-def codeword_indices(segments: np.ndarray) -> np.ndarray:
+def codeword_indices(segments: np.ndarray, own: np.ndarray | None = None) -> np.ndarray:
     """One row per segment: the sorted indices of the codewords nearest to it and to each of its
-    one-bit neighbours, repeated ones as -1."""
+    one-bit neighbours, repeated ones as -1. Segments marked in ``own`` give just their own."""
     flips = np.concatenate([[0], 1 << np.arange(23)]).astype(np.uint32)
     around = segments.astype(np.uint32)[:, None] ^ flips[None, :]
+    if own is not None:
+        around[own] = around[own, :1]
     code = around ^ _corrections()[_syndrome(around)]
     index = np.sort((code >> np.uint32(11)).astype(np.int64), axis=1)
     index[:, 1:][index[:, 1:] == index[:, :-1]] = -1
@@ -121,18 +125,25 @@ def fuzzy_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         ((bits >> np.uint64(at)) & np.uint64((1 << width) - 1)).astype(np.int64)
         for at, width in SEGMENTS
     ]
-    near = [codeword_indices(p) for p in parts]
     keys, rows = [], []
-    for i in range(3):
-        for tag, j in enumerate(x for x in range(3) if x != i):
-            row, col = np.nonzero(near[j] >= 0)
-            keys.append((2 * i + tag) << 40 | parts[i][row] << 12 | near[j][row, col])
-            rows.append(row)
-    row, a = np.nonzero(near[0] >= 0)
-    pair, b = np.nonzero(near[1][row] >= 0)
-    row, first = row[pair], near[0][row[pair], a[pair]]
-    keys.append(6 << 40 | first << 12 | near[1][row, b])
-    rows.append(row)
+
+    def add(tag: int, exact: np.ndarray, index: np.ndarray) -> None:
+        row, col = np.nonzero(index >= 0)
+        keys.append(tag << 40 | exact[row] << 12 | index[row, col])
+        rows.append(row)
+
+    for j in range(3):
+        index = codeword_indices(parts[j])
+        for i in range(3):
+            if i != j:
+                add(3 * i + j, parts[i], index)
+    halves = [(p & 2047, p >> 11) for p in parts]
+    for i, j in combinations(range(3), 2):
+        index = codeword_indices(parts[i], own=np.bitwise_count(parts[i]) % 2 == 1)
+        for a in range(2):
+            for b in range(2):
+                tag = 16 + 4 * (3 * i + j) + 2 * a + b
+                add(tag, halves[i][a] << 11 | halves[j][b], index)
     return np.concatenate(keys), np.concatenate(rows)
 
 
