@@ -15,6 +15,7 @@ from keyferry.llm.quality import op4_byte_cnn_quality
 from keyferry.llm.chat import OP5_SQL, op5_prefix_targets
 from keyferry.llm.neighbours import op6_learned_partitions
 from keyferry.llm.suffixes import OP9_SQL, op9_sparse_suffixes
+from keyferry.llm.chains import op10_collinear_chains
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
@@ -26,6 +27,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_prefix_targets": op5_prefix_targets,
     "op6_learned_partitions": op6_learned_partitions,
     "op9_sparse_suffixes": op9_sparse_suffixes,
+    "op10_collinear_chains": op10_collinear_chains,
 }
 
 ORACLES: dict[str, str] = {
