@@ -2,24 +2,33 @@
 
 A cutover ``(key_group, source, target, flip_seq, release_seq)``, one per key-group: records up to
 ``flip_seq`` belong to the source, later ones to the target; those up to ``release_seq`` are held
-there until the last round of state has landed. A null ``release_seq`` is a move not released yet.
+there until the last round of state has landed. A null ``release_seq`` is a move not released yet. A
+``cancel_seq``, if the column is there, gives a move up that was not released before: records held so
+far are replayed at the source, later ones go where they would without the move.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keyferry.scratch import lookup_join
 
 
+def _cancelled() -> Column:
+    cancel, release = F.col("cancel_seq"), F.col("release_seq")
+    return cancel.isNotNull() & (release.isNull() | (cancel < release))
+
+
 def with_phase(records: DataFrame, cutovers: DataFrame) -> DataFrame:
     """Add the group's cutover and ``phase``: pre, held, live, or other for groups that stay."""
+    if "cancel_seq" not in cutovers.columns:
+        cutovers = cutovers.withColumn("cancel_seq", F.lit(None).cast("long"))
     seq, flip, release = F.col("seq"), F.col("flip_seq"), F.col("release_seq")
     phase = (
-        F.when(flip.isNull(), "other")
+        F.when(flip.isNull() | (_cancelled() & (seq > F.col("cancel_seq"))), "other")
         .when(seq <= flip, "pre")
-        .when(release.isNull() | (seq <= release), "held")
+        .when(_cancelled() | release.isNull() | (seq <= release), "held")
         .otherwise("live")
     )
     return lookup_join(records, cutovers, ["key_group"], seq, "left").withColumn("phase", phase)
@@ -29,13 +38,15 @@ def hold_replay(counted: DataFrame, cutovers: DataFrame) -> DataFrame:
     """Where, in what phase and with what count each record takes effect.
 
     Holding keeps the order, so ``n`` is the plain running count. A held record takes effect at
-    the release; if there is none it has neither count nor effect yet.
+    the release, or at the source when the move is cancelled; if there is neither, it has neither
+    count nor effect yet.
     """
     phase = F.col("phase")
-    waiting = (phase == "held") & F.col("release_seq").isNull()
+    ends_at = F.when(_cancelled(), F.col("cancel_seq")).otherwise(F.col("release_seq"))
+    waiting = (phase == "held") & ends_at.isNull()
     owner = (
         F.when(phase == "other", F.col("owner"))
-        .when(phase == "pre", F.col("source"))
+        .when((phase == "pre") | _cancelled(), F.col("source"))
         .otherwise(F.col("target"))
     )
     return with_phase(counted, cutovers).select(
@@ -44,7 +55,7 @@ def hold_replay(counted: DataFrame, cutovers: DataFrame) -> DataFrame:
         "key_group",
         "phase",
         owner.alias("owner"),
-        F.when(phase == "held", F.col("release_seq")).otherwise(F.col("seq")).alias("effective_seq"),
+        F.when(phase == "held", ends_at).otherwise(F.col("seq")).alias("effective_seq"),
         F.when(~waiting, F.col("n")).alias("n"),
     )
 

@@ -42,15 +42,16 @@ def round_schedule(spark: SparkSession, start: str, rounds: int = 12) -> DataFra
 def precopy_rounds(
     records: DataFrame,
     schedule: DataFrame,
-    rounds: int = 12,
     converged_below: int = params.CONVERGED_BELOW,
 ) -> DataFrame:
     """Every non-empty key-group as a migration: entries and bytes copied in each round.
 
     A round copies the keys changed in its interval, round 1 all keys so far; rounds without change
     have zeros. One scan: records are matched with the schedule, which has two rows per round, and
-    reduced to distinct keys before they are shuffled. Records need ``key, ts, key_group``.
+    reduced to distinct keys before they are shuffled. Records need ``key, ts, key_group``. The rounds
+    are those of the schedule, however many it has.
     """
+    every_round = F.array_sort(F.collect_set("round"))
     in_round = (
         (F.pmod(F.col("key_group"), F.lit(2)) == F.col("schedule"))
         & (F.col("from_ts").isNull() | (F.col("ts") >= F.col("from_ts")))
@@ -68,7 +69,7 @@ def precopy_rounds(
         F.when(F.col("round").isNotNull(), F.struct("round", F.struct("entries", "bytes")))
     ))
     per_group = sizes.groupBy("key_group").agg(by_round.alias("_sizes")).select(
-        "key_group", "_sizes", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round")
+        "key_group", "_sizes", F.explode(schedule.agg(every_round).scalar()).alias("round")
     )
     size = F.try_element_at("_sizes", F.col("round"))
     entries = F.coalesce(size["entries"], F.lit(0))

@@ -30,3 +30,6 @@ BLOCK = 20_000_000
 
 # Copies of a lookup row when a join on a skewed key has to be salted.
 SALTS = 32
+
+# Bytes of new files that a micro-batch takes at most (one file at least).
+MICRO_BATCH_BYTES = 1 << 30

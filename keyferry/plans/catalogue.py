@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from keyferry import params
@@ -62,6 +62,25 @@ def stream_running_count(spark: SparkSession, d: str) -> DataFrame:
     return job.result(spark).select("seq", "key", "n")
 
 
+def stream_running_fold(spark: SparkSession, d: str) -> DataFrame:
+    """A user's own keyed function: number, sum in cents and maximum of ``value`` so far."""
+    def fold(state: tuple, record: Row) -> tuple:
+        n, cents, most = state
+        if record.cents is None:
+            return n + 1, cents, most
+        return n + 1, cents + record.cents, record.cents if most is None else max(most, record.cents)
+
+    cents = F.round(F.col("value") * 100).cast("long").alias("cents")
+    job = jobs.Job(
+        lambda s: jobs.running_fold(
+            streams.record_stream(s, d).select("seq", "key", cents),
+            fold, "n long, cents long, most long", (0, 0, None),
+        ),
+        streams.stream_session(spark), name="running-fold",
+    ).run()
+    return job.result(spark).select("seq", "key", "n", "cents", "most")
+
+
 def _routed(spark: SparkSession, d: str) -> DataFrame:
     log = inputs.override_log(inputs.barriers(spark, d))
     ev = with_groups(records(spark, d).select("seq", "key"))
@@ -441,9 +460,15 @@ def hold_replay(spark: SparkSession, d: str) -> DataFrame:
     return cutover.hold_replay(_counted(spark, d), cut)
 
 
-def stream_hold_replay(spark: SparkSession, d: str) -> DataFrame:
-    b = bounds(spark, d)
-    control = jobs.control_records(inputs.cutovers(spark, d, b), LANES)
+def hold_cancel(spark: SparkSession, d: str) -> DataFrame:
+    """As ``hold_replay``, but every second move is given up halfway through the stream."""
+    cut = inputs.cancelled_cutovers(spark, d, bounds(spark, d))
+    return cutover.hold_replay(_counted(spark, d), cut)
+
+
+def _stream_hold(spark: SparkSession, d: str, cut: DataFrame, name: str) -> DataFrame:
+    """The moves are known when the query starts, and come as news once more, as they would later."""
+    control = jobs.control_records(cut, LANES)
     inbox = fresh_path(spark, "control")
     streams.land(control, inbox)
     job = jobs.Job(
@@ -451,12 +476,22 @@ def stream_hold_replay(spark: SparkSession, d: str) -> DataFrame:
             with_groups(streams.record_stream(s, d)),
             streams.file_stream(s, inbox, control.schema),
             LANES,
+            cut,
         ),
-        streams.stream_session(spark), name="hold-replay",
+        streams.stream_session(spark), name=name,
     ).run()
     return job.result(spark).drop("batch_id")
 
 
+def stream_hold_replay(spark: SparkSession, d: str) -> DataFrame:
+    return _stream_hold(spark, d, inputs.cutovers(spark, d, bounds(spark, d)), "hold-replay")
+
+
+def stream_hold_cancel(spark: SparkSession, d: str) -> DataFrame:
+    cut = inputs.cancelled_cutovers(spark, d, bounds(spark, d))
+    return _stream_hold(spark, d, cut, "hold-cancel")
+
+
 def hold_stats(spark: SparkSession, d: str) -> DataFrame:
     b = bounds(spark, d)
     cut = inputs.cutovers(spark, d, b)
@@ -617,7 +652,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         tokens, word_count, stream_word_count, running_count, stream_running_count,
-        last_count_by_owner, seen_by_owner, hot_key_totals,
+        stream_running_fold, last_count_by_owner, seen_by_owner, hot_key_totals,
         key_group_assign, owner_ranges, owner_load, singleton_groups, partition_size, make_plans,
         serve_check, physical_route, phase_stream,
         state_snapshot, state_from_checkpoint, state_lookup, extract_group, export_group,
@@ -627,7 +662,7 @@ QUERIES = {
         route_current, overrides_from_barriers, route_effective,
         affected_records, unaffected_records, plan_for_partition, barrier_fanout,
         barrier_arrivals, barrier_alignment, stream_alignment, migration_ready,
-        hold_replay, stream_hold_replay, hold_stats,
+        hold_replay, stream_hold_replay, hold_cancel, stream_hold_cancel, hold_stats,
         handoff_integrity, ownership_violations, same_as_no_migration,
         admit_plans, lifecycle_fold, stream_lifecycle, invalid_transitions, timeouts,
         migration_metrics, active_migrations,

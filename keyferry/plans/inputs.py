@@ -33,6 +33,10 @@ class Bounds:
     def release_seq(self) -> int:
         return self.max_seq * 3 // 5
 
+    @property
+    def cancel_seq(self) -> int:
+        return self.max_seq // 2
+
     @property
     def recent_rows(self) -> int:
         return self.max_seq // 50
@@ -68,6 +72,16 @@ def cutovers(spark: SparkSession, sf_dir: str, b: Bounds) -> DataFrame:
     )
 
 
+def cancelled_cutovers(spark: SparkSession, sf_dir: str, b: Bounds) -> DataFrame:
+    """As ``cutovers``; moves from an even owner are cancelled at 50 % of the stream."""
+    return settle(
+        cutovers(spark, sf_dir, b).withColumn(
+            "cancel_seq", F.when(F.col("source") % 2 == 0, F.lit(b.cancel_seq).cast("long"))
+        ),
+        "cutovers",
+    )
+
+
 def barriers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One barrier at the end of each day with records, the last one after the stream's end.
 

@@ -351,6 +351,17 @@ _ALIGNMENT = _q(EV, ARRIVALS, select="select * from alignment")
 _HOLD = _q(
     EV, HOLD, select="select seq, key, key_group, phase, owner, effective_seq, n from replayed"
 )
+_CANCEL = _q(EV, PLANS, RUNNING, select="""
+select c.seq, c.key, c.key_group,
+  case when p.key_group is null or (gone and seq > half) then 'other' when seq <= flip then 'pre'
+    when gone or seq <= rel then 'held' else 'live' end as phase,
+  case when p.key_group is null or (gone and seq > half) then c.owner
+    when seq <= flip or gone then p.source else p.target end as owner,
+  case when p.key_group is null or seq <= flip then seq
+    when gone then greatest(seq, half) else case when seq <= rel then rel else seq end end
+    as effective_seq, n
+from counted c cross join (select *, (select max(seq) // 2 from ev) as half from b) b
+left join (select *, source % 2 = 0 as gone from plans) p on c.key_group = p.key_group""")
 _FOLD = _q(
     EV, FOLD, recursive=True, select="select migration_id, state, reason, ended_at from done"
 )
@@ -361,6 +372,14 @@ ORACLES = {
     "stream_word_count": _WORD_COUNT,
     "running_count": _RUNNING,
     "stream_running_count": _RUNNING,
+    "stream_running_fold": """
+with e as (
+  select event_id as seq, cast(user_id as varchar) as key, cast(round(value * 100) as bigint) as cents
+  from events
+)
+select seq, key, count(*) over w as n, cast(coalesce(sum(cents) over w, 0) as bigint) as cents,
+  max(cents) over w as most
+from e window w as (partition by key order by seq)""",
     "last_count_by_owner": _q(EV, ROUTED, RUNNING, select="""
 select r.owner, r.key, max(c.n) as n, max(seq) as last_seq
 from routed r join counted c using (seq) group by 1, 2"""),
@@ -506,6 +525,8 @@ select migration_id, count(*) filter (aligned) as tasks_aligned,
 from alignment group by 1"""),
     "hold_replay": _HOLD,
     "stream_hold_replay": _HOLD,
+    "hold_cancel": _CANCEL,
+    "stream_hold_cancel": _CANCEL,
     "hold_stats": _q(EV, HOLD, select="""
 select p.key_group, count(r.seq) as held,
   floor(max(epoch_us(rel_ts) - epoch_us(r.ts)) / 1000000.0)::bigint as max_wait_s,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from keyferry.params import MICRO_BATCH_BYTES
 from keyferry.sources.tables import record_columns
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -34,17 +35,15 @@ def stream_session(spark: SparkSession) -> SparkSession:
 
 
 def file_stream(
-    session: SparkSession, path: str, schema, max_bytes: str | None = None
+    session: SparkSession, path: str, schema, max_bytes: int = MICRO_BATCH_BYTES
 ) -> DataFrame:
     """Parquet files under ``path`` as a stream; ``max_bytes`` bounds a micro-batch."""
-    reader = session.readStream.schema(schema)
-    if max_bytes:
-        reader = reader.option("maxBytesPerTrigger", max_bytes)
+    reader = session.readStream.schema(schema).option("maxBytesPerTrigger", max_bytes)
     return reader.parquet(path)
 
 
 def table_stream(
-    session: SparkSession, sf_dir: str, table: str, max_bytes: str | None = None
+    session: SparkSession, sf_dir: str, table: str, max_bytes: int = MICRO_BATCH_BYTES
 ) -> DataFrame:
     """One of the given tables as a stream. A streaming read takes no plain file name, but a glob."""
     schema = session.read.parquet(f"{sf_dir}/{table}.parquet").schema
@@ -52,7 +51,9 @@ def table_stream(
     return file_stream(session, glob, schema, max_bytes)
 
 
-def record_stream(session: SparkSession, sf_dir: str, max_bytes: str | None = None) -> DataFrame:
+def record_stream(
+    session: SparkSession, sf_dir: str, max_bytes: int = MICRO_BATCH_BYTES
+) -> DataFrame:
     return table_stream(session, sf_dir, "events", max_bytes).select(*record_columns())
 
 

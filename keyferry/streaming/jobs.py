@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from keyferry.functions import keys
 from keyferry.functions.text import explode_words
-from keyferry.scratch import fresh_path
+from keyferry.scratch import fresh_path, lookup_join
 from keyferry.sinks.tables import batch_writer
 from keyferry.sources import streams
 from keyferry.streaming.processors import (
-    ARM, FLIP, RELEASE, HoldReplay, Lifecycle, RunningCount, in_order,
+    MOVE, HoldReplay, Lifecycle, RunningCount, RunningFold, in_order,
 )
 
 
@@ -41,6 +43,7 @@ class Job:
 
     def run(self, sink: Callable[[DataFrame, int], None] | None = None) -> Job:
         """Process all files present, then stop at a committed batch: an aligned cut."""
+        self._keep_partitions()
         query = (
             self.build(self.session)
             .writeStream.outputMode(self.mode)
@@ -52,6 +55,22 @@ class Job:
         query.awaitTermination()
         return self
 
+    def _keep_partitions(self) -> None:
+        """A state store keeps its number of partitions, so rows must be dealt and sorted by that one
+        when the query starts again, whatever the session says by then."""
+        name = "spark.sql.shuffle.partitions"
+        try:
+            lines = self.session.read.text(f"{self.checkpoint}/offsets/*").where(
+                F.col("value").contains(name)
+            )
+            line = lines.first()
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return
+        if line:
+            self.session.conf.set(name, json.loads(line["value"])["conf"][name])
+
     def result(self, spark: SparkSession) -> DataFrame:
         """Output of all batches, with ``batch_id``."""
         return spark.read.parquet(self.output)
@@ -85,46 +104,67 @@ def running_counts(records: DataFrame, initial: DataFrame | None = None) -> Data
     )
 
 
-def control_records(cutovers: DataFrame, lanes: int) -> DataFrame:
-    """Arm, flip and release of each cutover, one copy for every lane of its group."""
-    def item(kind: str, seq: Column) -> Column:
-        return F.struct(F.lit(kind).alias("control"), seq.cast("long").alias("seq"))
+def running_fold(
+    records: DataFrame, fold: Callable[[tuple, Row], tuple], state: str, start: tuple
+) -> DataFrame:
+    """Every record with its key's state after it: ``fold(state, record) -> state``.
 
-    steps = F.array(
-        item(ARM, F.lit(-1)), item(FLIP, F.col("flip_seq")), item(RELEASE, F.col("release_seq"))
+    ``state`` names the state's columns as in ``"total double, most double"``; ``records`` has ``seq, key``
+    and whatever the fold reads.
+    """
+    processor = RunningFold(fold, state, start)
+    return in_order(records, ["key"], ["seq"]).transformWithState(
+        processor, processor.output, "append", "none"
     )
-    copies = F.explode(F.sequence(F.lit(0), F.lit(lanes - 1)))
-    return (
-        cutovers.select("key_group", "source", "target", F.explode(steps).alias("c"))
-        .where("c.seq is not null")
-        .select("key_group", "source", "target", "c.control", "c.seq", copies.alias("lane"))
+
+
+def control_records(cutovers: DataFrame, lanes: int) -> DataFrame:
+    """News of the moves: what the cutovers tell, one copy for every lane of its group."""
+    if "cancel_seq" not in cutovers.columns:
+        cutovers = cutovers.withColumn("cancel_seq", F.lit(None).cast("long"))
+    return cutovers.select(
+        "key_group", *MOVE, F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane")
     )
 
 
-def hold_replay(records: DataFrame, control: DataFrame, lanes: int) -> DataFrame:
+def hold_replay(
+    records: DataFrame,
+    control: DataFrame,
+    lanes: int,
+    cutovers: DataFrame | None = None,
+    update: Callable[[int, Row], int] | None = None,
+) -> DataFrame:
     """Hold and replay over a stream of records and one of control records.
 
-    A group is spread over ``lanes`` by key, so that a busy group is not one task. At one sequence
-    number a record comes before a control record, which speaks for the records after it.
+    A group is spread over ``lanes`` by key, so that a busy group is not one task. Phases follow the
+    records' ``seq``. ``cutovers`` are the moves known when the query starts, a settled table of one row
+    per key-group: a record meets its own move there, whenever it comes. What is known only later comes
+    through ``control``; a micro-batch's news act before its records. ``update`` is the keyed function.
     """
     lane = F.pmod(F.xxhash64("key"), F.lit(lanes)).cast("int")
-    data = records.select(
-        "key_group", lane.alias("lane"), "seq", "key", "owner",
-        F.lit(0).alias("ord"),
-        F.lit(None).cast("string").alias("control"),
-        F.lit(None).cast("int").alias("source"),
-        F.lit(None).cast("int").alias("target"),
+    unknown = {c: F.lit(None).cast("int" if c in ("source", "target") else "long") for c in MOVE}
+    if cutovers is None:
+        data = records.withColumns(unknown)
+    else:
+        missing = {c: unknown[c] for c in MOVE if c not in cutovers.columns}
+        known = cutovers.withColumns(missing).select("key_group", *MOVE)
+        data = lookup_join(records, known, ["key_group"], F.col("seq"), "left")
+    value = F.col("value").cast("double") if "value" in records.columns else F.lit(None).cast("double")
+    data = data.select(
+        "key_group", lane.alias("lane"), "seq", "key", "owner", value.alias("value"),
+        F.lit(False).alias("control"), *MOVE,
     )
     marks = control.select(
-        "key_group", "lane", "seq", F.lit(None).cast("string").alias("key"),
-        F.lit(None).cast("int").alias("owner"),
-        F.when(F.col("control") == ARM, -1).when(F.col("control") == FLIP, 1).otherwise(2)
-        .alias("ord"),
-        "control", "source", "target",
+        "key_group", "lane", F.lit(None).cast("long").alias("seq"),
+        F.lit(None).cast("string").alias("key"), F.lit(None).cast("int").alias("owner"),
+        F.lit(None).cast("double").alias("value"), F.lit(True).alias("control"), *MOVE,
     )
+    # News first, then records by seq: null sorts first.
     return in_order(
-        data.unionByName(marks), ["key_group", "lane"], ["seq", "ord"]
-    ).transformWithState(HoldReplay(), HoldReplay.OUTPUT, "append", "none")
+        data.unionByName(marks), ["key_group", "lane"], ["seq"]
+    ).transformWithState(
+        HoldReplay(update) if update else HoldReplay(), HoldReplay.OUTPUT, "append", "none"
+    )
 
 
 def lifecycles(log: DataFrame, timeouts: dict[str, int] | None = None) -> DataFrame:

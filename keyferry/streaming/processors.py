@@ -39,41 +39,77 @@ def in_order(df: DataFrame, by: list[str], order: list[str]) -> GroupedData:
 class RunningCount(StatefulProcessor):
     """Emit every record with its key's count so far. Can start from a moved state.
 
-    One read and one write of the state per key and micro-batch.
+    One read and one write of the state per key and micro-batch. A record that is not after the key's
+    last one fails the query: counts would be wrong otherwise.
     """
 
     OUTPUT = "seq long, key string, n long"
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.count = handle.getValueState("count", "n long")
+        self.count = handle.getValueState("count", "n long, last long")
         self.row = Row("seq", "key", "n")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        known = self.count.get()
-        n = known[0] if known else 0
+        n, last = self.count.get() or (0, None)
         for r in rows:
-            n += 1
+            if last is not None and r.seq <= last:
+                raise ValueError(f"record {r.seq} of key {key[0]} came after record {last}")
+            n, last = n + 1, r.seq
             yield self.row(r.seq, r.key, n)
-        self.count.update((n,))
+        self.count.update((n, last))
 
     def handleInitialState(self, key, initialState: Row, timerValues) -> None:
-        self.count.update((initialState.n,))
+        self.count.update((initialState.n, None))
 
     def close(self) -> None:
         pass
 
 
-# Control records of a move, in the order they come.
-ARM, FLIP, RELEASE, CANCEL = "arm", "flip", "release", "cancel"
-NO_MOVE = ("other", None, None)
+class RunningFold(StatefulProcessor):
+    """Emit every record with its key's value so far under a given fold.
+
+    ``fold(state, record)`` gets the key's state as a tuple (``start`` at first) and the whole record, and
+    returns the next state; ``state`` names its columns. The output is ``seq, key`` and the state.
+    """
+
+    def __init__(self, fold: Callable[[tuple, Row], tuple], state: str, start: tuple) -> None:
+        self.fold, self.state, self.start = fold, state, start
+
+    @property
+    def output(self) -> str:
+        return f"seq long, key string, {self.state}"
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.value = handle.getValueState("value", f"last long, {self.state}")
+        names = [part.split()[0] for part in self.state.split(",")]
+        self.row = Row("seq", "key", *names)
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        last, *value = self.value.get() or (None, *self.start)
+        value = tuple(value)
+        for r in rows:
+            if last is not None and r.seq <= last:
+                raise ValueError(f"record {r.seq} of key {key[0]} came after record {last}")
+            value, last = tuple(self.fold(value, r)), r.seq
+            yield self.row(r.seq, r.key, *value)
+        self.value.update((last, *value))
+
+    def close(self) -> None:
+        pass
+
+
+# What is known of a move; unknown parts are null.
+MOVE = ("source", "target", "flip_seq", "release_seq", "cancel_seq")
 
 
 class HoldReplay(StatefulProcessor):
-    """Count records per key; hold those of a moving group between flip and release.
+    """Count records per key; hold those of a moving group after the flip while its end is unknown.
 
-    Grouped by (key_group, lane): a lane holds part of the group's keys, and control records go to
-    all lanes. Rows carry ``control`` (null for records), ``source``, ``target`` and the group's
-    default ``owner``. ``update`` turns a key's old value into the next one for each record.
+    Grouped by (key_group, lane): a lane holds part of the group's keys. Every row carries what is known
+    of the group's move (``MOVE``) and the group's default ``owner``; rows with ``control`` are no records
+    but bring news of a move to each lane. Whether a record is before or after a flip, a release or a
+    cancellation is told by its ``seq`` alone, never by when either came. ``update`` turns a key's old
+    value and the record into the next value, for each record in order.
     Values and held rows go to the state store in batches of at most ``CHUNK``.
     """
 
@@ -81,70 +117,95 @@ class HoldReplay(StatefulProcessor):
         "seq long, key string, key_group int, phase string, owner int, effective_seq long, n long"
     )
 
-    def __init__(self, update: Callable[[int], int] = lambda n: n + 1) -> None:
+    def __init__(self, update: Callable[[int, Row], int] = lambda n, record: n + 1) -> None:
         self.next = update
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.counts = handle.getMapState("counts", "key string", "n long")
-        self.held = handle.getListState("held", "seq long, key string")
-        self.move = handle.getValueState("move", "phase string, source int, target int")
+        self.held = handle.getListState("held", "seq long, key string, owner int, value double")
+        self.move = handle.getValueState(
+            "move",
+            "source int, target int, flip_seq long, release_seq long, cancel_seq long, last long",
+        )
         self.row = Row("seq", "key", "key_group", "phase", "owner", "effective_seq", "n")
+        self.record = Row("seq", "key", "owner", "value")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         group = key[0]
-        before = move = tuple(self.move.get() or NO_MOVE)
+        before = tuple(self.move.get() or (None,) * 6)
+        move, last = before[:5], before[5]
         values: dict[str, int] = {}
-        waiting: list[tuple[int, str]] = []
+        waiting: list[Row] = []
         for r in rows:
-            if r.control is not None:
-                self._hold(waiting)
-                move = yield from self._control(group, move, r, values)
-            elif move[0] == "held":
-                waiting.append((r.seq, r.key))
+            news = (r.source, r.target, r.flip_seq, r.release_seq, r.cancel_seq)
+            known = tuple(old if new is None else new for new, old in zip(news, move))
+            if known != move:
+                ended = self._end(move) is None and self._end(known) is not None
+                move = known
+                if ended:
+                    self._hold(waiting)
+                    yield from self._drain(group, move, values)
+            if r.control:
+                continue
+            if last is not None and r.seq <= last:
+                raise ValueError(f"record {r.seq} of group {group} came after record {last}")
+            last = r.seq
+            record = self.record(r.seq, r.key, r.owner, r.value)
+            if self._phase(move, r.seq) == "held" and self._end(move) is None:
+                waiting.append(record)
                 if len(waiting) == CHUNK:
                     self._hold(waiting)
             else:
-                phase, source, target = move
-                owner = {"pre": source, "live": target}.get(phase, r.owner)
-                n = self._count(r.key, values)
-                yield self.row(r.seq, r.key, group, phase, owner, r.seq, n)
+                yield self._emit(group, move, record, values)
         self._hold(waiting)
         self._store(values)
-        if move != before:
-            self.move.update(move)
-
-    def _control(self, group: int, move: tuple, r: Row, values: dict[str, int]):
-        phase, source, target = move
-        if r.control == ARM:
-            return ("pre", r.source, r.target)
-        if r.control == FLIP and phase == "pre":
-            return ("held", source, target)
-        if r.control == RELEASE and phase == "held":
-            yield from self._drain(group, target, r.seq, values)
-            return ("live", source, target)
-        if r.control == CANCEL and phase in ("pre", "held"):
-            yield from self._drain(group, source, r.seq, values)
-            return NO_MOVE
-        return move
-
-    def _drain(self, group: int, owner: int, at: int, values: dict[str, int]) -> Iterator[Row]:
-        for seq, key in self.held.get():
-            yield self.row(seq, key, group, "held", owner, at, self._count(key, values))
+        if (*move, last) != before:
+            self.move.update((*move, last))
+
+    @staticmethod
+    def _end(move: tuple) -> int | None:
+        """Where holding ends: at the release, or at a cancellation before it."""
+        _, _, _, release, cancel = move
+        return release if cancel is None or (release is not None and release <= cancel) else cancel
+
+    def _phase(self, move: tuple, seq: int) -> str:
+        _, _, flip, release, cancel = move
+        end = self._end(move)
+        cancelled = end is not None and end == cancel and end != release
+        if flip is None or (cancelled and seq > end):
+            return "other"
+        if seq <= flip:
+            return "pre"
+        return "held" if end is None or seq <= end else "live"
+
+    def _emit(self, group: int, move: tuple, r: Row, values: dict[str, int]) -> Row:
+        source, target, _, release, cancel = move
+        phase, end = self._phase(move, r.seq), self._end(move)
+        back = end is not None and end == cancel and end != release
+        owner = {"other": r.owner, "pre": source, "held": source if back else target}.get(phase, target)
+        return self.row(
+            r.seq, r.key, group, phase, owner, end if phase == "held" else r.seq, self._count(r, values)
+        )
+
+    def _drain(self, group: int, move: tuple, values: dict[str, int]) -> Iterator[Row]:
+        for held in self.held.get():
+            yield self._emit(group, move, self.record(*held), values)
         self.held.clear()
 
-    def _hold(self, waiting: list[tuple[int, str]]) -> None:
+    def _hold(self, waiting: list[Row]) -> None:
         if waiting:
-            self.held.appendList(waiting)
+            self.held.appendList([tuple(r) for r in waiting])
             waiting.clear()
 
-    def _count(self, key: str, values: dict[str, int]) -> int:
+    def _count(self, record: Row, values: dict[str, int]) -> int:
+        key = record.key
         n = values.get(key)
         if n is None:
             if len(values) >= CHUNK:
                 self._store(values)
             known = self.counts.getValue((key,))
             n = known[0] if known else 0
-        values[key] = n = self.next(n)
+        values[key] = n = self.next(n, record)
         return n
 
     def _store(self, values: dict[str, int]) -> None:

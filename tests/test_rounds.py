@@ -1,6 +1,7 @@
 from conftest import rows
 
 from keyferry.operators import rounds
+from keyferry.sources.tables import with_groups
 
 SCHEMA = "migration_id long, round int, delta_size long, bytes long, converged boolean"
 
@@ -49,8 +50,15 @@ def test_rounds_copy_all_keys_then_changed_ones(spark):
     ]
     ev = spark.createDataFrame(at, "seq long, key string, ts timestamp_ntz, key_group int")
     start = "2024-01-10 00:00:00"
-    got = rounds.precopy_rounds(ev, rounds.round_schedule(spark, start, 5), 5)
+    got = rounds.precopy_rounds(ev, rounds.round_schedule(spark, start, 5))
     # Even groups halve: a day, 12 h, 6 h, 3 h; hour 47 is past the last interval.
     assert rows(got, "round", "delta_size", "bytes", "converged") == [
         (1, 2, 18, False), (2, 1, 9, False), (3, 1, 9, False), (4, 0, 0, True), (5, 0, 0, True)
     ]
+
+
+def test_as_many_rounds_as_the_schedule_has(spark):
+    start = "2024-01-05 00:00:00"
+    ev = with_groups(spark.sql(f"select timestamp_ntz'{start}' as ts, 'a' as key"))
+    got = rounds.precopy_rounds(ev, rounds.round_schedule(spark, start, 15))
+    assert rows(got, "round") == [(i,) for i in sorted(range(1, 16), key=lambda i: repr((i,)))]

@@ -10,11 +10,10 @@ from keyferry.sinks.tables import batch_writer
 from keyferry.sources import statestore, streams
 from keyferry.sources.tables import records, with_groups
 from keyferry.streaming import jobs
-from keyferry.streaming.processors import CANCEL
 
 
 def parts(df, *edges):
-    bounds = [-2, *edges, 10**12]  # arming comes at -1
+    bounds = [-1, *edges, 10**12]
     return [df.where((F.col("seq") > a) & (F.col("seq") <= b)) for a, b in zip(bounds, bounds[1:])]
 
 
@@ -59,19 +58,23 @@ def move(spark, key, flip, release):
     ))
 
 
-def run_hold(spark, ev, control, edges, lanes):
+def run_hold(spark, ev, control, edges, lanes, known=None, last=False, max_bytes=1, update=None):
+    """Land the records in four parts and the news of the move, all before the query starts; a bounded
+    query takes a file per micro-batch. With ``last``, the news come after the records are processed."""
     data, marks = fresh_path(spark, "data"), fresh_path(spark, "control")
-    schema = control.schema
     job = jobs.Job(
         lambda s: jobs.hold_replay(
-            with_groups(streams.file_stream(s, data, ev.schema)),
-            streams.file_stream(s, marks, schema), lanes,
+            with_groups(streams.file_stream(s, data, ev.schema, max_bytes)),
+            streams.file_stream(s, marks, control.schema), lanes, known, update,
         ),
         streams.stream_session(spark), name="hold",
     )
-    for records_, controls in zip(parts(ev, *edges), parts(control, *edges)):
-        streams.land(records_, data)
-        streams.land(controls, marks)
+    streams.land(control.limit(0) if last else control, marks)
+    for part in parts(ev, *edges):
+        streams.land(part.coalesce(1), data)
+    job.run()
+    if last:
+        streams.land(control, marks)
         job.run()
     return job
 
@@ -79,39 +82,122 @@ def run_hold(spark, ev, control, edges, lanes):
 COLUMNS = ["seq", "key", "key_group", "phase", "owner", "effective_seq", "n"]
 
 
-
-def test_hold_and_replay_across_batches(spark, ev):
+@pytest.mark.parametrize("news", ["first", "known", "known and last"])
+@pytest.mark.parametrize("max_bytes", [1, 10**9])
+def test_phases_follow_seq_however_records_come(spark, ev, news, max_bytes):
     cut = move(spark, "7", 400, 700)
-    control = jobs.control_records(cut, 3)
-    job = run_hold(spark, ev, control, [500, 600], 3)
+    job = run_hold(
+        spark, ev, jobs.control_records(cut, 3), [250, 500, 750], 3,
+        None if news == "first" else cut, news == "known and last", max_bytes,
+    )
     got = job.result(spark)
+    if max_bytes == 1:
+        assert got.select("batch_id").distinct().count() >= 4
     want = cutover.hold_replay(with_groups(counts.running_count(ev)), cut)
+    assert want.where("phase = 'held'").count() > 0
     assert rows(got, *COLUMNS) == rows(want, *COLUMNS)
     check = handoff_integrity(with_groups(ev), got, cut)
     assert check.where("lost > 0 or duplicated > 0 or not cut_clean").count() == 0
 
 
-def test_unreleased_records_stay_in_the_state(spark):
+def test_records_wait_for_a_release_that_is_not_known(spark):
+    """Held in the state over several micro-batches; the release, when it comes, sorts them by seq."""
     ev = stream(spark, ["key-7", "key-8"] * 20)
-    cut = move(spark, "key-7", 9, None)
-    job = run_hold(spark, ev, jobs.control_records(cut, 1), [20], 1)
+    open_, released = move(spark, "key-7", 9, None), move(spark, "key-7", 9, 25)
+    data, marks = fresh_path(spark, "data"), fresh_path(spark, "control")
+    control = jobs.control_records(open_, 1)
+    job = jobs.Job(
+        lambda s: jobs.hold_replay(
+            with_groups(streams.file_stream(s, data, ev.schema, 1)),
+            streams.file_stream(s, marks, control.schema), 1,
+        ),
+        streams.stream_session(spark), name="hold",
+    )
+    streams.land(control, marks)
+    for part in parts(ev, 7, 20, 30):
+        streams.land(part.coalesce(1), data)
+    job.run()
     assert rows(job.result(spark).where("key = 'key-7'"), "seq") == [(i,) for i in range(0, 10, 2)]
     held = statestore.read_state(job.session, job.checkpoint, variable="held")
     assert held.count() == 15
+    streams.land(jobs.control_records(released, 1), marks)
+    job.run()
+    want = cutover.hold_replay(with_groups(counts.running_count(ev)), released)
+    assert rows(job.result(spark), *COLUMNS) == rows(want, *COLUMNS)
 
 
-def test_cancel_replays_at_the_source(spark):
-    """Nothing of an abandoned move remains: all counts end at the source."""
+@pytest.mark.parametrize("flip, release, cancel", [(9, None, 25), (9, 30, 25), (9, 20, 25), (29, None, 15)])
+def test_cancel_gives_the_batch_answer(spark, flip, release, cancel):
+    """Nothing of an abandoned move remains; one released before is not abandoned any more."""
     ev = stream(spark, ["key-7", "key-8"] * 20)
-    cut = move(spark, "key-7", 9, 25)
-    control = jobs.control_records(cut, 1).withColumn(
-        "control", F.when(F.col("control") == "release", CANCEL).otherwise(F.col("control"))
+    cut = move(spark, "key-7", flip, release).withColumn("cancel_seq", F.lit(cancel).cast("long"))
+    out = run_hold(spark, ev, jobs.control_records(cut, 2), [10, 20, 30], 2).result(spark)
+    want = cutover.hold_replay(with_groups(counts.running_count(ev)), cut)
+    assert rows(out, *COLUMNS) == rows(want, *COLUMNS)
+    if release is None or release > cancel:
+        source = cut.first()["source"]
+        assert out.where("key = 'key-7'").where(F.col("owner") != source).count() == 0
+
+
+def test_hold_takes_the_users_function(spark):
+    ev = stream(spark, ["key-7", "key-8"] * 10).withColumn("value", F.col("seq") * 1.0)
+    cut = move(spark, "key-7", 5, 11)
+    job = run_hold(
+        spark, ev, jobs.control_records(cut, 1), [4, 8, 12], 1, update=lambda n, r: n + int(r.value)
+    )
+    sums = {r["seq"]: r["n"] for r in job.result(spark).where("key = 'key-7'").collect()}
+    assert sums == {s: sum(range(0, s + 1, 2)) for s in range(0, 20, 2)}
+
+
+def test_users_fold_over_batches(spark, ev):
+    inbox = fresh_path(spark, "inbox")
+    job = jobs.Job(
+        lambda s: jobs.running_fold(
+            streams.file_stream(s, inbox, ev.schema, 1),
+            lambda state, r: (state[0] + r.seq, max(state[1], r.seq)), "total long, most long", (0, -1),
+        ),
+        streams.stream_session(spark), name="fold",
     )
-    out = run_hold(spark, ev, control, [20], 1).result(spark).where("key = 'key-7'")
-    source = cut.first()["source"]
-    assert out.where(F.col("owner") != source).count() == 0
-    assert rows(out, "seq", "n") == sorted([(2 * i, i + 1) for i in range(20)], key=repr)
-    assert out.where("phase = 'held' and effective_seq <> 25").count() == 0
+    for part in parts(ev, 200, 600):
+        streams.land(part.coalesce(1), inbox)
+    job.run()
+    assert job.result(spark).select("batch_id").distinct().count() == 3
+    want = ev.selectExpr(
+        "seq", "key", "sum(seq) over (partition by key order by seq) as total", "seq as most"
+    )
+    assert rows(job.result(spark), "seq", "key", "total", "most") == rows(want)
+
+
+def test_a_record_out_of_order_fails(spark):
+    ev = stream(spark, ["a", "b"] * 5)
+    inbox = fresh_path(spark, "inbox")
+    job = jobs.Job(
+        lambda s: jobs.running_counts(streams.file_stream(s, inbox, ev.schema)),
+        streams.stream_session(spark), name="late",
+    )
+    streams.land(ev.where("seq > 3"), inbox)
+    job.run()
+    streams.land(ev.where("seq <= 3"), inbox)
+    with pytest.raises(Exception, match="came after record"):
+        job.run()
+
+
+def test_partitions_are_those_of_the_checkpoint(spark, ev):
+    inbox = fresh_path(spark, "inbox")
+    job = jobs.Job(
+        lambda s: jobs.running_counts(streams.file_stream(s, inbox, ev.schema)),
+        streams.stream_session(spark), name="kept",
+    )
+    first, second = parts(ev, 500)
+    streams.land(first, inbox)
+    job.run()
+    kept = job.session.conf.get("spark.sql.shuffle.partitions")
+    job.session = streams.stream_session(spark)
+    job.session.conf.set("spark.sql.shuffle.partitions", str(int(kept) - 1))
+    streams.land(second, inbox)
+    job.run()
+    assert job.session.conf.get("spark.sql.shuffle.partitions") == kept
+    assert rows(job.result(spark), "seq", "key", "n") == rows(counts.running_count(ev), "seq", "key", "n")
 
 
 def test_demo_words_are_a_stream(spark):
