@@ -1,7 +1,8 @@
 """State tables ``(state_name, key_group, key, n)``: snapshots, transfer, diff, comparison.
 
-Tables of plans and key-groups are broadcast: they have at most one row per key-group, and there are
-``num_groups`` of those.
+Entries are told apart by ``on``; a null key is a key like any other. What an entry holds is ``n``, or the
+columns named in ``values``. Tables of plans and key-groups are broadcast: they are first reduced to one
+row per key-group, and there are ``num_groups`` of those.
 """
 
 from __future__ import annotations
@@ -11,10 +12,43 @@ from pyspark.sql import functions as F
 
 from keyferry import params
 from keyferry.functions import keys
-from keyferry.scratch import lookup_join
+from keyferry.scratch import fits_broadcast
 
 ENTRY = ["state_name", "key_group", "key"]
 OWNED_ENTRY = ["owner", *ENTRY]
+VALUES = ["n"]
+
+
+def _sides(
+    old: DataFrame, new: DataFrame, on: list[str], values: list[str]
+) -> DataFrame:
+    """Entries of both tables side by side, nulls in ``on`` being equal: ``old_*``, ``new_*`` values, and
+    ``_in_old``, ``_in_new``. One shuffle, combined map-side; entries are unique in each table."""
+    def tag(df: DataFrame, is_new: bool) -> DataFrame:
+        return df.select(*on, *values, F.lit(is_new).alias("_is_new"))
+
+    def of(is_new: bool, value: str) -> Column:
+        mine = F.when(F.col("_is_new") == F.lit(is_new), F.col(value))
+        return F.any_value(mine, F.lit(True)).alias(f"{'new' if is_new else 'old'}_{value}")
+
+    return (
+        tag(old, False)
+        .unionByName(tag(new, True))
+        .groupBy(*on)
+        .agg(
+            *[of(False, v) for v in values],
+            *[of(True, v) for v in values],
+            (F.count_if(~F.col("_is_new")) > 0).alias("_in_old"),
+            (F.count_if("_is_new") > 0).alias("_in_new"),
+        )
+    )
+
+
+def _same_values(values: list[str]) -> Column:
+    same = F.lit(True)
+    for v in values:
+        same = same & F.col(f"old_{v}").eqNullSafe(F.col(f"new_{v}"))
+    return same
 
 
 def state_snapshot(
@@ -22,13 +56,18 @@ def state_snapshot(
     cut_seq: int,
     recent_rows: int | None = None,
     num_groups: int = params.NUM_GROUPS,
+    groups: DataFrame | None = None,
 ) -> DataFrame:
-    """State of the counters after the record ``cut_seq``.
+    """State of the counters after the record ``cut_seq``, of all key-groups or of ``groups`` only, whose
+    records are picked before they are shuffled.
 
     State ``count`` has every key so far. With ``recent_rows``, state ``recent`` counts the last
     that many sequence numbers, so its entries also disappear. Both come from one aggregation.
     """
     upto = records.where(F.col("seq") <= cut_seq)
+    if groups is not None:
+        grouped = upto.withColumn("key_group", keys.key_group(F.col("key"), num_groups))
+        upto = extract_groups(grouped, groups).drop("key_group")
     items = [F.struct(F.lit("count").alias("state_name"), F.col("_all").alias("n"))]
     aggs = [F.count("*").alias("_all")]
     if recent_rows is not None:
@@ -59,19 +98,28 @@ def extract_groups(state: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def state_lookup(state: DataFrame, wanted: DataFrame, num_groups: int = params.NUM_GROUPS):
-    """Values of single keys. ``wanted`` is a settled table of distinct keys."""
+    """Values of single keys. ``wanted`` is a settled table of distinct keys.
+
+    Only the folders of the keys' groups are read. Few keys are broadcast; state keys are unique, so
+    beyond that a plain shuffled join has no hot key.
+    """
     located = wanted.select(
-        keys.key_group(F.col("key"), num_groups).alias("key_group"), "key"
+        keys.key_group(F.col("key"), num_groups).alias("key_group"), F.col("key").alias("_key")
     )
-    return lookup_join(state, located, ["key_group", "key"], F.col("key"), "left_semi")
+    near = extract_groups(state, located)
+    names = located.select("_key")
+    if fits_broadcast(wanted):
+        names = F.broadcast(names)
+    return near.join(names, near.key.eqNullSafe(F.col("_key")), "left_semi")
 
 
-def ingest(target: DataFrame, moved: DataFrame, on: list[str] | None = None) -> DataFrame:
+def ingest(
+    target: DataFrame, moved: DataFrame, on: list[str] | None = None, values: list[str] = VALUES
+) -> DataFrame:
     """Put the moved entries into the target; other entries stay as they are."""
     on = on or ENTRY
-    new = moved.select(*on, F.col("n").alias("_new"))
-    return target.join(new, on, "full_outer").select(
-        *on, F.coalesce("_new", "n").alias("n")
+    return _sides(target, moved, on, values).select(
+        *on, *[F.when(F.col("_in_new"), F.col(f"new_{v}")).otherwise(F.col(f"old_{v}")).alias(v) for v in values]
     )
 
 
@@ -105,10 +153,11 @@ def own_state(
 
 
 def moved_state(state: DataFrame, plans: DataFrame) -> DataFrame:
-    """The moving key-groups' entries as the targets of the plans get them."""
-    return state.join(
-        F.broadcast(plans.select("key_group", F.col("target").alias("owner"))), "key_group"
-    ).select(*state.columns, "owner")
+    """The moving key-groups' entries as the targets of the plans get them. Of several plans for a
+    group the first one counts."""
+    first = F.min_by("target", "plan_id") if "plan_id" in plans.columns else F.min("target")
+    target = plans.groupBy("key_group").agg(first.alias("owner"))
+    return state.join(F.broadcast(target), "key_group").select(*state.columns, "owner")
 
 
 def deletion_counts(state: DataFrame, groups: DataFrame) -> DataFrame:
@@ -124,30 +173,37 @@ def deletion_counts(state: DataFrame, groups: DataFrame) -> DataFrame:
     )
 
 
-def state_delta(source: DataFrame, target: DataFrame, on: list[str] | None = None) -> DataFrame:
+def state_delta(
+    source: DataFrame, target: DataFrame, on: list[str] | None = None, values: list[str] = VALUES
+) -> DataFrame:
     """What must happen to ``target`` to become ``source``; equal entries give no row."""
     on = on or ENTRY
-    old = target.select(*on, F.col("n").alias("old_n"), F.lit(True).alias("_old"))
-    new = source.select(*on, F.col("n").alias("new_n"), F.lit(True).alias("_new"))
     change = (
-        F.when(F.col("_old").isNull(), "put_new")
-        .when(F.col("_new").isNull(), "delete")
-        .when(~F.col("old_n").eqNullSafe(F.col("new_n")), "put_changed")
+        F.when(~F.col("_in_old"), "put_new")
+        .when(~F.col("_in_new"), "delete")
+        .when(~_same_values(values), "put_changed")
     )
     return (
-        old.join(new, on, "full_outer")
-        .select(*on, change.alias("change"), "old_n", "new_n")
+        _sides(target, source, on, values)
+        .withColumn("change", change)
         .where("change is not null")
+        .select(*on, "change", *[f"old_{v}" for v in values], *[f"new_{v}" for v in values])
     )
 
 
-def apply_delta(target: DataFrame, delta: DataFrame, on: list[str] | None = None) -> DataFrame:
+def apply_delta(
+    target: DataFrame, delta: DataFrame, on: list[str] | None = None, values: list[str] = VALUES
+) -> DataFrame:
     on = on or ENTRY
-    changes = delta.select(*on, "change", "new_n")
-    return (
-        target.join(changes, on, "full_outer")
-        .where("change is null or change <> 'delete'")
-        .select(*on, F.when(F.col("change").isNotNull(), F.col("new_n")).otherwise(F.col("n")).alias("n"))
+    changes = delta.select(
+        *on, F.col("change").alias("_change"), *[F.col(f"new_{v}").alias(v) for v in values]
+    )
+    both = _sides(
+        target.withColumn("_change", F.lit(None).cast("string")), changes, on, [*values, "_change"]
+    )
+    return both.where("new__change is null or new__change <> 'delete'").select(
+        *on,
+        *[F.when(F.col("_in_new"), F.col(f"new_{v}")).otherwise(F.col(f"old_{v}")).alias(v) for v in values],
     )
 
 
@@ -173,22 +229,22 @@ def compare(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
 
 
 def isolation_check(
-    before: DataFrame, after: DataFrame, moved_groups: DataFrame, on: list[str] | None = None
+    before: DataFrame,
+    after: DataFrame,
+    moved_groups: DataFrame,
+    on: list[str] | None = None,
+    values: list[str] = VALUES,
 ) -> DataFrame:
     """Own entries of a target must stay; the only new ones may be those of the moved groups."""
     on = on or ENTRY
     moved = moved_groups.select("key_group").distinct().withColumn("_moved", F.lit(True))
-    old = before.select(*on, F.col("n").alias("_old"), F.lit(True).alias("_in_old"))
-    new = after.select(*on, F.col("n").alias("_new"), F.lit(True).alias("_in_new"))
-    rows = old.join(new, on, "full_outer").join(F.broadcast(moved), "key_group", "left")
-    both = F.col("_in_old").isNotNull() & F.col("_in_new").isNotNull()
-    same = F.col("_old").eqNullSafe(F.col("_new"))
-    is_new = F.col("_in_old").isNull()
+    rows = _sides(before, after, on, values).join(F.broadcast(moved), "key_group", "left")
+    both, same = F.col("_in_old") & F.col("_in_new"), _same_values(values)
     return rows.agg(
         F.count_if(both & same).alias("kept"),
-        F.count_if((both & ~same) | F.col("_in_new").isNull()).alias("changed"),
-        F.count_if(is_new & F.col("_moved").isNotNull()).alias("new_moved"),
-        F.count_if(is_new & F.col("_moved").isNull()).alias("new_other"),
+        F.count_if((both & ~same) | ~F.col("_in_new")).alias("changed"),
+        F.count_if(~F.col("_in_old") & F.col("_moved").isNotNull()).alias("new_moved"),
+        F.count_if(~F.col("_in_old") & F.col("_moved").isNull()).alias("new_other"),
     )
 
 

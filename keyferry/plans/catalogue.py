@@ -140,8 +140,10 @@ def physical_route(spark: SparkSession, d: str) -> DataFrame:
 # State tables
 
 
-def _state(spark: SparkSession, d: str, b: Bounds, cut: int) -> DataFrame:
-    return st.state_snapshot(records(spark, d), cut, b.recent_rows)
+def _state(
+    spark: SparkSession, d: str, b: Bounds, cut: int, groups: DataFrame | None = None
+) -> DataFrame:
+    return st.state_snapshot(records(spark, d), cut, b.recent_rows, groups=groups)
 
 
 def state_snapshot(spark: SparkSession, d: str) -> DataFrame:
@@ -232,7 +234,7 @@ def _group_sums(table: DataFrame) -> DataFrame:
 
 def export_group(spark: SparkSession, d: str) -> DataFrame:
     b = bounds(spark, d)
-    moved = st.extract_groups(_state(spark, d, b, b.flip_seq), inputs.plans(spark, d))
+    moved = _state(spark, d, b, b.flip_seq, inputs.plans(spark, d))
     return _group_sums(sinks.write_state(moved, fresh_path(spark, "export")))
 
 
@@ -241,21 +243,23 @@ def bulk_load_group(spark: SparkSession, d: str) -> DataFrame:
     b = bounds(spark, d)
     table, path = _written_state(spark, d, b, b.flip_seq)
     exported = sinks.write_state(
-        st.extract_groups(_state(spark, d, b, b.release_seq), inputs.plans(spark, d)),
+        _state(spark, d, b, b.release_seq, inputs.plans(spark, d)),
         fresh_path(spark, "export"),
     )
     sinks.overwrite_groups(exported, path)
     return _group_sums(sinks.read_state(spark, path, table))
 
 
-def _targets_and_moved(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _targets_and_moved(
+    spark: SparkSession, d: str, plans: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame, DataFrame]:
     """All owners' tables with a first copy of the moving groups at their targets, the entries of a
     later round for those, and the ``(owner, key_group)`` pairs that are hosted."""
     b = bounds(spark, d)
-    plans = inputs.plans(spark, d)
+    plans = inputs.plans(spark, d) if plans is None else plans
     before = _state(spark, d, b, b.flip_seq)
     target = st.own_state(before).unionByName(st.moved_state(before, plans))
-    moved = st.moved_state(_state(spark, d, b, b.release_seq), plans)
+    moved = st.moved_state(_state(spark, d, b, b.release_seq, plans), plans)
     pairs = plans.select(F.col("target").alias("owner"), "key_group")
     return target, moved, pairs
 
@@ -277,6 +281,22 @@ def state_delta(spark: SparkSession, d: str) -> DataFrame:
     return st.state_delta(_state(spark, d, b, b.release_seq), _state(spark, d, b, b.flip_seq))
 
 
+def state_delta_values(spark: SparkSession, d: str) -> DataFrame:
+    """As ``state_delta`` for a state of two values: sum and maximum of ``value`` in cents."""
+    b = bounds(spark, d)
+
+    def snapshot(cut: int) -> DataFrame:
+        cents = F.round(F.col("value") * 100).cast("long")
+        return (
+            records(spark, d).where(F.col("seq") <= cut).groupBy("key")
+            .agg(F.sum(cents).alias("cents"), F.max(cents).alias("most"))
+            .select(F.lit("value").alias("state_name"), keys.key_group(F.col("key")).alias("key_group"),
+                    "key", "cents", "most")
+        )
+
+    return st.state_delta(snapshot(b.release_seq), snapshot(b.flip_seq), values=["cents", "most"])
+
+
 def apply_delta(spark: SparkSession, d: str) -> DataFrame:
     b = bounds(spark, d)
     source = settle(_state(spark, d, b, b.release_seq), "source")
@@ -312,36 +332,40 @@ def isolation_check(spark: SparkSession, d: str) -> DataFrame:
     b = bounds(spark, d)
     plans = inputs.plans(spark, d)
     own = st.own_state(_state(spark, d, b, b.flip_seq))
-    _, moved, pairs = _targets_and_moved(spark, d)
+    _, moved, pairs = _targets_and_moved(spark, d, plans)
     after = st.replace_groups(own, moved, pairs, ("owner", "key_group"))
     return st.isolation_check(own, after, plans, st.OWNED_ENTRY)
 
 
 def transfer_summary(spark: SparkSession, d: str) -> DataFrame:
     b = bounds(spark, d)
-    moved = st.extract_groups(_state(spark, d, b, b.release_seq), inputs.plans(spark, d))
-    return st.transfer_summary(moved)
+    return st.transfer_summary(_state(spark, d, b, b.release_seq, inputs.plans(spark, d)))
 
 
 def abort_rollback(spark: SparkSession, d: str) -> DataFrame:
-    """Copy, flip, abort: the targets drop what they got, the flips are cleared where they began."""
+    """Copy, flip, abort at the release: the targets drop what they got, the flips are cleared.
+
+    Records between flip and abort were routed to the targets; held there, they are replayed at their
+    sources. So the final counts by owner, from the replayed stream, must be those of a run without a move.
+    """
     b = bounds(spark, d)
     plans = inputs.plans(spark, d)
-    copied, _, pairs = _targets_and_moved(spark, d)
+    copied, _, pairs = _targets_and_moved(spark, d, plans)
     copied = settle(copied, "copied")
     rolled_back = st.delete_groups(copied, pairs, ("owner", "key_group"))
     flips = plans.select(
         "key_group", F.lit(b.flip_seq).cast("long").alias("at_seq"), F.lit(0).alias("pos"), "target"
     )
-    log = settle(
-        flips.unionByName(
-            flips.withColumn("pos", F.lit(1)).withColumn("target", F.lit(None).cast("int"))
-        ),
-        "log",
+    cleared = flips.withColumns(
+        {"at_seq": F.lit(b.release_seq).cast("long"), "target": F.lit(None).cast("int")}
+    )
+    log = settle(flips.unionByName(cleared), "log")
+    given_up = inputs.cutovers(spark, d, b).withColumns(
+        {"release_seq": F.lit(None).cast("long"), "cancel_seq": F.lit(b.release_seq).cast("long")}
     )
     ev = with_groups(records(spark, d).select("seq", "key"))
-    routed = routing.route_effective(ev, log)
-    after = counts.last_count_by_owner(routed)
+    replayed = settle(cutover.hold_replay(counts.running_count(ev), settle(given_up, "given-up")), "replayed")
+    after = replayed.groupBy("owner", "key").agg(F.max("n").alias("n"))
     plain = st.own_state(
         counts.key_counts(ev).withColumn("key_group", keys.key_group(F.col("key")))
     )
@@ -522,8 +546,22 @@ def ownership_violations(spark: SparkSession, d: str) -> DataFrame:
 
 
 def same_as_no_migration(spark: SparkSession, d: str) -> DataFrame:
-    cut = inputs.cutovers(spark, d, bounds(spark, d))
-    return st.compare(_processed(spark, d, cut), running_count(spark, d), ["seq", "key", "n"])
+    """The outputs of two streaming queries that handed state over, against a plain running count."""
+    handed = settle(state_handoff(spark, d), "handed-over")
+    return st.compare(handed, running_count(spark, d), ["seq", "key", "n"])
+
+
+def handoff_reconciled(spark: SparkSession, d: str) -> DataFrame:
+    """As ``handoff_integrity``, over what both streaming queries of a hand-off have put out."""
+    b = bounds(spark, d)
+    cut = inputs.cutovers(spark, d, b)
+    handed = with_groups(settle(state_handoff(spark, d), "handed-over")).drop("owner")
+    moves = F.broadcast(cut.select("key_group", "source", "target"))
+    owned = handed.join(moves, "key_group").withColumn(
+        "owner", F.when(F.col("query") == 1, F.col("source")).otherwise(F.col("target"))
+    )
+    emitted = with_groups(records(spark, d).select("seq", "key"))
+    return integrity.handoff_integrity(emitted, owned, cut)
 
 
 # Lifecycle
@@ -656,14 +694,14 @@ QUERIES = {
         key_group_assign, owner_ranges, owner_load, singleton_groups, partition_size, make_plans,
         serve_check, physical_route, phase_stream,
         state_snapshot, state_from_checkpoint, state_lookup, extract_group, export_group,
-        bulk_load_group, ingest_group, replace_group, state_delta, apply_delta, delete_group,
+        bulk_load_group, ingest_group, replace_group, state_delta, state_delta_values, apply_delta, delete_group,
         state_equal, isolation_check, transfer_summary, abort_rollback,
         precopy_rounds, precopy_outcome, state_change_feed,
         route_current, overrides_from_barriers, route_effective,
         affected_records, unaffected_records, plan_for_partition, barrier_fanout,
         barrier_arrivals, barrier_alignment, stream_alignment, migration_ready,
         hold_replay, stream_hold_replay, hold_cancel, stream_hold_cancel, hold_stats,
-        handoff_integrity, ownership_violations, same_as_no_migration,
+        handoff_integrity, handoff_reconciled, ownership_violations, same_as_no_migration,
         admit_plans, lifecycle_fold, stream_lifecycle, invalid_transitions, timeouts,
         migration_metrics, active_migrations,
         state_handoff, restart_recovery,

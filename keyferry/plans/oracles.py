@@ -539,6 +539,22 @@ select key, count(*) as emitted, count(*) filter (phase = 'pre') as at_source,
   count(*) filter (phase <> 'pre') as at_target, 0::bigint as lost, 0::bigint as duplicated,
   true as cut_clean
 from replayed where phase <> 'other' group by 1"""),
+    "handoff_reconciled": _q(EV, PLANS, select="""
+select key, count(*) as emitted, count(*) filter (seq <= flip) as at_source,
+  count(*) filter (seq > flip) as at_target, 0::bigint as lost, 0::bigint as duplicated,
+  true as cut_clean
+from ev join plans using (key_group) cross join b group by 1"""),
+    "state_delta_values": _q(EV, select="""
+, c as (
+  select event_id as seq, cast(user_id as varchar) as key, cast(round(value * 100) as bigint) as v
+  from events
+), o as (select key, sum(v)::bigint as cents, max(v) as most from c, b where seq <= flip group by 1),
+n as (select key, sum(v)::bigint as cents, max(v) as most from c, b where seq <= rel group by 1)
+select 'value' as state_name, k.key_group, n.key,
+  case when o.key is null then 'put_new' else 'put_changed' end as change,
+  o.cents as old_cents, o.most as old_most, n.cents as new_cents, n.most as new_most
+from n left join o using (key) join (select distinct key, key_group from ev) k on k.key = n.key
+where o.key is null or o.cents is distinct from n.cents or o.most is distinct from n.most"""),
     "ownership_violations": _q(EV, PLANS, select="""
 select count(distinct key) as keys_checked, 0::bigint as keys_multi_owner
 from ev where key_group not in (select key_group from plans)"""),

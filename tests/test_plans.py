@@ -57,3 +57,23 @@ def test_extracting_a_group_reads_only_its_folder(spark, data):
     assert "PartitionFilters: [isnotnull(key_group" in one
     moved = plan(st.extract_groups(table, inputs.plans(spark, data)))
     assert "dynamicpruning" in moved
+
+
+def test_moving_groups_are_picked_before_the_shuffle(spark, data):
+    b, groups = inputs.bounds(spark, data), inputs.plans(spark, data)
+    tree = plan(st.state_snapshot(records(spark, data), b.flip_seq, groups=groups))
+    tree = tree.split("===")[-1] if "Physical Plan" not in tree else tree
+    lines = tree.splitlines()
+    join = next(i for i, line in enumerate(lines) if "BroadcastHashJoin LeftSemi" in line)
+    shuffle = next(i for i, line in enumerate(lines) if "Exchange (" in line and "Broadcast" not in line)
+    assert shuffle < join  # the tree is printed from the top
+
+
+def test_lookup_reads_only_the_keys_folders(spark, data):
+    from keyferry.scratch import settle
+
+    b = inputs.bounds(spark, data)
+    path = fresh_path(spark, "state")
+    state = sinks.write_state(st.state_snapshot(records(spark, data), b.flip_seq), path)
+    wanted = settle(spark.createDataFrame([("7",)], "key string"))
+    assert "dynamicpruning" in plan(st.state_lookup(state, wanted))

@@ -96,3 +96,63 @@ def test_lookup_finds_only_the_wanted_keys(spark, data):
     wanted = settle(spark.createDataFrame([("7",), ("nobody",)], "key string"))
     want = key_counts(records(spark, data)).where("key = '7'")
     assert rows(st.state_lookup(state, wanted), "key", "n") == rows(want)
+
+
+def test_a_null_key_is_a_key(spark):
+    source = table(spark, (0, None, 4), (7, "a", 1))
+    older = table(spark, (0, None, 3), (7, "a", 1))
+    assert st.state_delta(source, source).count() == 0
+    assert rows(st.state_delta(source, older), "key", "change", "old_n", "new_n") == [
+        (None, "put_changed", 3, 4)
+    ]
+    for again in (
+        st.apply_delta(source, st.state_delta(source, source)),
+        st.apply_delta(older, st.state_delta(source, older)),
+        st.ingest(source, source),
+        st.ingest(older, source),
+    ):
+        assert rows(again, *ON, "n") == rows(source, *ON, "n")
+    assert rows(st.isolation_check(source, source, groups(spark, 7))) == [(2, 0, 0, 0)]
+    gone = st.state_delta(table(spark), source)
+    assert rows(st.apply_delta(source, gone), "key") == []
+
+
+def test_lookup_of_a_null_key(spark):
+    from keyferry.scratch import settle
+
+    state = table(spark, (0, None, 4), (0, "x", 5))
+    wanted = settle(spark.createDataFrame([(None,)], "key string"))
+    assert rows(st.state_lookup(state, wanted), "n") == [(4,)]
+
+
+def test_states_of_several_values(spark):
+    schema = "state_name string, key_group int, key string, total double, most long"
+    new = spark.createDataFrame([("s", 1, "a", 2.5, None), ("s", 1, "b", 1.0, 3)], schema)
+    old = spark.createDataFrame([("s", 1, "a", 2.5, 9), ("s", 1, "c", 1.0, 3)], schema)
+    values = ["total", "most"]
+    delta = st.state_delta(new, old, values=values)
+    assert rows(delta, "key", "change") == [("a", "put_changed"), ("b", "put_new"), ("c", "delete")]
+    applied = st.apply_delta(old, delta, values=values)
+    assert rows(applied, *ON, *values) == rows(new, *ON, *values)
+    assert rows(st.ingest(old, new, values=values), "key", *values) == [
+        ("a", 2.5, None), ("b", 1.0, 3), ("c", 1.0, 3)
+    ]
+
+
+def test_the_first_plan_of_a_group_counts(spark):
+    plans = spark.createDataFrame([(2, 7, 3), (1, 7, 2)], "plan_id long, key_group int, target int")
+    assert rows(st.moved_state(table(spark, (7, "a", 1)), plans), "owner") == [(2,)]
+
+
+def test_isolation_check_sees_damage(spark):
+    own = table(spark, (2, "own", 1), (3, "other", 1))
+    damaged = table(spark, (2, "own", 9), (7, "moved", 1), (8, "stray", 1))
+    assert rows(st.isolation_check(own, damaged, groups(spark, 7))) == [(0, 2, 1, 1)]
+
+
+def test_comparison_after_a_wrong_delta_sees_it(spark):
+    source, target = table(spark, (7, "a", 1), (7, "b", 2)), table(spark, (7, "b", 1))
+    partial = st.state_delta(source, target).where("change = 'put_new'")
+    applied = st.apply_delta(target, partial)
+    assert st.state_delta(source, applied).count() == 1
+    assert rows(st.compare(source, applied, [*ON, "n"]), "left_only", "right_only") == [(1, 1)]
