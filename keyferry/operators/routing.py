@@ -6,7 +6,7 @@ group's next one; ``pos`` orders overrides of the same ``at_seq``; a null ``targ
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -77,25 +77,43 @@ def route_effective(
     records: DataFrame,
     log: DataFrame,
     max_rows: int = params.BROADCAST_ROWS,
-    max_intervals: int = params.INTERVALS_PER_GROUP,
+    pieces: int = params.INTERVAL_PIECES,
     block: int = params.BLOCK,
 ) -> DataFrame:
     """Set ``owner`` to the one in force at each record; ``since_seq`` is where that began.
 
-    ``records`` has ``seq, key_group, owner`` (the default). A small log is broadcast as intervals
-    and records stay where they are. A larger one goes through ``_route_by_blocks``.
+    ``records`` has ``seq, key_group, owner`` (the default). The log is broadcast as intervals and records
+    stay where they are. Intervals are cut at up to ``pieces`` places of ``seq``, so that a record is
+    compared with the few of its group and piece, however long the log. Only a log of more than
+    ``max_rows`` intervals goes through ``_route_by_blocks``.
     """
     intervals = settle(override_intervals(log), "intervals")
-    size = intervals.groupBy("key_group").agg(F.count("*").alias("n")).agg(
+    size = intervals.groupBy("key_group").agg(
+        F.count("*").alias("n"), F.min("since_seq").alias("lo"), F.max("since_seq").alias("hi")
+    ).agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
         F.coalesce(F.max("n"), F.lit(0)).alias("most"),
+        F.coalesce(F.min("lo"), F.lit(0)).alias("lo"),
+        F.coalesce(F.max("hi"), F.lit(0)).alias("hi"),
     ).first()
-    if size["rows"] > max_rows or size["most"] > max_intervals:
+    if size["rows"] > max_rows:
         return _route_by_blocks(records, log, block)
-    i = F.broadcast(intervals).alias("i")
-    r = records.alias("r")
+    count = max(1, min(pieces, size["most"]))
+    width = (size["hi"] - size["lo"]) // count + 1
+
+    def piece(seq: str) -> Column:
+        number = F.expr(f"({seq} - ({size['lo']}L)) div {width}L")
+        return F.greatest(F.lit(0).cast("long"), F.least(number, F.lit(count - 1).cast("long")))
+
+    last = F.when(F.col("until_seq").isNull(), F.lit(count - 1).cast("long")).otherwise(
+        piece("until_seq")
+    )
+    cut = intervals.withColumn("_piece", F.explode(F.sequence(piece("since_seq"), last)))
+    i = F.broadcast(cut).alias("i")
+    r = records.withColumn("_piece", piece("seq")).alias("r")
     inside = (
         (F.col("r.key_group") == F.col("i.key_group"))
+        & (F.col("r._piece") == F.col("i._piece"))
         & (F.col("r.seq") > F.col("i.since_seq"))
         & (F.col("i.until_seq").isNull() | (F.col("r.seq") <= F.col("i.until_seq")))
     )

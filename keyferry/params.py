@@ -21,8 +21,9 @@ VALUE_BYTES = 8
 # has a shuffled way to the same result.
 BROADCAST_ROWS = 200_000
 
-# Intervals of one key-group that a broadcast range join may have to look through per record.
-INTERVALS_PER_GROUP = 64
+# Pieces of the sequence at which broadcast routing intervals are cut. With ``NUM_GROUPS`` groups they add at
+# most NUM_GROUPS * INTERVAL_PIECES rows to the broadcast table.
+INTERVAL_PIECES = 1024
 
 # A key with more records than this is split by blocks of the sequence number.
 HOT_ROWS = 20_000_000

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
@@ -675,24 +676,54 @@ def state_handoff(spark: SparkSession, d: str) -> DataFrame:
 
 
 def restart_recovery(spark: SparkSession, d: str) -> DataFrame:
-    """Final counts of a query stopped and restarted on its checkpoint, with the owners after it:
-    committed overrides (odd plans) stay, those in flight are gone."""
+    """Final counts of a query whose sink fails in the second phase after a part was written, and that
+    starts again from its checkpoint; with the owners after it: overrides of moves that the lifecycle
+    says are committed stay, those in flight are gone."""
     b = bounds(spark, d)
-    job = _phased(spark, d, b, lambda r: jobs.key_counts(_keyed(r)), "update", "restart")
+    session = streams.stream_session(spark)
+    phases = _phases(spark, d, b)
+    inbox = fresh_path(spark, "inbox")
+    job = jobs.Job(
+        lambda s: jobs.key_counts(_keyed(streams.file_stream(s, inbox, phases[0].schema))),
+        session, "update", "restart",
+    )
+    write = sinks.batch_writer(job.output)
+
+    def failing(batch: DataFrame, batch_id: int) -> None:
+        write(batch.where("n % 2 = 0"), batch_id)
+        raise RuntimeError("the sink is lost")
+
+    for number, phase in enumerate(phases):
+        streams.land(phase, inbox)
+        if number == 1:
+            try:
+                job.run(failing)
+            except StreamingQueryException as error:
+                if "the sink is lost" not in str(error):
+                    raise
+        job.run()
     totals = job.result(spark).groupBy("key").agg(F.max("n").alias("n"))
-    committed = inputs.plans(spark, d).where("plan_id % 2 = 1").select("key_group", "target")
+    ended = lifecycle_fold(spark, d).where("state = 'COMMITTED'")
+    committed = inputs.plans(spark, d).join(
+        ended.select(F.col("migration_id").alias("key_group")), "key_group", "left_semi"
+    ).select("key_group", "target")
     return with_groups(totals).join(F.broadcast(committed), "key_group", "left").select(
         "key", F.coalesce("target", "owner").alias("owner"), "n"
     )
 
 
+def shared_target(spark: SparkSession, d: str) -> DataFrame:
+    """The plans of the first two owners, sent to one third party."""
+    return placement.shared_target(inputs.plans(spark, d).where("source < 2"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         tokens, word_count, stream_word_count, running_count, stream_running_count,
         stream_running_fold, last_count_by_owner, seen_by_owner, hot_key_totals,
         key_group_assign, owner_ranges, owner_load, singleton_groups, partition_size, make_plans,
-        serve_check, physical_route, phase_stream,
+        shared_target, serve_check, physical_route, phase_stream,
         state_snapshot, state_from_checkpoint, state_lookup, extract_group, export_group,
         bulk_load_group, ingest_group, replace_group, state_delta, state_delta_values, apply_delta, delete_group,
         state_equal, isolation_check, transfer_summary, abort_rollback,

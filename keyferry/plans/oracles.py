@@ -600,7 +600,16 @@ from (select unnest(['IDLE', 'INIT', 'PRE_COPY', 'AWAIT_BARRIER', 'FINALIZING',
 select seq, key, n, case when seq > flip and key_group in (select key_group from plans)
   then 2 else 1 end::int as query
 from counted, b"""),
-    "restart_recovery": _q(EV, PLANS, select="""
-select key, coalesce(p.target, l.owner)::int as owner, r as n
-from load l left join plans p on p.key_group = l.key_group and p.plan_id % 2 = 1"""),
+    "restart_recovery": _q(EV, FOLD, PLANS, recursive=True, select="""
+select key, coalesce(p.target, ev.owner) as owner, count(*) as n
+from ev left join (
+  select key_group, target from plans
+  where key_group in (select migration_id from done where state = 'COMMITTED')
+) p on p.key_group = ev.key_group
+group by 1, 2"""),
+    "shared_target": _q(EV, PLANS, select="""
+select plan_id, key_group, source, est_bytes,
+  (select min(o) from unnest([0, 1, 2, 3]) t(o) where o not in (
+    select source from plans where source < 2))::int as target
+from plans where source < 2"""),
 }

@@ -79,6 +79,20 @@ def test_both_ways_to_route_agree_with_brute_force(spark, data):
     assert sorted(tuple(r) for r in large.select("seq", "owner", "since_seq").collect()) == want
 
 
+def test_a_long_log_is_routed_right_and_without_a_shuffle(spark, data):
+    """Two years of daily overrides of one group, cut in few or many pieces."""
+    ev = with_groups(records(spark, data).select("seq", "key")).where("seq < 800")
+    plain = [tuple(r) for r in ev.select("seq", "key_group", "owner").collect()]
+    group = plain[0][1]
+    log = random_log([group], 800, 730, seed=3) + random_log([g for _, g, _ in plain[:3]], 800, 20)
+    table = spark.createDataFrame(sorted(set(log), key=repr), LOG).dropDuplicates(["key_group", "at_seq", "pos"])
+    want = brute(plain, [tuple(r) for r in table.collect()])
+    for pieces in (1, 7, 1024):
+        out = routing.route_effective(ev, table, pieces=pieces)
+        assert "Exchange hashpartitioning" not in out._jdf.queryExecution().toString()
+        assert sorted(tuple(r) for r in out.select("seq", "owner", "since_seq").collect()) == want
+
+
 def test_each_owner_has_its_own_partitions(spark, data):
     ev = with_groups(records(spark, data).select("seq", "key"))
     one = routing.physical_route(ev)
