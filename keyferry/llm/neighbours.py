@@ -8,8 +8,9 @@ until their probabilities reach a bound (at least ``PROBES``). The bound is set
 the network didn't learn from: the least one that finds ``RECALL`` of their neighbours in the sample. All
 candidates in those partitions are compared in double precision.
 
-The fit reads a sample of about ``SAMPLE`` vectors, whatever the table's size; every row is indexed. There
-is a partition per ``PER_PART`` rows, at most ``MAX_PARTS``. A partition is searched in blocks of about
+The fit reads a sample of about ``SAMPLE`` vectors, whatever the table's size; every row is indexed. The
+number of partitions follows the root of the number of rows (one per ``ROOT``, at most ``MAX_PARTS``), so that
+a query's partial results grow slower than the table. A partition is searched in blocks of about
 ``BLOCK`` rows and ``BLOCK`` queries, so one that holds very many copies is spread over many tasks, and each block
 gives a query's best only.
 
@@ -33,7 +34,7 @@ from keyferry.scratch import settle
 
 K = 20
 SAMPLE = 8_000
-PER_PART = 1_500
+ROOT = 14
 MAX_PARTS = 256
 GRAPH = 16
 HIDDEN = 128
@@ -205,7 +206,7 @@ def fit(rows: DataFrame, sample: int = SAMPLE) -> tuple[Router | None, int]:
     vectors = _matrix(drawn.select("v").toArrow().column(0))
     if len(vectors) < 2:
         vectors = _matrix(rows.sort("vec_id").limit(2).select("v").toArrow().column(0))
-    parts = int(np.clip(n // PER_PART, 1, min(MAX_PARTS, max(len(vectors) // 16, 1))))
+    parts = int(np.clip(n**0.5 // ROOT, 1, min(MAX_PARTS, max(len(vectors) // 16, 1))))
     return Router(vectors, parts), n
 
 

@@ -232,7 +232,7 @@ def test_neighbours_against_brute_force(spark, data):
 
 
 def test_many_partitions_small_blocks_and_copies(spark, monkeypatch):
-    monkeypatch.setattr(neighbours, "PER_PART", 100)
+    monkeypatch.setattr(neighbours, "ROOT", 3)
     rng = np.random.default_rng(2)
     centres = rng.normal(size=(12, 8))
     vectors = (centres[rng.integers(0, 12, 1500)] + 0.2 * rng.normal(size=(1500, 8))).astype(np.float32)
