@@ -278,6 +278,7 @@ def migration_metrics(log: DataFrame, walked: DataFrame) -> DataFrame:
     sums = seen.groupBy(MIGRATION).agg(
         F.count_if(is_round).alias("_rounds"),
         F.sum(moved).alias("_bytes"),
+        F.bool_or(is_final & F.coalesce("ok", F.lit(True))).alias("_final"),
         F.max_by(F.when(is_round, F.col("delta_size")), F.when(is_round, F.col("pos"))).alias("_last"),
     )
     now = log.agg(F.max("at_ts")).scalar()
@@ -295,7 +296,8 @@ def migration_metrics(log: DataFrame, walked: DataFrame) -> DataFrame:
         F.col("_last").alias("last_delta"),
         F.floor(seconds).cast("long").alias("duration_s"),
         F.coalesce(injected & in_time, F.lit(False)).alias("barrier_injected"),
-        (F.col("state") == "COMMITTED").alias("final_delta_sent"),
+        # The final copy is sent once barriers are aligned, so its success counts from then on only.
+        (F.col("aligned").isNotNull() & F.coalesce("_final", F.lit(False))).alias("final_delta_sent"),
     )
 
 

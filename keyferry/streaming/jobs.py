@@ -180,7 +180,6 @@ def lifecycles(log: DataFrame, timeouts: dict[str, int] | None = None) -> DataFr
 
 def first_arrivals_by_day(records: DataFrame) -> DataFrame:
     """Streaming minimum per (owner, channel, day)."""
-    group = keys.key_group(F.col("key"))
     return records.groupBy(
-        keys.owner_of_group(group).alias("task"), "channel", F.to_date("ts").alias("day")
+        keys.owner_of_key(F.col("key")).alias("task"), "channel", F.to_date("ts").alias("day")
     ).agg(F.min("ts").alias("at_ts"))
