@@ -40,14 +40,15 @@ UNKNOWN = "und"
 
 
 def held_out(doc_id: Column) -> Column:
-    """One id in five, by checksum, is kept from learning."""
-    return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)) == 0
+    """One id in five, by checksum, is kept from learning; a null id is not."""
+    rest = F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5))
+    return F.coalesce(rest == 0, F.lit(False))
 
 
 def training_rows(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """text and lang of about ``sample`` documents per language (all, if there are fewer)."""
     known = docs.where(
-        ~F.coalesce(held_out(F.col("doc_id")), F.lit(False))
+        ~held_out(F.col("doc_id"))
         & F.col("lang").isNotNull()
         & F.col("text").isNotNull()
     ).select("lang", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)).alias("draw"))

@@ -219,7 +219,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
         labels.where(
             F.col("quality").isNotNull()
             & F.col("doc_id").isNotNull()
-            & ~F.coalesce(held_out(F.col("doc_id")), F.lit(True))
+            & ~held_out(F.col("doc_id"))
         )
         .groupBy("doc_id")
         .agg(F.min("quality").alias("quality"))
