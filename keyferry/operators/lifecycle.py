@@ -91,21 +91,17 @@ def milestones(
     counted = reports.where("pos > _prepared").select(
         MIGRATION, F.col("pos").alias("ord"), "at_ts", "delta_size", "converged"
     )
-    decided = settle(
-        first_decision(counted, max_rounds, max_non_decreasing, early).select(
-            MIGRATION, F.struct(F.col("ord").alias("pos"), "at_ts", "decision").alias("decided")
-        ),
-        "decided",
+    decided = first_decision(counted, max_rounds, max_non_decreasing, early).select(
+        MIGRATION, F.struct(F.col("ord").alias("pos"), "at_ts", "decision").alias("decided")
     )
 
     waiting = decided.where("decided.decision = 'AWAIT_BARRIER'").select(
         MIGRATION, F.col("decided.pos").alias("_since")
     )
-    aligned = settle(
+    aligned = (
         after(log.where(kind == S.BARRIER_ALIGNED), waiting)
         .groupBy(MIGRATION)
-        .agg(_first(F.lit(True)).alias("aligned")),
-        "aligned",
+        .agg(_first(F.lit(True)).alias("aligned"))
     )
     cut = aligned.select(MIGRATION, F.col("aligned.pos").alias("_since"))
     final = after(log.where(kind == S.FINAL_DELTA_COMPLETE), cut).groupBy(MIGRATION).agg(
