@@ -21,7 +21,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from keyferry.llm import bpe, chains, chat, langid, neighbours, quality, simhash
+from keyferry.llm import bpe, chains, chat, langid, neighbours, quality, simhash, suffixes
 from keyferry.llm import words as W
 from keyferry.llm.common import utf8_buffer
 from keyferry.llm.components import components
@@ -407,6 +407,14 @@ def test_exact_passages_are_among_the_fuzzy_ones(spark, data):
         assert set(range(r["start_word"], r["end_word"])) <= fuzzy.get(r["doc_id"], set())
 
 
+def test_large_classes_of_suffixes_give_the_same(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    few, many = (
+        sorted(tuple(r) for r in suffixes.repeated_passages(docs, block=b).collect()) for b in (10**6, 1)
+    )
+    assert few == many and few
+
+
 # Words
 
 
