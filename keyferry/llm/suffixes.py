@@ -6,15 +6,18 @@ window of ``LENGTH`` words has such a place among its first ``SPREAD``, and the
 So two documents that share a window have suffixes that share at least ``LENGTH - SPREAD + 1`` words.
 
 Suffixes are brought together by a hash of those words; those that have no equal in another document go.
-From each one left, the match is extended to the left and right: all windows that belong to its place are
-compared with those of its equals, by a hash of 128 bits, and those found in another document are joined into
-maximal passages. No window is missed, and only documents with a shared suffix are read again.
+From each one left, the match is extended to the left and right: the windows that belong to its place are
+sorted by class and hash and compared with their neighbours, and those that another document has, too,
+make one stretch of words around the place. Stretches are joined into maximal passages. No window is
+missed, and a window is told by two hashes of 64 bits (its suffix's and its own).
 
-Counts per hash are combined before the shuffle, and hot hashes are met by joins that can be split.
+Counts per hash are combined before the shuffle. Classes of up to ``BLOCK`` suffixes are sorted inside
+partitions; the windows of larger ones are counted and joined, which can be split over tasks.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z. Rows: null texts and those of fewer than ``LENGTH`` words
-have no passage. Rows that repeat both id and text are one document; other rows that repeat an id are
-documents of their own. Copies of a document repeat it whole. Other columns are not looked at.
+have no passage. Rows that repeat both id and text are one document (told by a 64-bit hash); other rows
+that repeat an id are documents of their own. Copies of a document repeat it whole. Other columns are
+not looked at.
 """
 
 from __future__ import annotations
@@ -32,8 +35,9 @@ from keyferry.llm.common import list_array, table, utf8_buffer
 from keyferry.scratch import settle
 
 LENGTH = 50
-SPREAD = 16
+SPREAD = 32
 SEED = 8
+BLOCK = 1_000
 
 
 def _places(hashes: np.ndarray, first: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -81,90 +85,161 @@ def _suffixes(length: int):
     return suffixes
 
 
+PLACE = "hash bigint, hot boolean, d bigint, at int, back array<int>, window array<bigint>"
+
+
 def _windows(length: int):
-    """mapInArrow: windows whose selected place is among those given, with their 128-bit hash."""
+    """mapInArrow: for each given place its windows, as words back from it and their hashes."""
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, text_hash, at = batch.column(0), batch.column(1), batch.column(3)
-            wanted = [np.asarray(a, np.int64) for a in at.to_pylist()]
-            for lo, hi, hashes, first in _blocks(batch.column(2)):
+            given = batch.column(2)
+            counts = np.diff(given.offsets.to_numpy())
+            at = given.flatten().field(0).to_numpy(zero_copy_only=False)
+            hot = given.flatten().field(1).to_numpy(zero_copy_only=False)
+            upto = np.concatenate([[0], np.cumsum(counts)])
+            for lo, hi, hashes, first in _blocks(batch.column(1)):
+                row = np.repeat(np.arange(lo, hi), counts[lo:hi])
+                marked = first[row - lo] + at[upto[lo] : upto[hi]]
+                order = np.argsort(marked, kind="stable")
+                wanted = np.zeros(len(hashes) + 1, bool)
+                wanted[marked] = True
                 starts, place = _places(hashes, first, length)
-                marked = np.zeros(len(hashes) + 1, bool)
-                for row in range(lo, hi):
-                    marked[first[row - lo] + wanted[row]] = True
-                starts = starts[marked[place]]
-                row = np.searchsorted(first, starts, "right") - 1
-                one = W.ngram_hashes(hashes, length)[starts].astype(np.int64)
-                two = W.ngram_hashes(W.mix(hashes), length)[starts].astype(np.int64)
-                rows = pa.array(row + lo)
+                starts, place = starts[wanted[place]], place[wanted[place]]
+                by_place = np.argsort(place, kind="stable")
+                starts, place = starts[by_place], place[by_place]
+                n = np.searchsorted(place, marked[order], "right") - np.searchsorted(place, marked[order])
+                whole = W.ngram_hashes(hashes, length)[starts].astype(np.int64)
+                shared = W.ngram_hashes(hashes, length - SPREAD + 1)
                 yield pa.record_batch(
                     [
-                        ids.take(rows),
-                        text_hash.take(rows),
-                        pa.array((starts - first[row]).astype(np.int32)),
-                        pa.array(one),
-                        pa.array(two),
+                        pa.array(shared[marked[order]].astype(np.int64)),
+                        pa.array(hot[upto[lo] : upto[hi]][order]),
+                        batch.column(0).take(pa.array(row[order])),
+                        pa.array((marked[order] - first[row[order] - lo]).astype(np.int32)),
+                        list_array((place - starts).astype(np.int32), n),
+                        list_array(whole, n),
                     ],
-                    names=["doc_id", "text_hash", "start", "h1", "h2"],
+                    names=["hash", "hot", "d", "at", "back", "window"],
                 )
 
     return windows
 
 
+def _runs(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last place of every run of equal rows."""
+    n = len(columns[0])
+    fresh = np.arange(n) == 0
+    for c in columns:
+        fresh[1:] |= c[1:] != c[:-1]
+    first = np.flatnonzero(fresh)
+    return first, np.append(first[1:], n)[: len(first)] - 1
+
+
+def _stretches(length: int):
+    """mapInArrow over places sorted by class: what each has in common with another document's. The
+    last class of a batch waits for the next batch."""
+
+    def compare(part: pa.Table) -> pa.RecordBatch:
+        part = part.combine_chunks().to_batches()[0]
+        counts = np.diff(part.column("back").offsets.to_numpy())
+        row = np.repeat(np.arange(len(counts)), counts)
+        kind = part.column("hash").to_numpy()[row]
+        d, at = part.column("d").to_numpy()[row], part.column("at").to_numpy()[row]
+        window = part.column("window").flatten().to_numpy()
+        start = at - part.column("back").flatten().to_numpy()
+        order = np.lexsort((d, window, kind))
+        kind, window, d, at, start = (x[order] for x in (kind, window, d, at, start))
+        edge, last = _runs(kind, window)
+        found = np.repeat(d[edge] != d[last], last - edge + 1)
+        order = np.lexsort((start[found], at[found], d[found]))
+        d, at, start = (x[found][order] for x in (d, at, start))
+        edge, last = _runs(d, at)
+        return pa.record_batch(
+            [
+                pa.array(d[edge]),
+                pa.array(start[edge].astype(np.int32)),
+                pa.array((start[last] + length).astype(np.int32)),
+            ],
+            names=["d", "start", "end"],
+        )
+
+    def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            fresh = pa.Table.from_batches([batch])
+            held = fresh if held is None else pa.concat_tables([held, fresh])
+            if len(held) == 0:
+                continue
+            kinds = held.column("hash").to_numpy()
+            cut = int(np.searchsorted(kinds, kinds[-1]))
+            if cut:
+                yield compare(held.slice(0, cut))
+                held = held.slice(cut)
+        if held is not None and len(held):
+            yield compare(held)
+
+    return stretches
+
+
 def _in_two_documents(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """``rows`` whose keys stand in two documents at least."""
-    document = F.struct("doc_id", "text_hash")
-    repeated = (
+    """Keys that stand in two documents at least, and the number of their rows."""
+    return (
         rows.groupBy(*keys)
-        .agg(F.min(document).alias("a"), F.max(document).alias("b"))
-        .where(~F.col("a").eqNullSafe(F.col("b")))
-        .select(*keys)
+        .agg(F.min("d").alias("_a"), F.max("d").alias("_b"), F.count("*").alias("n"))
+        .where("_a <> _b")
+        .drop("_a", "_b")
     )
-    return rows.join(repeated, keys, "left_semi")
 
 
-def repeated_passages(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, text_hash, start_word, end_word (exclusive): maximal passages of every document made of
-    windows that another document has, too."""
-    texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").where(
-        F.col("text").isNotNull()
+def repeated_passages(docs: DataFrame, length: int = LENGTH, block: int = BLOCK) -> DataFrame:
+    """doc_id, start_word, end_word (exclusive): maximal passages of every document made of windows
+    that another document has, too."""
+    texts = docs.where(F.col("text").isNotNull()).select(
+        "doc_id", F.xxhash64("doc_id", "text").alias("d"), "text"
     )
-    found = texts.select("doc_id", "text_hash", _suffixes(length)(F.col("text")).alias("s"))
     kept = settle(
-        found.where(F.size("s.at") > 0).select(
-            "doc_id", "text_hash", F.inline(F.arrays_zip("s.at", "s.hash"))
-        ).toDF("doc_id", "text_hash", "at", "hash"),
+        texts.select("d", _suffixes(length)(F.col("text")).alias("s"))
+        .where(F.size("s.at") > 0)
+        .select("d", F.inline(F.arrays_zip("s.at", "s.hash")))
+        .toDF("d", "at", "hash"),
         "suffixes",
     )
-    marked = settle(
-        _in_two_documents(kept, ["hash"])
-        .groupBy("doc_id", "text_hash")
-        .agg(F.collect_set("at").alias("at")),
-        "shared-suffixes",
-    ).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "at")
-    again = texts.join(
-        marked,
-        F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")),
-    ).select("doc_id", "text_hash", "text", "at")
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    windows = settle(
-        again.mapInArrow(
-            _windows(length),
-            f"doc_id {id_type}, text_hash bigint, start int, h1 bigint, h2 bigint",
-        ),
-        "windows",
+    marked = (
+        kept.join(_in_two_documents(kept, ["hash"]), "hash")
+        .groupBy("d")
+        .agg(F.collect_set(F.struct("at", (F.col("n") > block).alias("hot"))).alias("places"))
+        .withColumnRenamed("d", "_d")
     )
-    starts = _in_two_documents(windows, ["h1", "h2"]).select("doc_id", "text_hash", "start").distinct()
-    order = Win.partitionBy("doc_id", "text_hash").orderBy("start")
-    gap = F.col("start") - F.lag("start").over(order) > length
-    passage = F.sum(F.coalesce(gap, F.lit(True)).cast("int")).over(order)
-    return (
-        starts.withColumn("passage", passage)
-        .groupBy("doc_id", "text_hash", "passage")
-        .agg(F.min("start").alias("start_word"), (F.max("start") + length).alias("end_word"))
-        .drop("passage")
+    again = texts.join(marked, F.col("d") == F.col("_d")).select("d", "text", "places")
+    places = settle(again.mapInArrow(_windows(length), PLACE), "places")
+    few = (
+        places.where("not hot")
+        .repartition("hash")
+        .sortWithinPartitions("hash")
+        .mapInArrow(_stretches(length), "d bigint, start int, end int")
+    )
+    each = places.where("hot").select("hash", "d", "at", F.inline(F.arrays_zip("back", "window")))
+    shared = _in_two_documents(each, ["hash", "window"]).drop("n")
+    start = F.col("at") - F.col("back")
+    many = (
+        each.join(shared, ["hash", "window"])
+        .groupBy("d", "at")
+        .agg(F.min(start).alias("start"), (F.max(start) + length).alias("end"))
+        .drop("at")
+    )
+    stretches = few.unionByName(many)
+    order = Win.partitionBy("d").orderBy("start", "end")
+    reached = F.max("end").over(order.rowsBetween(Win.unboundedPreceding, -1))
+    fresh = F.coalesce(F.col("start") > reached, F.lit(True)).cast("int")
+    passages = (
+        stretches.withColumn("fresh", fresh)
+        .withColumn("passage", F.sum("fresh").over(order.rowsBetween(Win.unboundedPreceding, 0)))
+        .groupBy("d", "passage")
+        .agg(F.min("start").alias("start_word"), F.max("end").alias("end_word"))
     )
+    ids = texts.select("d", "doc_id").distinct()
+    return passages.join(ids, "d").select("doc_id", "start_word", "end_word")
 
 
 def op9_sparse_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
