@@ -112,7 +112,7 @@ class Model:
     def _lay_out(self, parts: list[np.ndarray], n: np.ndarray, lang: np.ndarray) -> None:
         """Costs by order; a context of order k is parts[k], ..., parts[1] and its byte parts[0]."""
         c, languages = self.classes, len(self.langs)
-        cost = np.full((1, c, languages), np.log2(256.0))
+        cost = np.full((1, c, languages), 8.0, np.float32)
         where = np.zeros(1, np.int64)  # context number of the order below, by context code
         self.contexts = where
         for order in range(ORDER + 1):
@@ -126,14 +126,17 @@ class Model:
                 used, first = used[top], first[top]
             at = np.minimum(np.searchsorted(used, code), len(used) - 1)
             kept = used[at] == code
-            count = np.zeros((len(used), c, languages))
-            np.add.at(count, (at[kept], parts[0][kept], lang[kept]), n[kept])
-            total, kinds = count.sum(1, keepdims=True), (count > 0).sum(1, keepdims=True)
-            below = cost[where[used % (c ** max(order - 1, 0))]] if order else cost[np.zeros(1, int)]
-            with np.errstate(divide="ignore", invalid="ignore"):
-                direct = -np.log2(count / (total + kinds))
-                escape = np.where(total > 0, -np.log2(kinds / (total + kinds)), 0.0)
-            here = np.where(count > 0, direct, escape + below)
+            here = np.empty((len(used), c, languages), np.float32)
+            below = where[used % (c ** max(order - 1, 0))] if order else np.zeros(1, np.int64)
+            for one in range(languages):
+                mine = kept & (lang == one)
+                count = np.zeros((len(used), c))
+                np.add.at(count, (at[mine], parts[0][mine]), n[mine])
+                total, kinds = count.sum(1, keepdims=True), (count > 0).sum(1, keepdims=True)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    escape = np.where(total > 0, -np.log2(kinds / (total + kinds)), 0.0)
+                    direct = -np.log2(count / (total + kinds))
+                here[:, :, one] = np.where(count > 0, direct, escape + cost[below, :, one])
             if order < ORDER:
                 # Contexts of this order that were never met act as the order below.
                 self._add(order, used, here, cost, where)
@@ -142,7 +145,7 @@ class Model:
                 self.contexts = where[np.arange(c**ORDER) % c ** max(ORDER - 1, 0)]
                 self.contexts[used] = len(cost) + np.arange(len(used))
                 self.contexts = self.contexts.astype(np.int32)
-                self.cost = np.concatenate([cost, here]).astype(np.float32).reshape(-1, languages)
+                self.cost = np.concatenate([cost, here]).reshape(-1, languages)
 
     def _add(self, order, used, here, cost, where) -> None:
         c = self.classes
