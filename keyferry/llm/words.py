@@ -21,7 +21,7 @@ VISIBLE = np.array([b != 32 and not 9 <= b <= 13 for b in range(256)])
 LOWER = np.array([b + 32 if 65 <= b < 91 else b for b in range(256)], np.uint8)
 
 
-def row_blocks(offsets: np.ndarray, limit: int = 2_000_000) -> Iterator[tuple[int, int]]:
+def row_blocks(offsets: np.ndarray, limit: int = 500_000) -> Iterator[tuple[int, int]]:
     """Cut the rows into runs of about ``limit`` bytes; a longer row is a run of its own."""
     rows, at = len(offsets) - 1, 0
     while at < rows:
