@@ -12,7 +12,8 @@ make one stretch of words around the place. Stretches are joined into maximal pa
 missed, and a window is told by two hashes of 64 bits (its suffix's and its own).
 
 Counts per hash are combined before the shuffle. Classes of up to ``BLOCK`` suffixes are sorted inside
-partitions; the windows of larger ones are counted and joined, which can be split over tasks.
+partitions. In larger ones places with equal windows are merged first, map-side; what the patterns share is
+counted and joined, and joined back to the places, which can be split over tasks.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z. Rows: null texts and those of fewer than ``LENGTH`` words
 have no passage. Rows that repeat both id and text are one document (told by a 64-bit hash); other rows
@@ -219,14 +220,31 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, block: int = BLOCK)
         .sortWithinPartitions("hash")
         .mapInArrow(_stretches(length), "d bigint, start int, end int")
     )
-    each = places.where("hot").select("hash", "d", "at", F.inline(F.arrays_zip("back", "window")))
-    shared = _in_two_documents(each, ["hash", "window"]).drop("n")
-    start = F.col("at") - F.col("back")
-    many = (
-        each.join(shared, ["hash", "window"])
-        .groupBy("d", "at")
-        .agg(F.min(start).alias("start"), (F.max(start) + length).alias("end"))
-        .drop("at")
+    # Copies of a passage have the same windows around a place: compare patterns, then meet their places.
+    hot = places.where("hot").withColumn("pattern", F.xxhash64("back", "window"))
+    each = (
+        hot.groupBy("hash", "pattern")
+        .agg(
+            F.min("d").alias("a"), F.max("d").alias("b"),
+            F.first("back").alias("back"), F.first("window").alias("window"),
+        )
+        .select("hash", "pattern", "a", "b", F.inline(F.arrays_zip("back", "window")))
+    )
+    shared = (
+        each.groupBy("hash", "window")
+        .agg(F.min("a").alias("a"), F.max("b").alias("b"))
+        .where("a <> b")
+        .select("hash", "window")
+    )
+    common = (
+        each.join(shared, ["hash", "window"], "left_semi")
+        .groupBy("hash", "pattern")
+        .agg(F.max("back").alias("most"), F.min("back").alias("least"))
+    )
+    many = hot.select("hash", "pattern", "d", "at").join(common, ["hash", "pattern"]).select(
+        "d",
+        (F.col("at") - F.col("most")).alias("start"),
+        (F.col("at") - F.col("least") + length).alias("end"),
     )
     stretches = few.unionByName(many)
     order = Win.partitionBy("d").orderBy("start", "end")
