@@ -399,6 +399,31 @@ def test_edited_passages_are_found(spark):
     assert start <= 85 and end >= 195
 
 
+def spelled(rng):
+    return "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7))
+
+
+def fuzzy_rows(spark, texts):
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    return {r["doc_id"]: r for r in chains.fuzzy_passages(df).collect()}
+
+
+@pytest.mark.parametrize("block", [100, 2])
+def test_all_texts_of_a_seed_are_linked(spark, monkeypatch, block):
+    monkeypatch.setattr(chains, "BLOCK", block)
+    rng = random.Random(4)
+    noise = lambda n: [spelled(rng) for _ in range(n)]
+    passage, lines = noise(60), [noise(15) for _ in range(4)]
+    texts = [noise(20) + passage + noise(i) for i in range(9)]
+    # Two texts with the same four lines, each of which many other texts hold, too.
+    texts += [noise(10) + sum(lines, []) + noise(30) for _ in range(2)]
+    texts += [noise(30) + lines[i % 4] + noise(30) for i in range(40)]
+    got = fuzzy_rows(spark, texts)
+    assert set(got) == set(range(11))
+    assert [got[i]["n_links"] for i in range(11)] == [8] * 9 + [1] * 2
+    assert {got[i]["spans"] for i in range(9)} == {"20:80"} and {got[i]["spans"] for i in (9, 10)} == {"10:70"}
+
+
 def test_exact_passages_are_among_the_fuzzy_ones(spark, data):
     fuzzy = {}
     for r in QUERIES["op10_collinear_chains"](spark, data).collect():
