@@ -424,6 +424,20 @@ def test_all_texts_of_a_seed_are_linked(spark, monkeypatch, block):
     assert {got[i]["spans"] for i in range(9)} == {"20:80"} and {got[i]["spans"] for i in (9, 10)} == {"10:70"}
 
 
+def test_parts_of_a_failing_chain_are_kept():
+    rng = np.random.default_rng(5)
+    noise = lambda n: rng.integers(1, 2**62, n).astype(np.uint64)
+    first, last = noise(50), noise(10)
+    one, two = (chains.Words(np.concatenate([noise(7), first, noise(20), last, noise(9)])) for _ in range(2))
+    assert [p[:4] for p in chains.passages_of(one, two)] == [(7, 57, 7, 57)]
+    paragraphs = [noise(50) for _ in range(3)]
+    texts = [np.concatenate([x for p in paragraphs for x in (p, noise(20))]) for _ in range(2)]
+    covered = set()
+    for start, end, *_ in chains.passages_of(*map(chains.Words, texts)):
+        covered |= set(range(start, end))
+    assert {p for k in (0, 70, 140) for p in range(k, k + 50)} <= covered
+
+
 def test_exact_passages_are_among_the_fuzzy_ones(spark, data):
     fuzzy = {}
     for r in QUERIES["op10_collinear_chains"](spark, data).collect():
