@@ -438,6 +438,20 @@ def test_parts_of_a_failing_chain_are_kept():
     assert {p for k in (0, 70, 140) for p in range(k, k + 50)} <= covered
 
 
+def test_substituted_words_leave_enough_seeds(spark):
+    rng = random.Random(8)
+    noise = lambda n: [spelled(rng) for _ in range(n)]
+    texts = []
+    for k in range(60):
+        passage = noise(52)
+        # Every fifth word differs, or ten words in any place between.
+        other = set(range(5, 50, 5)) if k < 10 else set(rng.sample(range(2, 50), 10))
+        texts += [noise(20) + passage + noise(20)]
+        texts += [noise(31) + [spelled(rng) if i in other else w for i, w in enumerate(passage)] + noise(9)]
+    got = fuzzy_rows(spark, texts)
+    assert set(got) == set(range(120)) and {r["n_links"] for r in got.values()} == {1}
+
+
 def test_exact_passages_are_among_the_fuzzy_ones(spark, data):
     fuzzy = {}
     for r in QUERIES["op10_collinear_chains"](spark, data).collect():
