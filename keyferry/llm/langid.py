@@ -225,10 +225,10 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFr
     )
 
 
-def known_language(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """``docs`` whose language is told with a score of at least ``least``."""
+def known_language(docs: DataFrame) -> DataFrame:
+    """``docs`` with a language: all but those that are ``und``. A short text that fits several languages stays."""
     found = identify(docs.select(F.struct("*").alias("doc"), "text"), learn(docs))
-    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("doc.*")
+    return found.where(F.col("lang_pred") != UNKNOWN).select("doc.*")
 
 
 def op3_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -145,6 +145,14 @@ def test_language_of_held_out_documents(spark):
 # Quality
 
 
+def test_short_texts_of_several_languages_stay(spark):
+    rows = [(i, "radio taxi hotel" if i < 40 else "12 34", "abcd"[i % 4]) for i in range(44)]
+    df = spark.createDataFrame([*rows, (44, None, "a")], "doc_id long, text string, lang string")
+    guess = langid.identify(df, langid.learn(df)).where("doc_id < 40")
+    assert guess.agg(F.max("score")).first()[0] < 0.5
+    assert {r["doc_id"] for r in langid.known_language(df).collect()} == set(range(40))
+
+
 def test_network_gradients_are_right():
     net = quality.Network(3)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
