@@ -17,6 +17,7 @@ from keyferry.llm.neighbours import op6_learned_partitions
 from keyferry.llm.suffixes import OP9_SQL, op9_sparse_suffixes
 from keyferry.llm.chains import op10_collinear_chains
 from keyferry.llm.centroids import OP12_SQL, op12_bisector_tournament
+from keyferry.llm.lexical import OP13_SQL, op13_shared_terms
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sparse_suffixes": op9_sparse_suffixes,
     "op10_collinear_chains": op10_collinear_chains,
     "op12_bisector_tournament": op12_bisector_tournament,
+    "op13_shared_terms": op13_shared_terms,
 }
 
 ORACLES: dict[str, str] = {
@@ -38,4 +40,5 @@ ORACLES: dict[str, str] = {
     "op5_prefix_targets": OP5_SQL,
     "op9_sparse_suffixes": OP9_SQL,
     "op12_bisector_tournament": OP12_SQL,
+    "op13_shared_terms": OP13_SQL,
 }
