@@ -8,8 +8,8 @@ row of a matrix (the term's accumulator); the sets' rows are added up level by l
 many items hold it, and the items' rows last. Sums are of whole numbers, so the order of adding
 changes nothing.
 
-Terms are merged in bands of ``BAND`` terms of similar frequency among the items, so that the pairs that are
-counted stay in proportion to the items' length. That decides how much is shared, never a score.
+Terms that several items hold are merged in bands of ``BAND`` terms of similar frequency among the items, so that
+the pairs that are counted stay in proportion to the items' length. That decides how much is shared, never a score.
 
 Every document is one row of one task: texts are read once, written as (term, count) of the items' terms, counted
 for statistics by a map-side combined aggregation, and scored from what was written. A task keeps ``k``
@@ -48,7 +48,7 @@ TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 TERM_BYTES = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 BLOCK_TERMS = 50_000
-BAND = 32
+BAND = 256
 #: Bytes of a matrix of accumulators.
 MATRIX = 64 << 20
 
@@ -76,17 +76,19 @@ def mine_shared(
     sets and symbols that hold the row's symbols once.
     """
     frequency = Counter(s for row in rows for s in row)
-    place = {s: i // band for i, (s, _) in enumerate(sorted(frequency.items(), key=lambda x: (-x[1], x[0])))}
+    shared = sorted((s for s, n in frequency.items() if n > 1), key=lambda s: (-frequency[s], s))
+    place = {s: i // band for i, s in enumerate(shared)}
     parts: dict[int, list[tuple[int, set[int]]]] = defaultdict(list)
     for r, row in enumerate(rows):
         by_band: dict[int, set[int]] = defaultdict(set)
         for s in row:
-            by_band[place[s]].add(s)
+            if s in place:
+                by_band[place[s]].add(s)
         for b, held in by_band.items():
             parts[b].append((r, held))
     left: list[int] = []
     right: list[int] = []
-    out: list[list[int]] = [[] for _ in rows]
+    out = [[s for s in row if s not in place] for row in rows]
     for b in sorted(parts):
         sets = [held for _, held in parts[b]]
         _merge_pairs(sets, symbols, left, right)
@@ -212,7 +214,6 @@ def _count_terms(shared):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = {t.encode(): i for i, t in enumerate(shared.value)}.get
         for batch in batches:
-            # As strings, so that malformed bytes are the same terms as in the items.
             n, sizes, terms, counts, kept = [], [], [], [], []
             for row, text in enumerate(utf8_rows(batch.column(1))):
                 words = TERM_BYTES.findall(text.translate(LOWER))

@@ -16,6 +16,7 @@ from keyferry.llm.chat import OP5_SQL, op5_prefix_targets
 from keyferry.llm.neighbours import op6_learned_partitions
 from keyferry.llm.suffixes import OP9_SQL, op9_sparse_suffixes
 from keyferry.llm.chains import op10_collinear_chains
+from keyferry.llm.caps import OP11_SQL, op11_cap_filters
 from keyferry.llm.centroids import OP12_SQL, op12_bisector_tournament
 from keyferry.llm.lexical import OP13_SQL, op13_shared_terms
 
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_learned_partitions": op6_learned_partitions,
     "op9_sparse_suffixes": op9_sparse_suffixes,
     "op10_collinear_chains": op10_collinear_chains,
+    "op11_cap_filters": op11_cap_filters,
     "op12_bisector_tournament": op12_bisector_tournament,
     "op13_shared_terms": op13_shared_terms,
 }
@@ -39,6 +41,7 @@ ORACLES: dict[str, str] = {
     "op8_credential_links": OP8_SQL,
     "op5_prefix_targets": OP5_SQL,
     "op9_sparse_suffixes": OP9_SQL,
+    "op11_cap_filters": OP11_SQL,
     "op12_bisector_tournament": OP12_SQL,
     "op13_shared_terms": OP13_SQL,
 }
