@@ -1,7 +1,7 @@
 """Quality scores from a byte-level convolutional network, in numpy.
 
 A byte is embedded together with an echo bit: do this byte and the five before it repeat what stood 2 to
-``LAGS`` bytes earlier? Learned filters of ``WIDTH`` bytes slide over the text in steps of ``STEP``. The text is
+``LAGS`` bytes earlier in the text? Learned filters of ``WIDTH`` bytes slide over the text in steps of ``STEP``. The text is
 covered by chunks of ``CHUNK`` bytes that overlap by half; a filter's largest answer in each chunk (cut at
 zero) is that chunk's feature. Means and maxima of the features over all chunks go through one logistic unit.
 
@@ -11,7 +11,7 @@ bounded piece at a time.
 
 Rows: a null or empty text scores as a text without features does. Null labels and the labels of
 unknown ids teach nothing; an id whose labels differ teaches the lowest. Without any label all scores
-are 0.5. Repeated rows give repeated results.
+are 0.5. A score depends on the text alone, so repeated rows give repeated results.
 """
 
 from __future__ import annotations
@@ -42,14 +42,26 @@ _HALF = CHUNK // 2
 _END = 512
 
 
-def symbols(data: np.ndarray) -> np.ndarray:
-    """Each byte of one run of texts with its echo bit (256)."""
-    echo = np.zeros(len(data), bool)
+def _echo(data: np.ndarray) -> np.ndarray:
+    """The echo bits along the last axis."""
+    echo = np.zeros(data.shape, bool)
     for lag in range(2, LAGS + 1):
-        same = data[lag:] == data[:-lag]
-        two = same[1:] & same[:-1]
-        six = two[4:] & two[2:-2] & two[:-4]
-        echo[lag + 5 :] |= six
+        same = data[..., lag:] == data[..., :-lag]
+        two = same[..., 1:] & same[..., :-1]
+        six = two[..., 4:] & two[..., 2:-2] & two[..., :-4]
+        echo[..., lag + 5 :] |= six
+    return echo
+
+
+def symbols(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Each byte of the texts, end to end, with its echo bit (256)."""
+    echo = _echo(data)
+    # Only a text's first bytes can look back into the text before; they are looked at on their own.
+    places = offsets[:-1, None] + np.arange(LAGS + 5)
+    inside = places < offsets[1:, None]
+    if inside.any():
+        heads = data[np.minimum(places, len(data) - 1)]
+        echo[places[inside]] = _echo(heads)[inside]
     return data.astype(np.int16) + (echo.astype(np.int16) << 8)
 
 
@@ -59,7 +71,7 @@ def _padded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     halves = np.maximum(-(-sizes // _HALF), 1)
     first = np.concatenate([[0], np.cumsum(halves)])
     out = np.full(first[-1] * _HALF + WIDTH, _END, np.int16)
-    marked = symbols(data)
+    marked = symbols(data, offsets)
     for row, (a, b) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):
         at = first[row] * _HALF
         out[at : at + b - a] = marked[a:b]
@@ -133,8 +145,9 @@ class Network:
     def probability(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         if len(offsets) < 2:
             return np.empty(0)
-        z = self.features(data, offsets) @ self.p["out"] + self.p["base"]
-        return 1 / (1 + np.exp(-np.clip(z.astype(np.float64), -40, 40)))
+        # Not a matrix product: its rounding may depend on the number of rows.
+        z = (self.features(data, offsets) * self.p["out"]).sum(1, dtype=np.float64) + self.p["base"]
+        return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
     def gradients(
         self, data: np.ndarray, offsets: np.ndarray, label: np.ndarray, weight: np.ndarray
