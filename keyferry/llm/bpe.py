@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import re
+from array import array
 
 import ahocorasick
 import numpy as np
@@ -123,24 +124,30 @@ class Vocabulary:
         """Ids of one match of the splitting pattern."""
         if piece in self.rank:
             return [self.rank[piece]]
-        length, shorter, fits = self.length, self.shorter, self.fits
+        length, shorter, fits, known = self.length, self.shorter, self.fits, self._fits.get
         longest = [-1] * (len(piece) + 1)
         for end, token in self.automaton.iter(piece.decode("latin-1")):
             longest[end + 1 - length[token]] = token  # longer tokens end later
         open_at = bytearray(b"\1") * (len(piece) + 1)
         out: list[int] = []
-        at, token = 0, longest[0]
-        while at < len(piece):
+        at, token, last, size = 0, longest[0], -1, len(piece)
+        while at < size:
             end = at + length[token]
-            if open_at[end] and (not out or fits(out[-1], token)):
+            may = open_at[end]
+            if may and last >= 0:
+                may = known(last << 32 | token)
+                if may is None:
+                    may = fits(last, token)
+            if may:
                 out.append(token)
-                at, token = end, longest[end]
+                at, last, token = end, token, longest[end]
             elif shorter[token] >= 0:
                 token = shorter[token]
             else:
                 open_at[at] = 0
                 token = out.pop()
                 at -= length[token]
+                last = out[-1] if out else -1
         return out
 
     def split_text(self, text: str) -> list[str]:
@@ -156,6 +163,29 @@ class Vocabulary:
         return np.frombuffer(joined, np.int32)
 
 
+    def decode_rows(self, rows: pa.ListArray) -> pa.Array:
+        """The bytes of each row of ids; null for a null row and one with a null or unknown id."""
+        counts = rows.value_lengths().fill_null(0).to_numpy()
+        flat = rows.flatten().cast(pa.int64()).fill_null(-1).to_numpy()
+        known = (flat >= 0) & (flat < len(self.token))
+        flat = np.where(known, flat, len(self.token))
+        # One more token, without bytes, stands for all unknown ids.
+        length = np.array([*self.length, 0], np.int64)[flat]
+        bad = np.add.reduceat(np.append(length == 0, False), np.cumsum(counts) - counts, dtype=np.int64)
+        valid = rows.is_valid().to_numpy(zero_copy_only=False) & ((bad == 0) | (counts == 0))
+        data = b"".join(map([*self.token, b""].__getitem__, np.where(length > 0, flat, -1).tolist()))
+        ends = np.concatenate([[0], np.cumsum(length)])[np.cumsum(counts)]
+        return pa.Array.from_buffers(
+            pa.binary(),
+            len(rows),
+            [
+                pa.py_buffer(np.packbits(valid, bitorder="little")),
+                pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32)),
+                pa.py_buffer(data),
+            ],
+        )
+
+
 class _Pieces(dict):
     """Ids of the pieces met so far, as 32-bit integers in bytes."""
 
@@ -164,7 +194,7 @@ class _Pieces(dict):
         self.vocabulary = vocabulary
 
     def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.vocabulary.encode_piece(piece.encode()), np.int32).tobytes()
+        ids = array("i", self.vocabulary.encode_piece(piece.encode())).tobytes()
         if len(piece) <= 64:
             self[piece] = ids
         return ids
@@ -219,21 +249,7 @@ def decoder(spark: SparkSession, ranks: bytes, pattern: str):
 
     @F.arrow_udf("binary")
     def decode(ids: pa.Array) -> pa.Array:
-        token = _vocabulary(shared, pattern).token
-        out: list[bytes | None] = []
-        for row in ids:
-            values = row.values
-            if values is None:
-                out.append(None)
-                continue
-            numbers = values.to_pylist()
-            try:
-                out.append(b"".join(map(token.__getitem__, numbers)))
-            except (IndexError, TypeError):
-                out.append(None)
-            if numbers and out[-1] is not None and min(numbers) < 0:
-                out[-1] = None
-        return pa.array(out, pa.binary())
+        return _vocabulary(shared, pattern).decode_rows(ids)
 
     return decode
 
