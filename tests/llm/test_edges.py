@@ -7,7 +7,8 @@ import math
 import pytest
 
 import corpus_pipeline
-from keyferry.llm import bpe, chains, chat, decontaminate, langid, neighbours, quality, secrets, simhash, suffixes
+from keyferry.llm import bpe, caps, centroids, chains, chat, decontaminate, langid, lexical, neighbours
+from keyferry.llm import quality, secrets, simhash, suffixes
 from keyferry.llm.queries import ORACLES, QUERIES
 
 LONG = " ".join(f"wort{i % 977}x{i}" for i in range(30_000))
@@ -35,7 +36,8 @@ CLASH = ", ".join(
     f"{name} string"
     for name in (
         "ids decoded text_hash n_words spans hits items hash row parts f a b t at n_links score "
-        "lang_pred _id _hash _guess doc component_id root kind_no v part ib qb vec_id_ _m _h"
+        "lang_pred _id _hash _guess doc component_id root kind_no v part ib qb vec_id_ _m _h "
+        "cid h n f d held own mine other low high cross cluster distance term q block rank"
     ).split()
 )
 
@@ -191,6 +193,23 @@ def test_vectors_that_take_no_part(spark, edges):
     ]
 
 
+def test_vectors_that_link_with_nothing(spark, edges):
+    got = [tuple(r) for r in QUERIES["op11_cap_filters"](spark, edges).collect()]
+    alone = [(i, 0, i, True) for i in (1, 3, 4, 5, 6, 7, 8)]
+    linked = [(0, 2, 0, True), (2, 2, 0, False), (20, 2, 0, False), (9, 2, 9, True), (9, 2, 9, True), (None, 2, 9, False)]
+    assert sorted(got, key=repr) == sorted(alone + linked, key=repr)
+
+
+def test_no_vector_of_the_clusters_length(spark, edges):
+    assert QUERIES["op12_bisector_tournament"](spark, edges).count() == 0
+
+
+def test_ranks_without_ids_and_texts(spark, edges):
+    got = QUERIES["op13_shared_terms"](spark, edges).sort("item_id", "rank").collect()
+    assert {r["item_id"] for r in got} == {1, 4} and None not in {r["doc_id"] for r in got}
+    assert [(r["rank"], r["doc_id"]) for r in got] == [(1, 9), (1, 10)]
+
+
 def test_blank_texts_link_like_others(spark, edges):
     got = QUERIES["op7_simhash_golay"](spark, edges).collect()
     blank = [r for r in got if r["fingerprint"] == "0" * 16]
@@ -234,6 +253,7 @@ def test_bad_ids_decode_to_null(spark):
 
 
 def test_modules_state_their_rows():
-    for module in (bpe, chains, chat, decontaminate, langid, neighbours, quality, secrets, simhash, suffixes):
+    for module in (bpe, caps, centroids, chains, chat, decontaminate, langid, lexical, neighbours, quality, secrets,
+                   simhash, suffixes):
         assert "Rows:" in module.__doc__
     assert set(ORACLES) <= set(QUERIES)
