@@ -47,7 +47,7 @@ def running_count(
         return records.withColumn("n", F.row_number().over(in_key).cast("long"))
 
     flagged = lookup_join(
-        records, hot.withColumn("_hot", F.lit(True)), ["key"], F.col("seq"), "left"
+        records, hot.withColumn("_hot", F.lit(True)), ["key"], F.col("seq"), "left", nulls_match=True
     )
     blocked = flagged.withColumn(
         "_block", F.when(F.col("_hot"), F.floor(F.col("seq") / block)).otherwise(F.lit(-1))
@@ -61,9 +61,9 @@ def running_count(
         "count-offsets",
     )
     in_block = W.partitionBy("key", "_block").orderBy("seq")
+    numbered = blocked.withColumn("_i", F.row_number().over(in_block))
     return (
-        blocked.withColumn("_i", F.row_number().over(in_block))
-        .join(offsets, ["key", "_block"], "left")
+        lookup_join(numbered, offsets, ["key", "_block"], F.col("seq"), "left", nulls_match=True)
         .withColumn("n", (F.col("_i") + F.coalesce("_base", F.lit(0))).cast("long"))
         .drop("_block", "_i", "_base")
     )

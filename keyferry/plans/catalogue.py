@@ -14,6 +14,7 @@ from keyferry.operators import (
     cutover,
     integrity,
     lifecycle as life,
+    machine as mc,
     placement,
     rounds,
     routing,
@@ -26,6 +27,7 @@ from keyferry.sinks import tables as sinks
 from keyferry.sources import statestore, streams
 from keyferry.sources.tables import documents, records, with_groups
 from keyferry.streaming import jobs
+from keyferry.streaming.totals import RunningTotals
 
 LANES = 8
 SPREAD_ROWS = 65_536
@@ -57,9 +59,10 @@ def running_count(spark: SparkSession, d: str) -> DataFrame:
 
 def stream_running_count(spark: SparkSession, d: str) -> DataFrame:
     job = jobs.Job(
-        lambda s: jobs.running_counts(streams.record_stream(s, d)),
+        lambda s: streams.record_stream(s, d).select("seq", "key"),
         streams.stream_session(spark), name="running-count",
-    ).run()
+    )
+    job.run(RunningTotals(job.output, f"{job.root}/totals"))
     return job.result(spark).select("seq", "key", "n")
 
 
@@ -628,6 +631,30 @@ def active_migrations(spark: SparkSession, d: str) -> DataFrame:
     return life.active_migrations(life.lifecycle(_log(spark, d)))
 
 
+# State machines over the given rows
+
+#: A customer's way through the site; it has cycles, and ``closed`` can be left again.
+SITE = mc.Machine(
+    ("new", "active", "engaged", "customer", "trouble", "closed"),
+    (
+        ("new", "signup", "active"), ("new", "view", "new"),
+        ("active", "click", "engaged"), ("active", "view", "active"), ("active", "error", "trouble"),
+        ("engaged", "purchase", "customer"), ("engaged", "view", "active"), ("engaged", "error", "trouble"),
+        ("customer", "purchase", "customer"), ("customer", "view", "active"), ("customer", "error", "trouble"),
+        ("trouble", "click", "active"), ("trouble", "error", "closed"),
+        ("closed", "signup", "active"),
+    ),
+)
+
+
+def machine_fold(spark: SparkSession, d: str) -> DataFrame:
+    return mc.machine_fold(records(spark, d), SITE, event="channel")
+
+
+def machine_occupancy(spark: SparkSession, d: str) -> DataFrame:
+    return mc.occupancy(machine_fold(spark, d), SITE)
+
+
 # Hand-off and restart of streaming queries
 
 
@@ -734,7 +761,7 @@ QUERIES = {
         hold_replay, stream_hold_replay, hold_cancel, stream_hold_cancel, hold_stats,
         handoff_integrity, handoff_reconciled, ownership_violations, same_as_no_migration,
         admit_plans, lifecycle_fold, stream_lifecycle, invalid_transitions, timeouts,
-        migration_metrics, active_migrations,
+        migration_metrics, active_migrations, machine_fold, machine_occupancy,
         state_handoff, restart_recovery,
     )
 }

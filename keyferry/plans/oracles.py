@@ -341,6 +341,28 @@ def _q(*parts: str, select: str, recursive: bool = False) -> str:
     return f"{word} {','.join(parts)}\n{select}"
 
 
+MACHINE = """
+site(state, event, next) as (values
+  ('new', 'signup', 'active'), ('new', 'view', 'new'),
+  ('active', 'click', 'engaged'), ('active', 'view', 'active'), ('active', 'error', 'trouble'),
+  ('engaged', 'purchase', 'customer'), ('engaged', 'view', 'active'), ('engaged', 'error', 'trouble'),
+  ('customer', 'purchase', 'customer'), ('customer', 'view', 'active'), ('customer', 'error', 'trouble'),
+  ('trouble', 'click', 'active'), ('trouble', 'error', 'closed'), ('closed', 'signup', 'active')),
+numbered as (select key, channel, seq, row_number() over (partition by key order by seq) as i from ev),
+walk as (
+  select distinct key, 0::bigint as i, 'new' as state, 0::bigint as refused, null::bigint as changed_seq
+  from ev
+  union all
+  select w.key, n.i, coalesce(m.next, w.state), w.refused + (m.next is null)::bigint,
+    case when m.next <> w.state then n.seq else w.changed_seq end
+  from walk w join numbered n on n.key = w.key and n.i = w.i + 1
+  left join site m on m.state = w.state and m.event = n.channel
+),
+folded as (
+  select key, state, i as events, refused, changed_seq from walk
+  qualify row_number() over (partition by key order by i desc) = 1
+)"""
+
 WORDS = """w as (
   select doc_id, unnest(regexp_split_to_array(lower(text), '\\W+')) as w from documents
 )"""
@@ -596,6 +618,12 @@ select s as state, s in ('COMMITTED', 'ABORTED') as is_terminal,
   s in ('PRE_COPY', 'AWAIT_BARRIER') as background_ok, count(done.state) as migrations
 from (select unnest(['IDLE', 'INIT', 'PRE_COPY', 'AWAIT_BARRIER', 'FINALIZING', 'COMMITTED',
   'ABORTED']) as s) t left join done on done.state = s group by 1"""),
+    "machine_fold": _q(EV, MACHINE, recursive=True, select="select * from folded"),
+    "machine_occupancy": _q(EV, MACHINE, recursive=True, select="""
+select s as state, count(key) as entities, cast(coalesce(sum(events), 0) as bigint) as events,
+  cast(coalesce(sum(refused), 0) as bigint) as refused
+from (select unnest(['new', 'active', 'engaged', 'customer', 'trouble', 'closed']) as s) t
+left join folded on state = s group by 1"""),
     "state_handoff": _q(EV, PLANS, RUNNING, select="""
 select seq, key, n, case when seq > flip and key_group in (select key_group from plans)
   then 2 else 1 end::int as query

@@ -58,6 +58,7 @@ def lookup_join(
     max_rows: int = params.BROADCAST_ROWS,
     salts: int = params.SALTS,
     fits: bool | None = None,
+    nulls_match: bool = False,
 ) -> DataFrame:
     """Join ``big`` to a ``lookup`` with one row per key, however skewed ``big`` is.
 
@@ -65,10 +66,22 @@ def lookup_join(
 
     Small lookups are broadcast, so ``big`` is not shuffled. Beyond ``max_rows`` each lookup row is
     copied ``salts`` times and the join runs on (key, salt), so that one key of ``big`` spreads over
-    ``salts`` tasks. ``how`` is ``inner``, ``left``, ``left_semi`` or ``left_anti``.
+    ``salts`` tasks. ``how`` is ``inner``, ``left``, ``left_semi`` or ``left_anti``. With ``nulls_match`` a null
+    key meets a null key.
     """
-    if fits_broadcast(lookup, max_rows) if fits is None else fits:
-        return big.join(F.broadcast(lookup), on, how)
-    salted = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    spread = big.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
-    return spread.join(salted, [*on, "_salt"], how).drop("_salt")
+    small = fits_broadcast(lookup, max_rows) if fits is None else fits
+    condition: list[str] | Column = on if small else [*on, "_salt"]
+    theirs = {f"_lookup_{c}": c for c in on}
+    if nulls_match:
+        lookup = lookup.withColumnsRenamed({c: name for name, c in theirs.items()})
+        condition = F.lit(True) if small else F.col("_salt") == F.col("_lookup_salt")
+        for name, c in theirs.items():
+            condition = condition & F.col(c).eqNullSafe(F.col(name))
+    if small:
+        joined = big.join(F.broadcast(lookup), condition, how)
+    else:
+        salt = "_lookup_salt" if nulls_match else "_salt"
+        salted = lookup.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        spread = big.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
+        joined = spread.join(salted, condition, how)
+    return joined.drop("_salt", "_lookup_salt", *theirs)
