@@ -37,4 +37,5 @@ def next_owner(owner: Column, num_owners: int = NUM_OWNERS) -> Column:
 
 
 def entry_bytes(key: Column) -> Column:
-    return (F.length(key) + VALUE_BYTES).cast("long")
+    """A null key has no bytes of its own, but its value does."""
+    return (F.coalesce(F.length(key), F.lit(0)) + VALUE_BYTES).cast("long")

@@ -82,6 +82,55 @@ def precopy_rounds(
     )
 
 
+def latest_changes(changes: DataFrame, on: list[str], values: list[str]) -> DataFrame:
+    """The last change of each entry ``on``, whatever number of batches brought changes to it.
+
+    ``changes`` has ``batch_id`` and ``change_type`` (``update`` or ``delete``); a deletion stays as a row without
+    values, a tombstone. Combined map-side.
+    """
+    last = F.max_by(F.struct("change_type", *values), "batch_id").alias("_last")
+    return changes.groupBy(*on).agg(last).select(
+        *on,
+        (F.col("_last.change_type") == "delete").alias("deleted"),
+        *[F.when(F.col("_last.change_type") != "delete", F.col(f"_last.{v}")).alias(v) for v in values],
+    )
+
+
+def rounds_from_changes(
+    changes: DataFrame,
+    last_round: int,
+    converged_below: int = params.CONVERGED_BELOW,
+    num_groups: int = params.NUM_GROUPS,
+) -> DataFrame:
+    """Rounds of an iterated copy as in ``precopy_rounds``, told by a change feed instead of the records.
+
+    ``changes`` has ``round, batch_id, change_type, key``; changes after ``last_round`` belong to no round but show
+    that their key-group is there. An entry that changed in several batches of a round is copied
+    once; one that was deleted last is sent as a tombstone and counts, too.
+    """
+    latest = latest_changes(changes, ["round", "key"], []).withColumn(
+        "key_group", keys.key_group(F.col("key"), num_groups)
+    )
+    in_round = F.col("round") <= last_round
+    sizes = latest.groupBy("key_group", F.when(in_round, F.col("round")).alias("round")).agg(
+        F.count("*").alias("entries"), F.sum(keys.entry_bytes(F.col("key"))).alias("bytes")
+    )
+    # At most one value per round and group.
+    by_round = F.map_from_entries(F.collect_list(
+        F.when(F.col("round").isNotNull(), F.struct("round", F.struct("entries", "bytes")))
+    ))
+    size = F.try_element_at("_sizes", F.col("round"))
+    entries = F.coalesce(size["entries"], F.lit(0))
+    return (
+        sizes.groupBy("key_group").agg(by_round.alias("_sizes"))
+        .select("key_group", "_sizes", F.explode(F.sequence(F.lit(1), F.lit(last_round))).alias("round"))
+        .select(
+            F.col("key_group").cast("long").alias("migration_id"), "round", entries.alias("delta_size"),
+            F.coalesce(size["bytes"], F.lit(0)).alias("bytes"), (entries < converged_below).alias("converged"),
+        )
+    )
+
+
 def first_decision(
     reports: DataFrame,
     max_rounds: int = params.MAX_ROUNDS,

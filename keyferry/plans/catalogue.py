@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +32,7 @@ from keyferry.streaming import jobs
 from keyferry.streaming.totals import RunningTotals
 
 LANES = 8
+FEED_ROUNDS = 5
 SPREAD_ROWS = 65_536
 
 
@@ -68,17 +71,11 @@ def stream_running_count(spark: SparkSession, d: str) -> DataFrame:
 
 def stream_running_fold(spark: SparkSession, d: str) -> DataFrame:
     """A user's own keyed function: number, sum in cents and maximum of ``value`` so far."""
-    def fold(state: tuple, record: Row) -> tuple:
-        n, cents, most = state
-        if record.cents is None:
-            return n + 1, cents, most
-        return n + 1, cents + record.cents, record.cents if most is None else max(most, record.cents)
-
     cents = F.round(F.col("value") * 100).cast("long").alias("cents")
     job = jobs.Job(
         lambda s: jobs.running_fold(
             streams.record_stream(s, d).select("seq", "key", cents),
-            fold, "n long, cents long, most long", (0, 0, None),
+            _value_fold, VALUE_STATE, VALUE_START,
         ),
         streams.stream_session(spark), name="running-fold",
     ).run()
@@ -155,58 +152,97 @@ def state_snapshot(spark: SparkSession, d: str) -> DataFrame:
     return _state(spark, d, b, b.flip_seq)
 
 
-def _phases(spark: SparkSession, d: str, b: Bounds) -> list[DataFrame]:
-    """The stream up to the flip, up to the release, and the rest."""
+def _phases(spark: SparkSession, d: str, b: Bounds) -> list[tuple[int, DataFrame]]:
+    """The stream up to the flip, up to the release, and the rest, each with its last ``seq``."""
     raw = spark.read.parquet(f"{d}/events.parquet")
     seq = F.col("event_id")
     return [
-        raw.where(seq <= b.flip_seq),
-        raw.where((seq > b.flip_seq) & (seq <= b.release_seq)),
-        raw.where(seq > b.release_seq),
+        (b.flip_seq, raw.where(seq <= b.flip_seq)),
+        (b.release_seq, raw.where((seq > b.flip_seq) & (seq <= b.release_seq))),
+        (b.max_seq, raw.where(seq > b.release_seq)),
     ]
 
 
-def _phased(spark: SparkSession, d: str, b: Bounds, build, mode: str, name: str) -> jobs.Job:
-    """Run a job over the three phases, one micro-batch each."""
+def _phased(
+    spark: SparkSession, d: str, b: Bounds, build, mode: str, name: str,
+    max_bytes: int = params.MICRO_BATCH_BYTES, files: int = 1,
+) -> jobs.Job:
+    """Run a job over the three phases, with a mark after each."""
     session = streams.stream_session(spark)
     phases = _phases(spark, d, b)
-    inbox = fresh_path(spark, "inbox")
-    source = lambda s: streams.file_stream(s, inbox, phases[0].schema)
+    inbox, schema = fresh_path(spark, "inbox"), phases[0][1].schema
+    source = lambda s: streams.file_stream(s, inbox, schema, max_bytes)
     job = jobs.Job(lambda s: build(source(s)), session, mode, name)
-    return jobs.run_phases(job, phases, inbox)
+    return jobs.run_phases(job, phases, inbox, files)
 
 
 def _keyed(raw: DataFrame) -> DataFrame:
     return raw.select(F.col("event_id").alias("seq"), F.col("user_id").cast("string").alias("key"))
 
 
-def phase_stream(spark: SparkSession, d: str) -> DataFrame:
-    job = _phased(spark, d, bounds(spark, d), lambda r: r.select("event_id"), "append", "phases")
-    return job.result(spark).groupBy((F.col("batch_id") + 1).cast("int").alias("phase")).agg(
-        F.count("*").alias("records")
-    )
+def phase_stream(spark: SparkSession, d: str, **bound) -> DataFrame:
+    job = _phased(spark, d, bounds(spark, d), lambda r: r.select("event_id"), "append", "phases", **bound)
+    return job.result(job.session).groupBy(
+        (job.phase(F.col("batch_id")) + 1).cast("int").alias("phase")
+    ).agg(F.count("*").alias("records"))
 
 
-def state_from_checkpoint(spark: SparkSession, d: str) -> DataFrame:
+def state_from_checkpoint(spark: SparkSession, d: str, **bound) -> DataFrame:
     """State at the flip, read from a query that has gone on since."""
-    job = _phased(
-        spark, d, bounds(spark, d), lambda r: jobs.key_counts(_keyed(r)), "update", "counts"
-    )
+    b = bounds(spark, d)
+    job = _phased(spark, d, b, lambda r: jobs.key_counts(_keyed(r)), "update", "counts", **bound)
     key = F.col("key.key")
-    return statestore.read_state(job.session, job.checkpoint, batch_id=0).select(
+    return statestore.read_state(job.session, job.checkpoint, job.batch_at(b.flip_seq)).select(
         keys.key_group(key).alias("key_group"), key.alias("key"), F.col("value.count").alias("n")
     )
 
 
-def state_change_feed(spark: SparkSession, d: str) -> DataFrame:
-    job = _phased(
-        spark, d, bounds(spark, d), lambda r: jobs.key_counts(_keyed(r)), "update", "counts"
+def state_change_feed(spark: SparkSession, d: str, **bound) -> DataFrame:
+    """What each phase changed, the last change of a key only."""
+    b = bounds(spark, d)
+    job = _phased(spark, d, b, lambda r: jobs.key_counts(_keyed(r)), "update", "counts", **bound)
+    feed = statestore.read_changes(job.session, job.checkpoint, 0, job.batch_at(b.max_seq))
+    changes = feed.select(
+        "batch_id", "change_type", F.col("key.key").alias("key"), F.col("value.count").alias("n")
     )
-    return statestore.read_changes(job.session, job.checkpoint, 0, 2).select(
-        "batch_id", F.col("key.key").alias("key"), F.col("value.count").alias("n")
+    phase = job.phase(F.col("batch_id")).cast("long")
+    return rounds.latest_changes(changes.withColumn("phase", phase), ["phase", "key"], ["n"]).select(
+        F.col("phase").alias("batch_id"), "key", "n"
     )
 
 
+def precopy_from_changes(spark: SparkSession, d: str, **bound) -> DataFrame:
+    """Daily rounds of an iterated copy, told by the change feed of a counting query: round 1 copies all that
+    there is at the midpoint, each later round what changed in its day."""
+    b = bounds(spark, d)
+    raw = spark.read.parquet(f"{d}/events.parquet")
+    day = F.datediff(F.col("ts"), F.lit(b.midpoint).cast("timestamp_ntz"))
+    # One value per round: where the rounds end.
+    ends = raw.groupBy(F.least(F.greatest(day + 2, F.lit(1)), F.lit(FEED_ROUNDS + 1)).alias("round")).agg(
+        F.min("event_id").alias("first"), F.max("event_id").alias("last")
+    ).sort("round").collect()
+    seq = F.col("event_id")
+    phases = [(r["last"], raw.where(seq.between(r["first"], r["last"]))) for r in ends]
+    session, inbox = streams.stream_session(spark), fresh_path(spark, "inbox")
+    max_bytes, files = bound.get("max_bytes", params.MICRO_BATCH_BYTES), bound.get("files", 1)
+    job = jobs.Job(
+        lambda s: jobs.key_counts(_keyed(streams.file_stream(s, inbox, raw.schema, max_bytes))),
+        session, "update", "copied",
+    )
+    jobs.run_phases(job, phases, inbox, files)
+    feed = statestore.read_changes(session, job.checkpoint, 0, job.batch_at(b.max_seq))
+    numbers = F.array(*[F.lit(r["round"]) for r in ends])
+    changes = feed.select(
+        F.get(numbers, job.phase(F.col("batch_id"))).alias("round"), "batch_id", "change_type",
+        F.col("key.key").alias("key"), F.col("value.count").alias("n"),
+    )
+    return rounds.rounds_from_changes(changes, FEED_ROUNDS)
+
+
+def precopy_changes_outcome(spark: SparkSession, d: str) -> DataFrame:
+    return rounds.precopy_outcome(settle(precopy_from_changes(spark, d), "rounds", spark))
+
+
 def _written_state(spark: SparkSession, d: str, b: Bounds, cut: int) -> tuple[DataFrame, str]:
     path = fresh_path(spark, "state")
     return sinks.write_state(_state(spark, d, b, cut), path), path
@@ -663,7 +699,7 @@ def state_handoff(spark: SparkSession, d: str) -> DataFrame:
     checkpoint; query 1 goes on with the rest."""
     b = bounds(spark, d)
     session = streams.stream_session(spark)
-    before, between, after = _phases(spark, d, b)
+    before, between, after = (records for _, records in _phases(spark, d, b))
     later = between.unionByName(after)
     moved_groups = inputs.plans(spark, d).select("key_group")
     grouped = later.withColumn("key_group", keys.key_group(F.col("user_id").cast("string")))
@@ -702,6 +738,103 @@ def state_handoff(spark: SparkSession, d: str) -> DataFrame:
     return out(first, 1).unionByName(out(second, 2))
 
 
+def _value_fold(state: tuple, record: Row) -> tuple:
+    """Number, sum in cents and maximum so far."""
+    n, cents, most = state
+    if record.cents is None:
+        return n + 1, cents, most
+    return n + 1, cents + record.cents, record.cents if most is None else max(most, record.cents)
+
+
+VALUE_STATE, VALUE_START = "n long, cents long, most long", (0, 0, None)
+
+
+@dataclass
+class HeldHandoff:
+    """Two hold-and-replay queries: the first one runs until moving groups are held, halfway between flip
+    and release, and the second one takes those over with their values, held records and moves."""
+
+    first: jobs.Job
+    second: jobs.Job
+    at: int
+
+
+def _held_handoff(spark: SparkSession, d: str, max_bytes: int, parts: int, go_on: bool) -> HeldHandoff:
+    b = bounds(spark, d)
+    at = b.cancel_seq
+    session = streams.stream_session(spark)
+    cut = inputs.cutovers(spark, d, b)
+    open_moves = settle(cut.withColumn("release_seq", F.lit(None).cast("long")), "open-moves")
+    news = jobs.control_records(cut, LANES)
+    ev = with_groups(records(spark, d)).select(
+        "seq", "key", "key_group", "owner", F.round(F.col("value") * 100).cast("long").alias("cents")
+    )
+
+    def query(name: str, initial: DataFrame | None = None) -> tuple[jobs.Job, str, str]:
+        inbox, control = fresh_path(spark, "inbox"), fresh_path(spark, "control")
+        job = jobs.Job(
+            lambda s: jobs.hold_replay(
+                streams.file_stream(s, inbox, ev.schema, max_bytes),
+                streams.file_stream(s, control, news.schema), LANES, open_moves,
+                fold=_value_fold, state=VALUE_STATE, start=VALUE_START, initial=initial,
+            ),
+            session, name=name,
+        )
+        return job, inbox, control
+
+    def land(rows: DataFrame, inbox: str, low: int, high: int) -> None:
+        """In files one after another, in order of seq."""
+        edges = [low + (high - low) * i // parts for i in range(parts + 1)]
+        for a, z in zip(edges, edges[1:], strict=False):
+            streams.land(rows.where((F.col("seq") > a) & (F.col("seq") <= z)).coalesce(1 if parts > 1 else 8), inbox)
+
+    first, inbox1, control1 = query("held-1")
+    streams.land(news.limit(0), control1)
+    land(ev, inbox1, -1, at)
+    first.run()
+    first.mark(at)
+    initial = settle(jobs.moved_state(first, at, cut), "moved", session)
+    second, inbox2, control2 = query("held-2", initial)
+    moving = F.broadcast(cut.select("key_group"))
+    if go_on:
+        streams.land(news, control2)
+        land(ev.join(moving, "key_group", "left_semi").select(*ev.columns), inbox2, at, b.max_seq)
+        second.run()
+    land(ev.join(moving, "key_group", "left_anti").select(*ev.columns), inbox1, at, b.max_seq)
+    first.run()
+    return HeldHandoff(first, second, at)
+
+
+def state_handoff_fold(
+    spark: SparkSession, d: str, max_bytes: int = params.MICRO_BATCH_BYTES, parts: int = 1
+) -> DataFrame:
+    """A user's fold is handed over while records are held: the second query replays them at the release."""
+    both = _held_handoff(spark, d, max_bytes, parts, go_on=True)
+
+    def out(job: jobs.Job, number: int) -> DataFrame:
+        return job.result(spark).drop("batch_id").withColumn("query", F.lit(number))
+
+    return out(both.first, 1).unionByName(out(both.second, 2))
+
+
+def state_all_variables(
+    spark: SparkSession, d: str, max_bytes: int = params.MICRO_BATCH_BYTES, parts: int = 1
+) -> DataFrame:
+    """All state variables of a query that holds records, as of the record halfway, read after it went on:
+    values per key, held records, and the moves that it knew."""
+    job = (both := _held_handoff(spark, d, max_bytes, parts, go_on=False)).first
+    every = statestore.read_variables(job.session, job.checkpoint, job.batch_at(both.at))
+    part = lambda name: F.get_json_object("value", f"$.{name}")
+    group = F.get_json_object("key", "$.key_group").cast("int").alias("key_group")
+    moves = F.concat_ws(":", part("source"), part("target"), part("flip_seq"))
+    # Every lane of a group knows its move.
+    return every.where((F.col("state_name") != "move") | part("flip_seq").isNotNull()).select(
+        "state_name", group,
+        F.coalesce(F.get_json_object("entry", "$.key"), part("key")).alias("key"),
+        F.when(F.col("state_name") == "move", moves).otherwise(F.col("value")).alias("value"),
+    ).distinct()
+
+
 def restart_recovery(spark: SparkSession, d: str) -> DataFrame:
     """Final counts of a query whose sink fails in the second phase after a part was written, and that
     starts again from its checkpoint; with the owners after it: overrides of moves that the lifecycle
@@ -711,7 +844,7 @@ def restart_recovery(spark: SparkSession, d: str) -> DataFrame:
     phases = _phases(spark, d, b)
     inbox = fresh_path(spark, "inbox")
     job = jobs.Job(
-        lambda s: jobs.key_counts(_keyed(streams.file_stream(s, inbox, phases[0].schema))),
+        lambda s: jobs.key_counts(_keyed(streams.file_stream(s, inbox, phases[0][1].schema))),
         session, "update", "restart",
     )
     write = sinks.batch_writer(job.output)
@@ -720,7 +853,7 @@ def restart_recovery(spark: SparkSession, d: str) -> DataFrame:
         write(batch.where("n % 2 = 0"), batch_id)
         raise RuntimeError("the sink is lost")
 
-    for number, phase in enumerate(phases):
+    for number, (_, phase) in enumerate(phases):
         streams.land(phase, inbox)
         if number == 1:
             try:
@@ -754,7 +887,7 @@ QUERIES = {
         state_snapshot, state_from_checkpoint, state_lookup, extract_group, export_group,
         bulk_load_group, ingest_group, replace_group, state_delta, state_delta_values, apply_delta, delete_group,
         state_equal, isolation_check, transfer_summary, abort_rollback,
-        precopy_rounds, precopy_outcome, state_change_feed,
+        precopy_rounds, precopy_outcome, state_change_feed, precopy_from_changes, precopy_changes_outcome,
         route_current, overrides_from_barriers, route_effective,
         affected_records, unaffected_records, plan_for_partition, barrier_fanout,
         barrier_arrivals, barrier_alignment, stream_alignment, migration_ready,
@@ -762,6 +895,6 @@ QUERIES = {
         handoff_integrity, handoff_reconciled, ownership_violations, same_as_no_migration,
         admit_plans, lifecycle_fold, stream_lifecycle, invalid_transitions, timeouts,
         migration_metrics, active_migrations, machine_fold, machine_occupancy,
-        state_handoff, restart_recovery,
+        state_handoff, state_handoff_fold, state_all_variables, restart_recovery,
     )
 }

@@ -341,6 +341,19 @@ def _q(*parts: str, select: str, recursive: bool = False) -> str:
     return f"{word} {','.join(parts)}\n{select}"
 
 
+FEED_ROUNDS = """
+days as (
+  select key, key_group, least(greatest(datediff('day', mid::date, ts::date) + 2, 1), 6) as round from ev, b
+),
+feed as (
+  select g.key_group::bigint as migration_id, g.round::int as round, count(d.key) as delta_size,
+    cast(coalesce(sum(length(d.key) + 8), 0) as bigint) as bytes, count(d.key) < 1 as converged
+  from (select distinct key_group, r.round from days, range(1, 6) r(round)) g
+  left join (select distinct key, key_group, round from days) d
+    on d.key_group = g.key_group and d.round = g.round
+  group by 1, 2
+)"""
+
 MACHINE = """
 site(state, event, next) as (values
   ('new', 'signup', 'active'), ('new', 'view', 'new'),
@@ -618,6 +631,43 @@ select s as state, s in ('COMMITTED', 'ABORTED') as is_terminal,
   s in ('PRE_COPY', 'AWAIT_BARRIER') as background_ok, count(done.state) as migrations
 from (select unnest(['IDLE', 'INIT', 'PRE_COPY', 'AWAIT_BARRIER', 'FINALIZING', 'COMMITTED',
   'ABORTED']) as s) t left join done on done.state = s group by 1"""),
+    "precopy_from_changes": _q(EV, FEED_ROUNDS, select="select * from feed"),
+    "precopy_changes_outcome": _q(EV, FEED_ROUNDS, select="""
+select migration_id, coalesce(arg_min(case when converged then 'AWAIT_BARRIER' else 'DIVERGED' end, round)
+    filter (converged or streak >= 3), 'PRE_COPY') as outcome,
+  coalesce(min(round) filter (converged or streak >= 3), max(round))::int as round
+from (
+  select *, case when round = 1 then 0 else sum(stuck::int) over (
+    partition by migration_id, run order by round) end as streak
+  from (
+    select *, sum((not stuck)::int) over (partition by migration_id order by round) as run
+    from (
+      select *, round > 2 and delta_size >= lag(delta_size) over (
+        partition by migration_id order by round) as stuck
+      from feed)))
+where round > 1 group by 1"""),
+    "state_handoff_fold": _q(EV, HOLD, select="""
+select r.seq, r.key, r.key_group, phase, r.owner, effective_seq, r.n,
+  cast(coalesce(sum(cents) over w, 0) as bigint) as cents, max(cents) over w as most,
+  case when phase in ('held', 'live') then 2 else 1 end::int as query
+from replayed r join (
+  select event_id as seq, cast(round(value * 100) as bigint) as cents from events) v using (seq)
+window w as (partition by r.key order by r.seq)"""),
+    "state_all_variables": _q(EV, PLANS, """
+half as (
+  select ev.*, cents, key_group in (select key_group from plans) and ev.seq > flip as held
+  from ev join (select event_id as seq, cast(round(value * 100) as bigint) as cents from events) using (seq), b
+  where ev.seq <= (select max(seq) // 2 from ev)
+)""", select="""
+select 'counts' as state_name, key_group, key, '{"n":' || count(*) || ',"cents":' || coalesce(sum(cents), 0)
+  || case when max(cents) is null then '' else ',"most":' || max(cents) end || '}' as value
+from half where not held group by key_group, key
+union all
+select 'held', key_group, key, '{"seq":' || seq || ',"key":"' || key || '","owner":' || owner
+  || case when cents is null then '' else ',"cents":' || cents end || '}'
+from half where held
+union all
+select 'move', key_group, null, source || ':' || target || ':' || flip from plans, b"""),
     "machine_fold": _q(EV, MACHINE, recursive=True, select="select * from folded"),
     "machine_occupancy": _q(EV, MACHINE, recursive=True, select="""
 select s as state, count(key) as entities, cast(coalesce(sum(events), 0) as bigint) as events,

@@ -7,14 +7,14 @@ from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from keyferry.functions import keys
 from keyferry.functions.text import explode_words
 from keyferry.scratch import fresh_path, lookup_join
 from keyferry.sinks.tables import batch_writer
-from keyferry.sources import streams
+from keyferry.sources import statestore, streams
 from keyferry.streaming.processors import (
     MOVE, HoldReplay, Lifecycle, RunningCount, RunningFold, in_order,
 )
@@ -75,12 +75,55 @@ class Job:
         """Output of all batches, with ``batch_id``."""
         return spark.read.parquet(self.output)
 
+    @property
+    def ledger(self) -> str:
+        return f"{self.root}/ledger"
+
+    def mark(self, seq: int) -> int:
+        """Note in the ledger that all records up to ``seq``, and none after it, are processed now.
 
-def run_phases(job: Job, phases: Iterable[DataFrame], inbox: str) -> Job:
-    """Land one phase, run the job over it, then open the gate for the next."""
-    for phase in phases:
-        streams.land(phase, inbox)
+        However many micro-batches that took, its last one is the batch to read the state of. Gives
+        that batch's number, -1 if there was none yet.
+        """
+        batch = -1
+        try:
+            commits = self.session.read.text(f"{self.checkpoint}/commits")
+            number = F.regexp_extract(F.input_file_name(), "([0-9]+)$", 1).cast("long")
+            batch = commits.select(number.alias("b")).agg(F.max("b")).first()[0]
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+        note = self.session.createDataFrame([(seq, batch)], "upto long, batch long")
+        note.coalesce(1).write.mode("append").parquet(self.ledger)
+        return batch
+
+    def batch_at(self, seq: int) -> int:
+        """The micro-batch after which all records up to ``seq``, and none after it, were processed."""
+        found = self.session.read.parquet(self.ledger).where(F.col("upto") == seq).first()
+        if found is None:
+            raise ValueError(f"no micro-batch is known to end at record {seq}")
+        return found["batch"]
+
+    def phase(self, batch: Column) -> Column:
+        """Number of the marked phase, from 0, that a batch belongs to. One value per mark."""
+        ends = [r["batch"] for r in self.session.read.parquet(self.ledger).collect()]
+        return F.size(F.filter(F.array(*[F.lit(end) for end in ends]), lambda end: end < batch))
+
+
+def run_phases(
+    job: Job, phases: Iterable[tuple[int, DataFrame]], inbox: str, files: int = 1
+) -> Job:
+    """Land one phase, run the job over it, mark its end, then open the gate for the next.
+
+    ``phases`` are pairs of the last ``seq`` and the records; a phase comes in ``files`` files, and takes as
+    many micro-batches as the source's bound asks for.
+    """
+    for last, phase in phases:
+        for part in range(files):
+            mine = F.pmod(F.xxhash64(*phase.columns), F.lit(files)) == part
+            streams.land(phase.where(mine) if files > 1 else phase, inbox)
         job.run()
+        job.mark(last)
     return job
 
 
@@ -105,16 +148,21 @@ def running_counts(records: DataFrame, initial: DataFrame | None = None) -> Data
 
 
 def running_fold(
-    records: DataFrame, fold: Callable[[tuple, Row], tuple], state: str, start: tuple
+    records: DataFrame,
+    fold: Callable[[tuple, Row], tuple],
+    state: str,
+    start: tuple,
+    initial: DataFrame | None = None,
 ) -> DataFrame:
     """Every record with its key's state after it: ``fold(state, record) -> state``.
 
     ``state`` names the state's columns as in ``"total double, most double"``; ``records`` has ``seq, key``
-    and whatever the fold reads.
+    and whatever the fold reads; ``initial`` is a moved state, ``key`` and the state's columns.
     """
     processor = RunningFold(fold, state, start)
     return in_order(records, ["key"], ["seq"]).transformWithState(
-        processor, processor.output, "append", "none"
+        processor, processor.output, "append", "none",
+        initialState=None if initial is None else initial.groupBy("key"),
     )
 
 
@@ -133,14 +181,34 @@ def hold_replay(
     lanes: int,
     cutovers: DataFrame | None = None,
     update: Callable[[int, Row], int] | None = None,
+    fold: Callable[[tuple, Row], tuple] | None = None,
+    state: str = "n long",
+    start: tuple = (0,),
+    initial: DataFrame | None = None,
 ) -> DataFrame:
     """Hold and replay over a stream of records and one of control records.
 
     A group is spread over ``lanes`` by key, so that a busy group is not one task. Phases follow the
     records' ``seq``. ``cutovers`` are the moves known when the query starts, a settled table of one row
     per key-group: a record meets its own move there, whenever it comes. What is known only later comes
-    through ``control``; a micro-batch's news act before its records. ``update`` is the keyed function.
+    through ``control``; a micro-batch's news act before its records.
+
+    ``fold(state, record) -> state`` is the keyed function; ``state`` names the columns of its state,
+    ``"n long, most double"``, and ``start`` is its value before a key's first record. It gets the whole
+    record, all further columns included, also when it was held. ``update(n, record) -> n`` does for a single
+    number; without either, records are counted. ``initial`` is a moved state, see ``moved_state``.
     """
+    own = ("seq", "key", "key_group", "owner", *MOVE)
+    payload = [] if update is None and fold is None else [
+        f for f in records.schema.fields if f.name not in own
+    ]
+    names = [f.name for f in payload]
+    if update is not None:
+        fold = lambda value, record: (update(value[0], record),)
+    processor = HoldReplay(
+        *([] if fold is None else [fold, state, start]),
+        payload=", ".join(f"{f.name} {f.dataType.simpleString()}" for f in payload),
+    )
     lane = F.pmod(F.xxhash64("key"), F.lit(lanes)).cast("int")
     unknown = {c: F.lit(None).cast("int" if c in ("source", "target") else "long") for c in MOVE}
     if cutovers is None:
@@ -149,22 +217,45 @@ def hold_replay(
         missing = {c: unknown[c] for c in MOVE if c not in cutovers.columns}
         known = cutovers.withColumns(missing).select("key_group", *MOVE)
         data = lookup_join(records, known, ["key_group"], F.col("seq"), "left")
-    value = F.col("value").cast("double") if "value" in records.columns else F.lit(None).cast("double")
     data = data.select(
-        "key_group", lane.alias("lane"), "seq", "key", "owner", value.alias("value"),
-        F.lit(False).alias("control"), *MOVE,
+        "key_group", lane.alias("lane"), "seq", "key", "owner", *names, F.lit(False).alias("control"), *MOVE
     )
     marks = control.select(
         "key_group", "lane", F.lit(None).cast("long").alias("seq"),
         F.lit(None).cast("string").alias("key"), F.lit(None).cast("int").alias("owner"),
-        F.lit(None).cast("double").alias("value"), F.lit(True).alias("control"), *MOVE,
+        *[F.lit(None).cast(f.dataType).alias(f.name) for f in payload],
+        F.lit(True).alias("control"), *MOVE,
     )
+    by = ["key_group", "lane"]
+    moved = None if initial is None else in_order(initial, by, ["held.seq"])
     # News first, then records by seq: null sorts first.
-    return in_order(
-        data.unionByName(marks), ["key_group", "lane"], ["seq"]
-    ).transformWithState(
-        HoldReplay(update) if update else HoldReplay(), HoldReplay.OUTPUT, "append", "none"
+    return in_order(data.unionByName(marks), by, ["seq"]).transformWithState(
+        processor, processor.output, "append", "none", initialState=moved
+    )
+
+
+def moved_state(job: Job, seq: int, groups: DataFrame) -> DataFrame:
+    """What a hold-and-replay query held of some key-groups when it had processed the records up to ``seq``:
+    values, held records and what it knew of the moves, as the ``initial`` state of another one."""
+    read = lambda name: statestore.read_state(
+        job.session, job.checkpoint, job.batch_at(seq), name
+    ).select("key.*", "*")
+    values = read("counts").select(
+        "key_group", "lane", F.lit("state").alias("kind"),
+        F.col("user_map_key.key").alias("key"), F.col("user_map_value").alias("state"),
+    )
+    held = read("held").select(
+        "key_group", "lane", F.lit("held").alias("kind"), F.col("list_element").alias("held")
+    )
+    moves = read("move").select(
+        "key_group", "lane", F.lit("move").alias("kind"), F.col("value").alias("move")
+    )
+    every = values.unionByName(held, allowMissingColumns=True).unionByName(
+        moves, allowMissingColumns=True
     )
+    wanted = groups.select("key_group").distinct()
+    # One row per key-group.
+    return every.join(F.broadcast(wanted), "key_group", "left_semi")
 
 
 def lifecycles(log: DataFrame, timeouts: dict[str, int] | None = None) -> DataFrame:

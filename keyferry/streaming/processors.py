@@ -69,7 +69,8 @@ class RunningFold(StatefulProcessor):
     """Emit every record with its key's value so far under a given fold.
 
     ``fold(state, record)`` gets the key's state as a tuple (``start`` at first) and the whole record, and
-    returns the next state; ``state`` names its columns. The output is ``seq, key`` and the state.
+    returns the next state; ``state`` names its columns. The output is ``seq, key`` and the state. A moved
+    state has ``key`` and the state's columns.
     """
 
     def __init__(self, fold: Callable[[tuple, Row], tuple], state: str, start: tuple) -> None:
@@ -81,8 +82,11 @@ class RunningFold(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.value = handle.getValueState("value", f"last long, {self.state}")
-        names = [part.split()[0] for part in self.state.split(",")]
-        self.row = Row("seq", "key", *names)
+        self.names = [part.split()[0] for part in self.state.split(",")]
+        self.row = Row("seq", "key", *self.names)
+
+    def handleInitialState(self, key, initialState: Row, timerValues) -> None:
+        self.value.update((None, *(initialState[name] for name in self.names)))
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         last, *value = self.value.get() or (None, *self.start)
@@ -103,38 +107,64 @@ MOVE = ("source", "target", "flip_seq", "release_seq", "cancel_seq")
 
 
 class HoldReplay(StatefulProcessor):
-    """Count records per key; hold those of a moving group after the flip while its end is unknown.
+    """Fold records per key; hold those of a moving group after the flip while its end is unknown.
 
     Grouped by (key_group, lane): a lane holds part of the group's keys. Every row carries what is known
     of the group's move (``MOVE``) and the group's default ``owner``; rows with ``control`` are no records
     but bring news of a move to each lane. Whether a record is before or after a flip, a release or a
-    cancellation is told by its ``seq`` alone, never by when either came. ``update`` turns a key's old
-    value and the record into the next value, for each record in order.
+    cancellation is told by its ``seq`` alone, never by when either came. ``fold`` turns a key's state (a
+    tuple, ``start`` at first) and the whole record into the next state, for each record in order; ``state``
+    names the state's columns, ``payload`` those of the record that are held with it.
     Values and held rows go to the state store in batches of at most ``CHUNK``.
+
+    Rows of a moved state have a ``kind``: ``state`` with ``key`` and ``state``, ``held`` with a record, or ``move``.
     """
 
-    OUTPUT = (
-        "seq long, key string, key_group int, phase string, owner int, effective_seq long, n long"
-    )
+    OUTPUT = "seq long, key string, key_group int, phase string, owner int, effective_seq long"
 
-    def __init__(self, update: Callable[[int, Row], int] = lambda n, record: n + 1) -> None:
-        self.next = update
+    def __init__(
+        self,
+        fold: Callable[[tuple, Row], tuple] = lambda state, record: (state[0] + 1,),
+        state: str = "n long",
+        start: tuple = (0,),
+        payload: str = "",
+    ) -> None:
+        self.fold, self.state, self.start, self.payload = fold, state, start, payload
+
+    @property
+    def output(self) -> str:
+        return f"{self.OUTPUT}, {self.state}"
+
+    @property
+    def held_record(self) -> str:
+        return "seq long, key string, owner int" + (f", {self.payload}" if self.payload else "")
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.counts = handle.getMapState("counts", "key string", "n long")
-        self.held = handle.getListState("held", "seq long, key string, owner int, value double")
+        self.counts = handle.getMapState("counts", "key string", self.state)
+        self.held = handle.getListState("held", self.held_record)
         self.move = handle.getValueState(
             "move",
             "source int, target int, flip_seq long, release_seq long, cancel_seq long, last long",
         )
-        self.row = Row("seq", "key", "key_group", "phase", "owner", "effective_seq", "n")
-        self.record = Row("seq", "key", "owner", "value")
+        names = lambda ddl: [part.split()[0] for part in ddl.split(", ") if part]
+        self.row = Row(*names(self.output))
+        self.columns = names(self.held_record)
+        self.record = Row(*self.columns)
+
+    def handleInitialState(self, key, initialState: Row, timerValues) -> None:
+        # Structs inside of rows of a moved state come as dictionaries.
+        if initialState.kind == "state":
+            self.counts.updateValue((initialState.key,), tuple(initialState.state.values()))
+        elif initialState.kind == "held":
+            self.held.appendValue(tuple(initialState.held.values()))
+        else:
+            self.move.update(tuple(initialState.move.values()))
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         group = key[0]
         before = tuple(self.move.get() or (None,) * 6)
         move, last = before[:5], before[5]
-        values: dict[str, int] = {}
+        values: dict[str, tuple] = {}
         waiting: list[Row] = []
         for r in rows:
             news = (r.source, r.target, r.flip_seq, r.release_seq, r.cancel_seq)
@@ -150,7 +180,7 @@ class HoldReplay(StatefulProcessor):
             if last is not None and r.seq <= last:
                 raise ValueError(f"record {r.seq} of group {group} came after record {last}")
             last = r.seq
-            record = self.record(r.seq, r.key, r.owner, r.value)
+            record = self.record(*(r[c] for c in self.columns))
             if self._phase(move, r.seq) == "held" and self._end(move) is None:
                 waiting.append(record)
                 if len(waiting) == CHUNK:
@@ -178,16 +208,15 @@ class HoldReplay(StatefulProcessor):
             return "pre"
         return "held" if end is None or seq <= end else "live"
 
-    def _emit(self, group: int, move: tuple, r: Row, values: dict[str, int]) -> Row:
+    def _emit(self, group: int, move: tuple, r: Row, values: dict[str, tuple]) -> Row:
         source, target, _, release, cancel = move
         phase, end = self._phase(move, r.seq), self._end(move)
         back = end is not None and end == cancel and end != release
         owner = {"other": r.owner, "pre": source, "held": source if back else target}.get(phase, target)
-        return self.row(
-            r.seq, r.key, group, phase, owner, end if phase == "held" else r.seq, self._count(r, values)
-        )
+        effective = end if phase == "held" else r.seq
+        return self.row(r.seq, r.key, group, phase, owner, effective, *self._next(r, values))
 
-    def _drain(self, group: int, move: tuple, values: dict[str, int]) -> Iterator[Row]:
+    def _drain(self, group: int, move: tuple, values: dict[str, tuple]) -> Iterator[Row]:
         for held in self.held.get():
             yield self._emit(group, move, self.record(*held), values)
         self.held.clear()
@@ -197,20 +226,20 @@ class HoldReplay(StatefulProcessor):
             self.held.appendList([tuple(r) for r in waiting])
             waiting.clear()
 
-    def _count(self, record: Row, values: dict[str, int]) -> int:
+    def _next(self, record: Row, values: dict[str, tuple]) -> tuple:
         key = record.key
-        n = values.get(key)
-        if n is None:
+        value = values.get(key)
+        if value is None:
             if len(values) >= CHUNK:
                 self._store(values)
-            known = self.counts.getValue((key,))
-            n = known[0] if known else 0
-        values[key] = n = self.next(n, record)
-        return n
-
-    def _store(self, values: dict[str, int]) -> None:
-        for key, n in values.items():
-            self.counts.updateValue((key,), (n,))
+            value = self.counts.getValue((key,))
+            value = self.start if value is None else tuple(value)
+        values[key] = value = tuple(self.fold(value, record))
+        return value
+
+    def _store(self, values: dict[str, tuple]) -> None:
+        for key, value in values.items():
+            self.counts.updateValue((key,), value)
         values.clear()
 
     def close(self) -> None:
