@@ -325,3 +325,105 @@ def admit_plans(requests: DataFrame, active: DataFrame) -> DataFrame:
     return lookup_join(requests, admitted, ["key_group", "pos"], F.col("pos"), "left").select(
         "pos", "key_group", F.col("migration_id").isNotNull().alias("admitted"), "migration_id"
     )
+
+
+#: Ranges that a global order is cut into; each table of ranges has at most so many rows per group.
+RANGES = 256
+
+
+def _ranges(df: DataFrame, column: str, ranges: int) -> Column:
+    """Number of the range that a row's ``column`` falls in, of about equally full ones. One value is read."""
+    steps = [i / ranges for i in range(1, ranges)]
+    cuts = df.agg(F.percentile_approx(column, steps, 10 * ranges).alias("c")).first()["c"]
+    ends = F.array(*[F.lit(c) for c in sorted(set(cuts or []))]).cast("array<long>")
+    return F.size(F.filter(ends, lambda end: end < F.col(column)))
+
+
+def _numbered(df: DataFrame, order: str, name: str, ranges: int) -> DataFrame:
+    """Rows numbered from 1 in order, without one task that orders them all: numbers inside a range start
+    from the rows in earlier ranges."""
+    cut = settle(df.withColumn("_range", _ranges(df, order, ranges)), "ranges")
+    # At most ``ranges`` rows.
+    sizes = cut.groupBy("_range").agg(F.count("*").alias("_rows"))
+    earlier = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    base = sizes.select("_range", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_base"))
+    inside = F.row_number().over(W.partitionBy("_range").orderBy(order))
+    return (
+        cut.join(F.broadcast(base), "_range")
+        .withColumn(name, (F.col("_base") + inside).cast("long"))
+        .drop("_range", "_base")
+    )
+
+
+def admit_over_time(requests: DataFrame, ranges: int = RANGES) -> DataFrame:
+    """Admit a request when its key-group is free, and let the group go again when the move ends.
+
+    ``requests`` has ``pos`` (unique), ``key_group``, ``at_ts`` and ``until_ts``, the end of the move if it is
+    admitted (null: never). Requests come in order of ``at_ts``, then ``pos``. A group is free from ``until_ts``
+    on; a move that ends as it begins, or before, holds back no other. Admitted requests get ids in
+    order of ``pos``, the others none. Requests without a time are refused; a null group is a group.
+
+    Whoever is admitted, the next one admitted in its group is the first request at or after its end. These links
+    don't depend on each other, so they are found at once, and what is admitted is what they reach from the
+    group's first request: found by doubling the links, in as many rounds as the logarithm of the longest
+    chain. A group's requests are cut in time ranges, so that a busy group is not one task.
+    """
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    rows = requests.where("at_ts is not null").select(
+        F.col("pos").cast("long").alias("pos"), "key_group", micros("at_ts").alias("at"),
+        F.greatest(micros("until_ts"), micros("at_ts")).alias("_ends"),
+        F.col("until_ts").isNull().alias("_endless"),
+    )
+    rows = settle(
+        rows.select("pos", "key_group", "at", F.when(~F.col("_endless"), F.col("_ends")).alias("until")), "requests"
+    )
+    # A point in time is (time, pos); an end comes before the requests of its time, but after its own.
+    first_pos = F.lit(-(1 << 63)).cast("long")
+    starts = rows.select("key_group", "at", F.col("pos").alias("tie"), F.lit(0).alias("kind"), "pos")
+    ends = rows.where("until is not null").select(
+        "key_group", F.col("until").alias("at"),
+        F.when(F.col("until") > F.col("at"), first_pos).otherwise(F.col("pos")).alias("tie"),
+        F.lit(1).alias("kind"), "pos",
+    )
+    points = settle(
+        starts.unionByName(ends).withColumn("range", _ranges(rows, "at", ranges)), "time-points"
+    )
+    request = F.when(F.col("kind") == 0, F.col("pos"))
+    in_range = W.partitionBy("key_group", "range").orderBy("at", "tie", "kind")
+    following = in_range.rowsBetween(1, W.unboundedFollowing)
+    near = points.withColumn("near", F.first(request, ignorenulls=True).over(following)).where("kind = 1")
+    # Per group at most ``ranges`` rows: the first request of each range, and the next range's.
+    firsts = points.where("kind = 0").groupBy("key_group", "range").agg(
+        F.min(F.struct("at", "tie", "pos"))["pos"].alias("first")
+    )
+    every = points.select("key_group", "range").distinct().join(
+        firsts.withColumnsRenamed({"key_group": "_g", "range": "_r"}),
+        F.col("key_group").eqNullSafe(F.col("_g")) & (F.col("range") == F.col("_r")), "left",
+    )
+    later = W.partitionBy("key_group").orderBy("range").rowsBetween(1, W.unboundedFollowing)
+    nexts = settle(
+        every.select("key_group", "range", F.first("first", ignorenulls=True).over(later).alias("far")), "next-ranges"
+    )
+    links = lookup_join(near, nexts, ["key_group", "range"], F.col("pos"), "left", nulls_match=True)
+    jump = settle(
+        links.select("pos", F.coalesce("near", "far").alias("to")).where("to is not null"), "next-moves"
+    )
+    reached = settle(
+        rows.groupBy("key_group").agg(F.min(F.struct("at", "pos"))["pos"].alias("pos")).select("pos"), "admitted"
+    )
+    while True:
+        more = reached.join(jump, "pos").select(F.col("to").alias("pos"))
+        grown = settle(reached.unionByName(more).distinct(), "admitted")
+        # Twice as long links; where they end, the chains have been followed to their ends.
+        beyond = jump.select("pos", F.col("to").alias("mid")).join(
+            jump.withColumnRenamed("pos", "mid"), "mid"
+        )
+        jump = settle(beyond.select("pos", "to"), "next-moves")
+        reached = grown
+        if jump.isEmpty():
+            break
+    numbered = _numbered(reached, "pos", "migration_id", ranges)
+    # Positions are unique on both sides, so no key is hot.
+    return requests.join(numbered, "pos", "left").select(
+        "pos", "key_group", F.col("migration_id").isNotNull().alias("admitted"), "migration_id"
+    )

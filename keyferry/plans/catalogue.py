@@ -352,6 +352,32 @@ def apply_delta(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def apply_delta_stored(spark: SparkSession, d: str) -> DataFrame:
+    """The moving groups' changes from flip to release, applied twice to a stored table: entries and folders
+    changed by each pass, files of other folders that are not what they were, and whether the table is as wished."""
+    b = bounds(spark, d)
+    plans = inputs.plans(spark, d)
+    table, path = _written_state(spark, d, b, b.flip_seq)
+    wanted = settle(_state(spark, d, b, b.release_seq, plans), "wanted")
+    delta = settle(st.state_delta(wanted, st.extract_groups(table, plans)), "delta")
+    moving = plans.select("key_group")
+    others = lambda: sinks.folder_files(spark, path).join(
+        F.broadcast(moving), "key_group", "left_anti"
+    )
+    before = settle(others(), "files-before")
+    first = sinks.apply_delta(delta, path, table, "flip-to-release")
+    second = sinks.apply_delta(delta, path, table, "flip-to-release")
+    touched = st.compare(before, others(), ["key_group", "file", "written"])
+    after = st.extract_groups(sinks.read_state(spark, path, table), plans)
+    same = st.compare(wanted, after, [*st.ENTRY, "n"])
+    return same.select(
+        F.lit(first[1]).cast("long").alias("entries_first"), F.lit(first[0]).cast("long").alias("folders_first"),
+        F.lit(second[1]).cast("long").alias("entries_second"), F.lit(second[0]).cast("long").alias("folders_second"),
+        touched.select(F.expr("left_only + right_only")).scalar().alias("other_files_touched"),
+        F.expr("left_only + right_only = 0").alias("equal_after"),
+    )
+
+
 def delete_group(spark: SparkSession, d: str) -> DataFrame:
     """On commit the source drops the moved group."""
     b = bounds(spark, d)
@@ -620,6 +646,15 @@ def admit_plans(spark: SparkSession, d: str) -> DataFrame:
     return life.admit_plans(requests, inputs.plans(spark, d))
 
 
+def admit_over_time(spark: SparkSession, d: str) -> DataFrame:
+    """Every record asks to move its key-group for as many hours as its value says."""
+    hours = F.expr("make_dt_interval(0, 0, 0, cast(floor(coalesce(value, 0) * 3600) as bigint))")
+    requests = with_groups(records(spark, d)).select(
+        F.col("seq").alias("pos"), "key_group", F.col("ts").alias("at_ts"), (F.col("ts") + hours).alias("until_ts")
+    )
+    return life.admit_over_time(requests)
+
+
 def _log(spark: SparkSession, d: str) -> DataFrame:
     b = bounds(spark, d)
     return inputs.event_log(spark, inputs.round_table(spark, d, b), b)
@@ -885,7 +920,8 @@ QUERIES = {
         key_group_assign, owner_ranges, owner_load, singleton_groups, partition_size, make_plans,
         shared_target, serve_check, physical_route, phase_stream,
         state_snapshot, state_from_checkpoint, state_lookup, extract_group, export_group,
-        bulk_load_group, ingest_group, replace_group, state_delta, state_delta_values, apply_delta, delete_group,
+        bulk_load_group, ingest_group, replace_group, state_delta, state_delta_values, apply_delta,
+        apply_delta_stored, delete_group,
         state_equal, isolation_check, transfer_summary, abort_rollback,
         precopy_rounds, precopy_outcome, state_change_feed, precopy_from_changes, precopy_changes_outcome,
         route_current, overrides_from_barriers, route_effective,
@@ -893,7 +929,7 @@ QUERIES = {
         barrier_arrivals, barrier_alignment, stream_alignment, migration_ready,
         hold_replay, stream_hold_replay, hold_cancel, stream_hold_cancel, hold_stats,
         handoff_integrity, handoff_reconciled, ownership_violations, same_as_no_migration,
-        admit_plans, lifecycle_fold, stream_lifecycle, invalid_transitions, timeouts,
+        admit_plans, admit_over_time, lifecycle_fold, stream_lifecycle, invalid_transitions, timeouts,
         migration_metrics, active_migrations, machine_fold, machine_occupancy,
         state_handoff, state_handoff_fold, state_all_variables, restart_recovery,
     )

@@ -602,6 +602,35 @@ requests as (
 select pos, key_group, admitted, case when admitted then
   sum(admitted::int) over (order by pos) end::bigint as migration_id
 from requests"""),
+    "admit_over_time": _q(EV, """
+asked as (
+  select ev.seq, key_group, ev.ts as at_ts,
+    greatest(ev.ts, ev.ts + to_seconds(cast(floor(coalesce(value, 0) * 3600) as bigint))) as until_ts,
+    row_number() over (partition by key_group order by ev.ts, ev.seq) as i
+  from ev join (select event_id as seq, value from events) using (seq)
+),
+walk as (
+  select seq, key_group, i, true as admitted, until_ts as free_ts from asked where i = 1
+  union all
+  select a.seq, a.key_group, a.i, a.at_ts >= w.free_ts,
+    case when a.at_ts >= w.free_ts then a.until_ts else w.free_ts end
+  from walk w join asked a on a.key_group = w.key_group and a.i = w.i + 1
+)""", recursive=True, select="""
+select seq as pos, key_group, admitted, case when admitted then
+  sum(admitted::int) over (order by seq) end::bigint as migration_id
+from walk"""),
+    "apply_delta_stored": _q(EV, PLANS, STATES, """
+moving as (
+  select coalesce(a.key_group, z.key_group) as key_group
+  from (select * from s_flip semi join plans using (key_group)) a
+  full join (select * from s_rel semi join plans using (key_group)) z
+    on a.state_name = z.state_name and a.key_group = z.key_group and a.key = z.key
+  where a.n is distinct from z.n
+)""", select="""
+select count(*) as entries_first, count(distinct key_group) as folders_first,
+  0::bigint as entries_second, 0::bigint as folders_second, 0::bigint as other_files_touched,
+  true as equal_after
+from moving"""),
     "lifecycle_fold": _FOLD,
     "stream_lifecycle": _FOLD,
     "invalid_transitions": _q(EV, FOLD, """

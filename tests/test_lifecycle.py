@@ -228,3 +228,46 @@ def test_random_logs_agree_between_stream_and_batch(spark):
     batch = {x["migration_id"]: (x["state"], x["reason"]) for x in life.lifecycle(table).collect()}
     assert streamed(spark, table, []) == batch
     assert len(set(batch.values())) >= 6
+
+
+def greedy(requests):
+    """Admit in order what its group is free for; number the admitted by position."""
+    free, admitted = {}, set()
+    for pos, group, at, until in sorted((r for r in requests if r[2] is not None), key=lambda r: (r[2], r[0])):
+        if group not in free or (free[group] is not None and at >= free[group]):
+            admitted.add(pos)
+            free[group] = None if until is None else max(at, until)
+    number = {pos: i for i, pos in enumerate(sorted(admitted), 1)}
+    return sorted([(pos, g, pos in admitted, number.get(pos)) for pos, g, _, _ in requests], key=repr)
+
+
+def asked(spark, requests):
+    at = lambda s: None if s is None else T + dt.timedelta(seconds=s)
+    return spark.createDataFrame(
+        [(pos, g, at(a), at(z)) for pos, g, a, z in requests],
+        "pos long, key_group int, at_ts timestamp_ntz, until_ts timestamp_ntz",
+    )
+
+
+@pytest.mark.parametrize("ranges", [1, 5, 256])
+def test_admission_over_time_is_greedy(spark, ranges):
+    """Ties, ends at a request's time, ends before their begin, moves without end, requests without time."""
+    rng = random.Random(ranges)
+    requests = []
+    for pos in rng.sample(range(1_000), 300):
+        at = None if rng.random() < 0.02 else rng.randint(0, 120)
+        until = None if rng.random() < 0.01 else (at or 0) + rng.choice([-3, 0, 0, 1, 2, 5, 30])
+        requests.append((pos, rng.choice([1, 1, 1, 2, None, None, rng.randint(3, 40)]), at, until))
+    got = life.admit_over_time(asked(spark, requests), ranges)
+    assert rows(got) == greedy(requests)
+    assert sum(r[2] for r in greedy(requests)) > 60
+
+
+def test_a_long_chain_of_admissions(spark):
+    requests = [(i, 7, i, i + 2) for i in range(500)]
+    got = life.admit_over_time(asked(spark, requests), 8)
+    assert rows(got.where("admitted"), "pos") == sorted([(i,) for i in range(0, 500, 2)], key=repr)
+
+
+def test_no_requests(spark):
+    assert life.admit_over_time(asked(spark, [])).count() == 0

@@ -1,9 +1,10 @@
 import os
 
+import pytest
 from conftest import rows
 
 from keyferry.operators import state as st
-from keyferry.scratch import fresh_path
+from keyferry.scratch import fresh_path, settle
 from keyferry.sinks import tables as sinks
 
 SCHEMA = "state_name string, key_group int, key string, n long"
@@ -156,3 +157,53 @@ def test_comparison_after_a_wrong_delta_sees_it(spark):
     applied = st.apply_delta(target, partial)
     assert st.state_delta(source, applied).count() == 1
     assert rows(st.compare(source, applied, [*ON, "n"]), "left_only", "right_only") == [(1, 1)]
+
+
+def stored(spark):
+    path = fresh_path(spark, "stored")
+    return sinks.write_state(three_groups(spark), path), path
+
+
+def files(spark, path):
+    return rows(sinks.folder_files(spark, path))
+
+
+def test_stored_delta_rewrites_changed_folders_once(spark):
+    like, path = stored(spark)
+    before = files(spark, path)
+    wished = table(spark, (7, "key-7-0", 1), (7, "new", 5), (4, "first", 2), *[(3, f"key-3-{i}", 300 + i) for i in range(5)])
+    delta = settle(st.state_delta(wished, three_groups(spark).where("key_group <> 9")), "delta")
+    assert sinks.apply_delta(delta, path, like, "d1") == (2, 7)
+    after = files(spark, path)
+    untouched = lambda all_: [f for f in all_ if f[0] in (3, 9)]
+    assert untouched(after) == untouched(before) and {f[0] for f in after} == {3, 4, 7, 9}
+    want = rows(wished.unionByName(three_groups(spark).where("key_group = 9")).select(*like.columns))
+    assert rows(sinks.read_state(spark, path, like)) == want
+    assert sinks.apply_delta(delta, path, like, "d1") == (0, 0)
+    assert files(spark, path) == after
+
+
+def test_stored_delta_can_empty_a_group(spark):
+    like, path = stored(spark)
+    delta = settle(st.state_delta(three_groups(spark).where("key_group <> 7"), three_groups(spark)), "delta")
+    assert sinks.apply_delta(delta, path, like, "gone") == (1, 5)
+    assert rows(sinks.read_state(spark, path, like).select("key_group").distinct()) == [(3,), (9,)]
+
+
+def test_pass_lost_before_its_note_can_be_repeated(spark, monkeypatch):
+    like, path = stored(spark)
+    wished = three_groups(spark).where("not (key_group = 9 and n > 901)")
+    delta = settle(st.state_delta(wished, three_groups(spark)), "delta")
+    overwrite = sinks.overwrite_groups
+
+    def lost(moved, to):
+        overwrite(moved, to)
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(sinks, "overwrite_groups", lost)
+    with pytest.raises(RuntimeError):
+        sinks.apply_delta(delta, path, like, "d")
+    monkeypatch.undo()
+    assert sinks.apply_delta(delta, path, like, "d") == (1, 3)
+    assert rows(sinks.read_state(spark, path, like)) == rows(wished.select(*like.columns))
+    assert sinks.applied_deltas(spark, path).count() == 1
