@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyferry.llm.common import list_array, table, unicode_rows
+from keyferry.llm.words import row_blocks
 
 #: Pieces and pairs that a worker remembers before it starts afresh; results don't depend on it.
 MEMO = 600_000
@@ -166,22 +167,28 @@ class Vocabulary:
     def decode_rows(self, rows: pa.ListArray) -> pa.Array:
         """The bytes of each row of ids; null for a null row and one with a null or unknown id."""
         counts = rows.value_lengths().fill_null(0).to_numpy()
-        flat = rows.flatten().cast(pa.int64()).fill_null(-1).to_numpy()
-        known = (flat >= 0) & (flat < len(self.token))
-        flat = np.where(known, flat, len(self.token))
-        # One more token, without bytes, stands for all unknown ids.
-        length = np.array([*self.length, 0], np.int64)[flat]
-        bad = np.add.reduceat(np.append(length == 0, False), np.cumsum(counts) - counts, dtype=np.int64)
-        valid = rows.is_valid().to_numpy(zero_copy_only=False) & ((bad == 0) | (counts == 0))
-        data = b"".join(map([*self.token, b""].__getitem__, np.where(length > 0, flat, -1).tolist()))
-        ends = np.concatenate([[0], np.cumsum(length)])[np.cumsum(counts)]
+        starts = np.concatenate([[0], np.cumsum(counts)])
+        flat = rows.flatten()
+        # One more token, without bytes, stands for all null and unknown ids.
+        sizes, spelled, data = np.array([*self.length, 0]), [*self.token, b""], []
+        ends, valid = np.zeros(len(rows) + 1, np.int64), rows.is_valid().to_numpy(zero_copy_only=False).copy()
+        for lo, hi in row_blocks(starts, 200_000):
+            a, z = starts[lo], starts[hi]
+            ids = flat.slice(a, z - a).cast(pa.int64()).fill_null(-1).to_numpy()
+            ids = np.where((ids >= 0) & (ids < len(self.token)), ids, -1)
+            ids[sizes[ids] == 0] = -1
+            data.append(b"".join(map(spelled.__getitem__, ids.tolist())))
+            at = np.concatenate([[0], np.cumsum(sizes[ids])])
+            ends[lo + 1 : hi + 1] = ends[lo] + at[starts[lo + 1 : hi + 1] - a]
+            bad = np.concatenate([[0], np.cumsum(ids < 0)])[starts[lo : hi + 1] - a]
+            valid[lo:hi] &= bad[1:] == bad[:-1]
         return pa.Array.from_buffers(
             pa.binary(),
             len(rows),
             [
                 pa.py_buffer(np.packbits(valid, bitorder="little")),
-                pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32)),
-                pa.py_buffer(data),
+                pa.py_buffer(ends.astype(np.int32)),
+                pa.py_buffer(b"".join(data)),
             ],
         )
 
