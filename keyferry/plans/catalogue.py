@@ -606,6 +606,50 @@ def handoff_integrity(spark: SparkSession, d: str) -> DataFrame:
     return integrity.handoff_integrity(emitted, _processed(spark, d, cut), cut)
 
 
+def stream_handoff_integrity(
+    spark: SparkSession, d: str, max_bytes: int = params.MICRO_BATCH_BYTES, parts: int = 1
+) -> DataFrame:
+    """Records against a hand-off's output that lacks some of them and has others twice: lost and repeated ones
+    by key, reported by a query over both streams."""
+    b = bounds(spark, d)
+    sent = records(spark, d).select("seq", "key", "ts")
+    processed = _processed(spark, d, inputs.cutovers(spark, d, b)).select("seq")
+    whole = processed.where("seq % 97 <> 5")
+    damaged = whole.unionByName(whole.where("seq % 89 = 3")).join(sent.select("seq", "ts"), "seq")
+    # A last pair of rows, a year on, lets the watermark pass all records; it has no number of a record.
+    end = sent.agg(F.max("ts").alias("ts")).select(
+        F.lit(-1).cast("long").alias("seq"), F.lit(None).cast("string").alias("key"),
+        F.expr("ts + interval 1 year").alias("ts"),
+    )
+    left, right = fresh_path(spark, "emitted"), fresh_path(spark, "processed")
+    job = jobs.Job(
+        lambda s: jobs.reconcile(
+            streams.file_stream(s, left, sent.schema, max_bytes),
+            streams.file_stream(s, right, sent.drop("key").schema, max_bytes),
+        ),
+        streams.stream_session(spark), name="reconcile",
+    )
+    for part in range(parts):
+        mine = F.col("seq").between(
+            (b.max_seq + 1) * part // parts, (b.max_seq + 1) * (part + 1) // parts - 1
+        )
+        streams.land(sent.where(mine), left)
+        streams.land(damaged.where(mine).select("seq", "ts"), right)
+    job.run()
+    streams.land(end, left)
+    streams.land(end.select("seq", "ts"), right)
+    job.run()
+    # One more row per (key, seq) than were emitted is a repetition.
+    found = job.result(spark).where("seq >= 0").groupBy("key", "seq").agg(
+        F.count_if(F.col("status") != "lost").alias("times")
+    )
+    return found.groupBy("key").agg(
+        F.count("*").alias("emitted"),
+        F.count_if(F.col("times") == 0).alias("lost"),
+        F.sum(F.greatest(F.col("times") - 1, F.lit(0))).cast("long").alias("repeated"),
+    )
+
+
 def ownership_violations(spark: SparkSession, d: str) -> DataFrame:
     cut = inputs.cutovers(spark, d, bounds(spark, d))
     return integrity.ownership_violations(_processed(spark, d, cut), cut)
@@ -928,7 +972,7 @@ QUERIES = {
         affected_records, unaffected_records, plan_for_partition, barrier_fanout,
         barrier_arrivals, barrier_alignment, stream_alignment, migration_ready,
         hold_replay, stream_hold_replay, hold_cancel, stream_hold_cancel, hold_stats,
-        handoff_integrity, handoff_reconciled, ownership_violations, same_as_no_migration,
+        handoff_integrity, stream_handoff_integrity, handoff_reconciled, ownership_violations, same_as_no_migration,
         admit_plans, admit_over_time, lifecycle_fold, stream_lifecycle, invalid_transitions, timeouts,
         migration_metrics, active_migrations, machine_fold, machine_occupancy,
         state_handoff, state_handoff_fold, state_all_variables, restart_recovery,

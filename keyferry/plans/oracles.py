@@ -631,6 +631,10 @@ select count(*) as entries_first, count(distinct key_group) as folders_first,
   0::bigint as entries_second, 0::bigint as folders_second, 0::bigint as other_files_touched,
   true as equal_after
 from moving"""),
+    "stream_handoff_integrity": _q(EV, select="""
+select key, count(*) as emitted, count(*) filter (seq % 97 = 5) as lost,
+  count(*) filter (seq % 97 <> 5 and seq % 89 = 3) as repeated
+from ev group by 1"""),
     "lifecycle_fold": _FOLD,
     "stream_lifecycle": _FOLD,
     "invalid_transitions": _q(EV, FOLD, """

@@ -269,6 +269,28 @@ def lifecycles(log: DataFrame, timeouts: dict[str, int] | None = None) -> DataFr
     )
 
 
+def reconcile(emitted: DataFrame, processed: DataFrame, delay: str = "1 hour") -> DataFrame:
+    """What was emitted against what was processed, as both streams go on.
+
+    Both have ``seq`` and ``ts`` (the record's own time), ``emitted`` also ``key``. Gives ``seq, key, status``:
+    ``done`` for each pair, so a record that was processed twice has two; ``lost`` for a record that was not
+    processed when the watermark of both streams had passed it, once; ``stray`` for a processed one that was not
+    emitted, or came after the record's state was dropped. State is kept for ``delay`` of event time.
+    """
+    timed = lambda df: df.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
+    sent = timed(emitted.select("seq", "key", "ts"))
+    done = timed(processed.select("seq", "ts")).select(
+        F.col("seq").alias("done_seq"), F.col("ts").alias("done_ts")
+    )
+    same = (F.col("seq") == F.col("done_seq")) & (F.col("ts") == F.col("done_ts"))
+    status = (
+        F.when(F.col("done_seq").isNull(), "lost").when(F.col("seq").isNull(), "stray").otherwise("done")
+    )
+    return sent.join(done, same, "full_outer").select(
+        F.coalesce("seq", "done_seq").alias("seq"), "key", status.alias("status")
+    )
+
+
 def first_arrivals_by_day(records: DataFrame) -> DataFrame:
     """Streaming minimum per (owner, channel, day)."""
     return records.groupBy(

@@ -112,3 +112,33 @@ def test_variables_come_from_the_checkpoint(spark):
     assert statestore.variables(session, counted.checkpoint) == [(0, None)]
     every = statestore.read_variables(session, counted.checkpoint)
     assert rows(every, "key", "value") == [('{"key":"a"}', '{"count":1}'), ('{"key":"b"}', '{"count":1}')]
+
+
+def test_losses_and_repeats_over_micro_batches(spark, data, duck):
+    out = catalogue.stream_handoff_integrity(spark, data, max_bytes=1, parts=3)
+    assert equals_sql(duck, "stream_handoff_integrity", out)
+
+
+def test_a_loss_is_reported_once_and_a_stray_is_told(spark):
+    at = lambda s: f"timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, 0, {s})"
+    sent = spark.range(10).selectExpr("id as seq", "'k' as key", f"{at('cast(id as int)')} as ts")
+    done = sent.select("seq", "ts").where("seq <> 4")
+    stray = spark.range(1).selectExpr("99L as seq", f"{at('3')} as ts")
+    end = spark.range(1).selectExpr("-1L as seq", "cast(null as string) as key", f"{at('90000')} as ts")
+    left, right = fresh_path(spark, "left"), fresh_path(spark, "right")
+    job = jobs.Job(
+        lambda s: jobs.reconcile(
+            streams.file_stream(s, left, sent.schema), streams.file_stream(s, right, done.schema)
+        ),
+        streams.stream_session(spark), name="loss",
+    )
+    streams.land(sent, left)
+    streams.land(done.unionByName(stray), right)
+    job.run()
+    assert rows(job.result(spark), "seq", "status") == sorted([(i, "done") for i in range(10) if i != 4], key=repr)
+    for _ in range(2):
+        streams.land(end, left)
+        streams.land(end.select("seq", "ts"), right)
+        job.run()
+    late = job.result(spark).where("status <> 'done' and seq >= 0")
+    assert rows(late, "seq", "status") == [(4, "lost"), (99, "stray")]
