@@ -20,6 +20,19 @@ def _cancelled() -> Column:
     return cancel.isNotNull() & (release.isNull() | (cancel < release))
 
 
+def drop_owner(cutovers: DataFrame, owner: int, at_seq: int) -> DataFrame:
+    """Everything that an owner has in flight is given up at a record: moves from it and to it that were not
+    released before. As rows of ``cutovers`` or, through ``jobs.control_records``, as news to a running query."""
+    if "cancel_seq" not in cutovers.columns:
+        cutovers = cutovers.withColumn("cancel_seq", F.lit(None).cast("long"))
+    its_own = (F.col("source") == owner) | (F.col("target") == owner)
+    at = F.lit(at_seq).cast("long")
+    # The earlier one of two cancellations counts.
+    return cutovers.withColumn(
+        "cancel_seq", F.when(its_own, F.least("cancel_seq", at)).otherwise(F.col("cancel_seq"))
+    )
+
+
 def with_phase(records: DataFrame, cutovers: DataFrame) -> DataFrame:
     """Add the group's cutover and ``phase``: pre, held, live, or other for groups that stay."""
     if "cancel_seq" not in cutovers.columns:

@@ -33,6 +33,7 @@ from keyferry.streaming.totals import RunningTotals
 
 LANES = 8
 FEED_ROUNDS = 5
+DROPPED = 1
 SPREAD_ROWS = 65_536
 
 
@@ -556,6 +557,20 @@ def hold_cancel(spark: SparkSession, d: str) -> DataFrame:
     return cutover.hold_replay(_counted(spark, d), cut)
 
 
+def _dropped(spark: SparkSession, d: str) -> DataFrame:
+    b = bounds(spark, d)
+    return settle(cutover.drop_owner(inputs.cutovers(spark, d, b), DROPPED, b.cancel_seq), "cutovers")
+
+
+def hold_drop_owner(spark: SparkSession, d: str) -> DataFrame:
+    """As ``hold_replay``, but an owner drops everything in flight halfway through the stream."""
+    return cutover.hold_replay(_counted(spark, d), _dropped(spark, d))
+
+
+def stream_hold_drop_owner(spark: SparkSession, d: str) -> DataFrame:
+    return _stream_hold(spark, d, _dropped(spark, d), "hold-drop")
+
+
 def _stream_hold(spark: SparkSession, d: str, cut: DataFrame, name: str) -> DataFrame:
     """The moves are known when the query starts, and come as news once more, as they would later."""
     control = jobs.control_records(cut, LANES)
@@ -971,7 +986,8 @@ QUERIES = {
         route_current, overrides_from_barriers, route_effective,
         affected_records, unaffected_records, plan_for_partition, barrier_fanout,
         barrier_arrivals, barrier_alignment, stream_alignment, migration_ready,
-        hold_replay, stream_hold_replay, hold_cancel, stream_hold_cancel, hold_stats,
+        hold_replay, stream_hold_replay, hold_cancel, stream_hold_cancel,
+        hold_drop_owner, stream_hold_drop_owner, hold_stats,
         handoff_integrity, stream_handoff_integrity, handoff_reconciled, ownership_violations, same_as_no_migration,
         admit_plans, admit_over_time, lifecycle_fold, stream_lifecycle, invalid_transitions, timeouts,
         migration_metrics, active_migrations, machine_fold, machine_occupancy,

@@ -397,6 +397,7 @@ select c.seq, c.key, c.key_group,
     as effective_seq, n
 from counted c cross join (select *, (select max(seq) // 2 from ev) as half from b) b
 left join (select *, source % 2 = 0 as gone from plans) p on c.key_group = p.key_group""")
+_DROP = _CANCEL.replace("source % 2 = 0 as gone", "source = 1 or target = 1 as gone")
 _FOLD = _q(
     EV, FOLD, recursive=True, select="select migration_id, state, reason, ended_at from done"
 )
@@ -561,6 +562,8 @@ from alignment group by 1"""),
     "hold_replay": _HOLD,
     "stream_hold_replay": _HOLD,
     "hold_cancel": _CANCEL,
+    "hold_drop_owner": _DROP,
+    "stream_hold_drop_owner": _DROP,
     "stream_hold_cancel": _CANCEL,
     "hold_stats": _q(EV, HOLD, select="""
 select p.key_group, count(r.seq) as held,

@@ -203,3 +203,18 @@ def test_partitions_are_those_of_the_checkpoint(spark, ev):
 def test_demo_words_are_a_stream(spark):
     words = streams.word_rate_stream(streams.stream_session(spark), ["red", "green", "blue"])
     assert words.isStreaming and words.columns == ["timestamp", "w"]
+
+
+def test_an_owner_drops_what_it_has_in_flight(spark):
+    """News to a query that already holds records; a move released before, and other owners' ones, go on."""
+    ev = stream(spark, [f"key-{i}" for i in range(12)] * 8)
+    grouped = with_groups(ev).select("key_group", "owner").distinct().collect()
+    moves = [(r["key_group"], r["owner"], (r["owner"] + 1) % 4, 20, 30 if i % 3 == 0 else None) for i, r in enumerate(grouped)]
+    cut = settle(spark.createDataFrame(moves, "key_group int, source int, target int, flip_seq long, release_seq long"))
+    dropped = settle(cutover.drop_owner(cut, 1, 50))
+    named = {r["key_group"]: r["cancel_seq"] for r in dropped.collect()}
+    assert {named[m[0]] for m in moves if 1 in m[1:3]} == {50} and {named[m[0]] for m in moves if 1 not in m[1:3]} == {None}
+    assert cutover.drop_owner(dropped, 1, 70).where("cancel_seq > 50").count() == 0
+    job = run_hold(spark, ev, jobs.control_records(dropped, 2), [20, 40, 60], 2, cut, last=True)
+    want = cutover.hold_replay(with_groups(counts.running_count(ev)), dropped)
+    assert rows(job.result(spark), "seq", "n") == rows(want.where("n is not null"), "seq", "n")
