@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,18 +71,17 @@ def lookup_join(
     key meets a null key.
     """
     small = fits_broadcast(lookup, max_rows) if fits is None else fits
-    condition: list[str] | Column = on if small else [*on, "_salt"]
-    theirs = {f"_lookup_{c}": c for c in on}
+    theirs: dict[str, str] = {}
     if nulls_match:
+        theirs = {f"_lookup_{c}": c for c in on}
         lookup = lookup.withColumnsRenamed({c: name for name, c in theirs.items()})
-        condition = F.lit(True) if small else F.col("_salt") == F.col("_lookup_salt")
-        for name, c in theirs.items():
-            condition = condition & F.col(c).eqNullSafe(F.col(name))
+    same = [F.col(c).eqNullSafe(F.col(name)) for name, c in theirs.items()]
     if small:
-        joined = big.join(F.broadcast(lookup), condition, how)
-    else:
-        salt = "_lookup_salt" if nulls_match else "_salt"
-        salted = lookup.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        spread = big.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
-        joined = spread.join(salted, condition, how)
-    return joined.drop("_salt", "_lookup_salt", *theirs)
+        met: list[str] | Column = reduce(Column.__and__, same) if nulls_match else on
+        return big.join(F.broadcast(lookup), met, how).drop(*theirs)
+    salted = lookup.withColumn("_lookup_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    spread = big.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
+    if nulls_match:
+        met = reduce(Column.__and__, same, F.col("_salt") == F.col("_lookup_salt"))
+        return spread.join(salted, met, how).drop("_salt", "_lookup_salt", *theirs)
+    return spread.join(salted.withColumnRenamed("_lookup_salt", "_salt"), [*on, "_salt"], how).drop("_salt")
