@@ -29,6 +29,7 @@ from keyferry.sinks import tables as sinks
 from keyferry.sources import statestore, streams
 from keyferry.sources.tables import documents, records, with_groups
 from keyferry.streaming import jobs
+from keyferry.streaming.routes import RoutedStream, in_band
 from keyferry.streaming.totals import RunningTotals
 
 LANES = 8
@@ -476,12 +477,37 @@ def overrides_from_barriers(spark: SparkSession, d: str) -> DataFrame:
     return routing.overrides_from_barriers(inputs.barriers(spark, d))
 
 
-def route_effective(spark: SparkSession, d: str) -> DataFrame:
-    return _routed(spark, d).groupBy("key_group", "owner").agg(
+def _by_owner(routed: DataFrame) -> DataFrame:
+    return routed.groupBy("key_group", "owner").agg(
         F.count("*").alias("records"), F.min("seq").alias("min_seq"), F.max("seq").alias("max_seq")
     )
 
 
+def route_effective(spark: SparkSession, d: str) -> DataFrame:
+    return _by_owner(_routed(spark, d))
+
+
+def stream_route_effective(
+    spark: SparkSession, d: str, max_bytes: int = params.MICRO_BATCH_BYTES, parts: int = 3
+) -> DataFrame:
+    """As ``route_effective``, with the overrides in the stream: each comes ahead of the part of it that
+    it begins in."""
+    b = bounds(spark, d)
+    log = settle(inputs.override_log(inputs.barriers(spark, d)), "overrides")
+    rows = in_band(with_groups(records(spark, d).select("seq", "key")), log)
+    inbox, width = fresh_path(spark, "inbox"), b.max_seq // parts + 1
+    part = F.floor(F.coalesce(F.col("seq"), F.col("at_seq") + 1) / width)
+    for number in range(parts):
+        for kind in ("at_seq is not null", "at_seq is null"):
+            streams.land(rows.where(part == number).where(kind), inbox)
+    job = jobs.Job(
+        lambda s: streams.file_stream(s, inbox, rows.schema, max_bytes),
+        streams.stream_session(spark), name="routed",
+    )
+    job.run(RoutedStream(job.output, f"{job.root}/routes", delay=width))
+    return _by_owner(job.result(spark))
+
+
 # Barriers
 
 
@@ -983,7 +1009,7 @@ QUERIES = {
         apply_delta_stored, delete_group,
         state_equal, isolation_check, transfer_summary, abort_rollback,
         precopy_rounds, precopy_outcome, state_change_feed, precopy_from_changes, precopy_changes_outcome,
-        route_current, overrides_from_barriers, route_effective,
+        route_current, overrides_from_barriers, route_effective, stream_route_effective,
         affected_records, unaffected_records, plan_for_partition, barrier_fanout,
         barrier_arrivals, barrier_alignment, stream_alignment, migration_ready,
         hold_replay, stream_hold_replay, hold_cancel, stream_hold_cancel,

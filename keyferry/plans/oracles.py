@@ -383,6 +383,9 @@ WORDS = """w as (
 _WORD_COUNT = _q(WORDS, select="select w, count(*) as n from w where w <> '' group by 1")
 _RUNNING = _q(EV, RUNNING, select="select seq, key, n from counted")
 _ALIGNMENT = _q(EV, ARRIVALS, select="select * from alignment")
+_ROUTE = _q(EV, ROUTED, select="""
+select key_group, owner, count(*) as records, min(seq) as min_seq, max(seq) as max_seq
+from routed group by 1, 2""")
 _HOLD = _q(
     EV, HOLD, select="select seq, key, key_group, phase, owner, effective_seq, n from replayed"
 )
@@ -531,9 +534,8 @@ from range(128) t(g) left join (
     "overrides_from_barriers": _q(EV, BARRIERS, select="""
 select key_group, target, migration_id from items where not is_final
 qualify row_number() over (partition by key_group order by at_ts desc, pos desc) = 1"""),
-    "route_effective": _q(EV, ROUTED, select="""
-select key_group, owner, count(*) as records, min(seq) as min_seq, max(seq) as max_seq
-from routed group by 1, 2"""),
+    "route_effective": _ROUTE,
+    "stream_route_effective": _ROUTE,
     "affected_records": _q(EV, BARRIERS, select="""
 select key_group, count(*) as records from ev
 where key_group in (select key_group from items) group by 1"""),
