@@ -7,13 +7,14 @@ distinct bytes after t in all give n / (n + t)). A text's code length under a la
 its bytes, exactly as an arithmetic coder with these frozen statistics would need. The language
 with the shortest code wins; the score is its posterior with equal priors.
 
-With bounded contexts and frozen counts a byte's cost depends on the ``ORDER`` bytes before it alone, so the
-costs are laid out once as a table (context, byte, language), and texts are scored by array lookups.
-Bytes never met in training share one class.
+With bounded contexts and frozen counts a byte's cost depends on the ``ORDER`` bytes before it alone. So the costs
+of all runs of bytes that any language has seen are laid out once by order, next to the escapes of their
+contexts, and texts are scored by looking their runs up.
 
 Learning reads at most about ``SAMPLE`` documents a language, picked by a hash of their id and text,
-and of those whole texts. The model keeps the ``MAX_CONTEXTS`` most frequent longest contexts, so its size is
-bounded. Counting runs in Spark; only the model reaches the driver.
+and of those whole texts; every context of them is kept. Counting runs in Spark; only the model reaches the
+driver. It has a row per distinct run of up to ``ORDER`` + 1 bytes in that sample, and is not sent to executors if
+it takes more than ``MODEL_BYTES``: learning then needs a smaller sample.
 
 Rows: a null text, or one without a letter, is ``und`` with score 0. Documents of null language teach
 nothing. With nothing to learn from, all are ``und``. Ties go to the language first in order. Repeated rows
@@ -35,7 +36,7 @@ from keyferry.llm.words import row_blocks
 
 ORDER = 3
 SAMPLE = 1500
-MAX_CONTEXTS = 16_000
+MODEL_BYTES = 512 << 20
 UNKNOWN = "und"
 
 
@@ -93,81 +94,78 @@ def _grams(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
+def _find(sorted_codes: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each code is, and whether it is there."""
+    at = np.minimum(np.searchsorted(sorted_codes, codes), len(sorted_codes) - 1)
+    return at, sorted_codes[at] == codes
+
+
+class Tree:
+    """The contexts of one order: ``cost`` in bits of each byte met in a context (``runs`` holds both as one number,
+    the byte lowest), and ``escape`` of each context, by language."""
+
+    def __init__(self, order: int, grams: np.ndarray, n: np.ndarray, lang: np.ndarray, languages: int, below: Tree | None):
+        self.mask = (1 << 8 * (order + 1)) - 1
+        self.runs, at = np.unique(grams & self.mask, return_inverse=True)
+        count = np.zeros((len(self.runs), languages))
+        np.add.at(count, (at, lang), n)
+        self.contexts, first, of = np.unique(self.runs >> 8, return_index=True, return_inverse=True)
+        total, kinds = np.add.reduceat(count, first), np.add.reduceat(count > 0, first, dtype=np.int64)
+        lower = np.full(count.shape, 8.0)
+        if below:
+            lower = below.cost[_find(below.runs, self.runs & below.mask)[0]]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            # A context that a language has not met costs it nothing: it acts as the order below.
+            escape = np.where(total > 0, -np.log2(kinds / (total + kinds)), 0.0)
+            direct = -np.log2(count / (total + kinds)[of])
+        self.cost = np.where(count > 0, direct, escape[of] + lower).astype(np.float32)
+        self.escape = escape.astype(np.float32)
+
+    @property
+    def nbytes(self) -> int:
+        return sum(a.nbytes for a in (self.runs, self.contexts, self.cost, self.escape))
+
+
 class Model:
-    """Frozen code lengths: ``cost[context, class, language]`` in bits, and how to find a context."""
+    """Frozen code lengths by language, from (language, gram, count) rows."""
 
     def __init__(self, counts: list[tuple[str, int, int]]):
         self.langs = sorted({lang for lang, _, _ in counts})
+        number = {lang: i for i, lang in enumerate(self.langs)}
         grams = np.array([g for _, g, _ in counts], np.int64)
         n = np.array([c for _, _, c in counts], np.float64)
-        lang = np.array([self.langs.index(x) for x, _, _ in counts], np.int64)
-        seen = np.unique(np.concatenate([[0], *((grams >> 8 * k) & 255 for k in range(ORDER + 1))]))
-        # Class 0 is the place before a text, and the zero byte; the last one is all unseen bytes.
-        self.classes = len(seen) + 1
-        self.of_byte = np.full(256, self.classes - 1, np.int32)
-        self.of_byte[seen] = np.arange(len(seen))
-        parts = [self.of_byte[(grams >> 8 * k) & 255].astype(np.int64) for k in range(ORDER + 1)]
-        self._lay_out(parts, n, lang)
-
-    def _lay_out(self, parts: list[np.ndarray], n: np.ndarray, lang: np.ndarray) -> None:
-        """Costs by order; a context of order k is parts[k], ..., parts[1] and its byte parts[0]."""
-        c, languages = self.classes, len(self.langs)
-        cost = np.full((1, c, languages), 8.0, np.float32)
-        where = np.zeros(1, np.int64)  # context number of the order below, by context code
-        self.contexts = where
+        lang = np.array([number[x] for x, _, _ in counts], np.int64)
+        self.trees: list[Tree] = []
         for order in range(ORDER + 1):
-            code = np.zeros(len(n), np.int64)
-            for k in range(order, 0, -1):
-                code = code * c + parts[k]
-            used, first = np.unique(code, return_index=True)
-            if order == ORDER and len(used) > MAX_CONTEXTS:
-                weight = np.bincount(np.searchsorted(used, code), n)
-                top = np.sort(np.argsort(-weight, kind="stable")[:MAX_CONTEXTS])
-                used, first = used[top], first[top]
-            at = np.minimum(np.searchsorted(used, code), len(used) - 1)
-            kept = used[at] == code
-            here = np.empty((len(used), c, languages), np.float32)
-            below = where[used % (c ** max(order - 1, 0))] if order else np.zeros(1, np.int64)
-            for one in range(languages):
-                mine = kept & (lang == one)
-                count = np.zeros((len(used), c))
-                np.add.at(count, (at[mine], parts[0][mine]), n[mine])
-                total, kinds = count.sum(1, keepdims=True), (count > 0).sum(1, keepdims=True)
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    escape = np.where(total > 0, -np.log2(kinds / (total + kinds)), 0.0)
-                    direct = -np.log2(count / (total + kinds))
-                here[:, :, one] = np.where(count > 0, direct, escape + cost[below, :, one])
-            if order < ORDER:
-                # Contexts of this order that were never met act as the order below.
-                self._add(order, used, here, cost, where)
-                cost, where = self._cost, self._where
-            else:
-                self.contexts = where[np.arange(c**ORDER) % c ** max(ORDER - 1, 0)]
-                self.contexts[used] = len(cost) + np.arange(len(used))
-                self.contexts = self.contexts.astype(np.int32)
-                self.cost = np.concatenate([cost, here]).reshape(-1, languages)
-
-    def _add(self, order, used, here, cost, where) -> None:
-        c = self.classes
-        grown = where[np.arange(c**order) % c ** max(order - 1, 0)] if order else np.zeros(1, np.int64)
-        grown = grown.copy()
-        grown[used] = len(cost) + np.arange(len(used))
-        self._cost, self._where = np.concatenate([cost, here]), grown
+            below = self.trees[-1] if self.trees else None
+            self.trees.append(Tree(order, grams, n, lang, len(self.langs), below))
+
+    @property
+    def nbytes(self) -> int:
+        return sum(tree.nbytes for tree in self.trees)
 
     def code_lengths(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Bits of each row under each language."""
         out = np.zeros((len(offsets) - 1, len(self.langs)))
         for lo, hi in row_blocks(offsets, 500_000):
-            part = self.of_byte[data[offsets[lo] : offsets[hi]]]
             at = offsets[lo : hi + 1] - offsets[lo]
-            if len(part) == 0:
+            grams = _grams(data[offsets[lo] : offsets[hi]], at)
+            if len(grams) == 0:
                 continue
-            context = np.zeros(len(part), np.int32)
-            for back in range(ORDER, 0, -1):
-                context = context * self.classes + _history(part, at, back)
-            costs = self.cost[self.contexts[context] * self.classes + part]
+            # Each distinct run of the block is looked up once, in the longest context first.
+            grams, of = np.unique(grams, return_inverse=True)
+            costs = np.zeros((len(grams), len(self.langs)), np.float32)
+            left = np.arange(len(grams))
+            for tree in reversed(self.trees):
+                code = grams[left] & tree.mask
+                row, met = _find(tree.runs, code)
+                costs[left[met]] += tree.cost[row[met]]
+                left, code = left[~met], code[~met]
+                row, met = _find(tree.contexts, code >> 8)
+                costs[left[met]] += tree.escape[row[met]]
+            costs[left] += 8
             full = np.flatnonzero(at[1:] > at[:-1])
-            out[lo + full] = np.add.reduceat(costs, at[full], axis=0, dtype=np.float64)
+            out[lo + full] = np.add.reduceat(costs[of], at[full], axis=0, dtype=np.float64)
         return out
 
 
@@ -190,6 +188,8 @@ PREDICTION = T.StructType([T.StructField("lang", T.StringType()), T.StructField(
 
 def predictor(spark: SparkSession, model: Model | None):
     """A column function: text to (lang, score)."""
+    if model is not None and model.nbytes > MODEL_BYTES:
+        raise ValueError(f"the model takes {model.nbytes} bytes, over {MODEL_BYTES}; learn from a smaller sample")
     shared = spark.sparkContext.broadcast(model)
 
     @F.arrow_udf(PREDICTION)

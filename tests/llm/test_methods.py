@@ -134,6 +134,38 @@ def test_ppm_code_lengths_are_exact():
         assert np.allclose(got, want, rtol=1e-5)
 
 
+def test_ppm_keeps_every_context():
+    """Eight scripts with far more than 16,000 contexts of three bytes; frequent and single ones count alike."""
+    rng = np.random.default_rng(5)
+    texts = []
+    for lang, first in enumerate((0x61, 0x3B1, 0x430, 0x5D0, 0x627, 0x905, 0x10D0, 0x4E00)):
+        letters = np.array([*(chr(first + i) for i in range(60)), " "])
+        texts.append((f"l{lang}", "".join(rng.choice(letters, 12_000))))
+    batch = pa.record_batch([pa.array([a for a, _ in texts]), pa.array([b for _, b in texts])], names=["l", "t"])
+    rows = [r for out in langid._count_grams(iter([batch])) for r in zip(*(c.to_pylist() for c in out.columns), strict=True)]
+    model = langid.Model(sorted(rows))
+    assert len(model.trees[langid.ORDER].contexts) > 16_000
+    trees = {}
+    for lang, text in texts:
+        history = [0] * langid.ORDER
+        for byte in text.encode():
+            for order in range(langid.ORDER + 1):
+                context = tuple(history[langid.ORDER - order :])
+                trees.setdefault(lang, {}).setdefault(context, Counter())[byte] += 1
+            history = history[1:] + [byte]
+    probes = [text[k : k + 40] for k, (_, text) in enumerate(texts)] + ["abc αβγ xyz 12", ""]
+    got = model.code_lengths(*utf8_buffer(pa.array(probes)))
+    want = [[code_length(trees[lang], text.encode()) for lang in model.langs] for text in probes]
+    assert np.allclose(got, want, rtol=1e-5)
+
+
+def test_a_model_too_large_to_send_is_refused(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MODEL_BYTES", 100)
+    df = spark.createDataFrame([(1, "some text", "en")], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="smaller sample"):
+        langid.identify(df, langid.learn(df))
+
+
 def test_language_of_held_out_documents(spark):
     path = "/root/testdata/sf0.01"
     lang = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{path}/documents.parquet").collect()}
