@@ -4,9 +4,10 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
-from itertools import combinations
+from itertools import combinations, product
 
 import duckdb
 import numpy as np
@@ -511,6 +512,70 @@ def test_all_texts_of_a_seed_are_linked(spark, monkeypatch, block):
     assert {got[i]["spans"] for i in range(9)} == {"20:80"} and {got[i]["spans"] for i in (9, 10)} == {"10:70"}
 
 
+def some_pair(rng, most=90):
+    """Two texts of few words, the second often with a changed copy of the first's start."""
+    kinds = int(rng.choice([2, 5, 30, 400]))
+    a, b = (rng.integers(0, kinds, rng.integers(0, most)).astype(np.uint64) for _ in range(2))
+    n = min(len(a), len(b))
+    changed = rng.random(n) < 0.15
+    if rng.random() < 0.8:
+        b[:n] = np.where(changed, b[:n], a[:n])
+    return chains.Words(a), chains.Words(b)
+
+
+def test_segments_and_groups_equal_plain_loops():
+    rng = np.random.default_rng(11)
+    for _ in range(40):
+        one, two = some_pair(rng)
+        a, b = one.seeds.tolist(), two.seeds.tolist()
+        want = []
+        for y, x in product(range(len(b)), range(len(a))):
+            if a[x] == b[y] and not (x and y and a[x - 1] == b[y - 1]):
+                n = 0
+                while x + n < len(a) and y + n < len(b) and a[x + n] == b[y + n]:
+                    n += 1
+                want.append((x, y, n + chains.SEED - 1))
+        sa, sb, n = chains.segments(one.seeds, two.seeds)
+        assert list(zip(sa.tolist(), sb.tolist(), n.tolist(), strict=True)) == want
+        of = list(range(len(want)))
+        for i, j in combinations(range(len(want)), 2):
+            (xa, ya, na), (xb, yb, nb) = want[i], want[j]
+            near = ya + na >= yb - chains.GAP and xa + na >= xb - chains.GAP and xa <= xb + nb
+            if near and of[i] != of[j]:
+                of = [of[j] if o == of[i] else o for o in of]
+        plain = {tuple(i for i, o in enumerate(of) if o == root) for root in of}
+        assert {tuple(g.tolist()) for g in chains.groups(sa, sb, n)} == plain
+
+
+def test_alike_parts_equal_a_plain_search():
+    rng = np.random.default_rng(12)
+    for _ in range(60):
+        size = int(rng.integers(0, 120))
+        x, y = (np.sort(rng.choice(150, size, replace=False)) for _ in range(2))
+        found = set()
+        for i, j in combinations(range(size), 2):
+            longer, shorter = max(x[j] - x[i], y[j] - y[i]) + 1, min(x[j] - x[i], y[j] - y[i]) + 1
+            if shorter >= chains.LENGTH and j - i + 1 >= chains.SIMILARITY * longer - 1e-9:
+                found.update(range(i, j + 1))
+        got = chains.parts_alike(x, y)
+        assert set().union(*(range(i, j + 1) for i, j in got)) == found
+
+
+def test_repetitive_texts_are_cheap():
+    """One word throughout, and one line between other words: work grows with what can be a passage."""
+    same = [chains.Words(np.full(2_000, 7, np.uint64)) for _ in range(2)]
+    assert [p[:4] for p in chains.passages_of(*same)] == [(0, 2_000, 0, 2_000)]
+    rng = np.random.default_rng(13)
+    line = rng.integers(0, 1 << 60, 12)
+    lined = [
+        chains.Words(np.concatenate([np.append(line, rng.integers(0, 1 << 60, 20)) for _ in range(240)]).astype(np.uint64))
+        for _ in range(2)
+    ]
+    begun = time.process_time()
+    assert chains.passages_of(*lined) == []
+    assert time.process_time() - begun < 5
+
+
 def test_parts_of_a_failing_chain_are_kept():
     rng = np.random.default_rng(5)
     noise = lambda n: rng.integers(1, 2**62, n).astype(np.uint64)
