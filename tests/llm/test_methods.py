@@ -576,6 +576,46 @@ def test_repetitive_texts_are_cheap():
     assert time.process_time() - begun < 5
 
 
+def test_only_texts_with_a_partner_are_carried(spark, monkeypatch):
+    """Lines of which any two texts have one in common bring all of them together, but no two are compared."""
+    rng = random.Random(17)
+    noise = lambda n: [spelled(rng) for _ in range(n)]
+    lines, passage = [[noise(4) for _ in range(7)] for _ in range(7)], noise(60)
+    texts = [noise(30) + sum((lines[x][(m * x + c) % 7] for x in range(7)), []) + noise(30) for m in range(7) for c in range(7)]
+    texts += [noise(20) + passage + noise(5) for _ in range(2)]
+    written, settle = {}, chains.settle
+    monkeypatch.setattr(chains, "settle", lambda df, name: written.setdefault(name, settle(df, name)))
+    got = fuzzy_rows(spark, texts)
+    assert {i: (r["n_links"], r["spans"]) for i, r in got.items()} == {49: (1, "20:80"), 50: (1, "20:80")}
+    assert written["classes"].select("t").distinct().count() == 51
+    assert written["chained"].count() == 2
+
+
+def test_seeds_find_their_equals_over_flushes(spark, monkeypatch):
+    """Texts of other flushes, places beyond 16 bits, copies and a text without seeds."""
+    monkeypatch.setattr(chains, "FLUSH", 100)
+    rng = random.Random(18)
+    noise = lambda n: [spelled(rng) for _ in range(n)]
+    passage = noise(60)
+    texts = [noise(70_000) + passage, noise(40), noise(10) + passage, [], noise(2), noise(80)]
+    got = fuzzy_rows(spark, [*texts, texts[2], texts[5]])
+    want = {0: (0, 1, "70000:70060"), 2: (0, 1, "0:70"), 6: (0, 1, "0:70"), 5: (5, 0, "0:80"), 7: (5, 0, "0:80")}
+    assert {i: (r["class_id"], r["n_links"], r["spans"]) for i, r in got.items()} == want
+
+
+def test_runs_of_a_word_give_few_passages():
+    """A chain for every shift of the runs; those between two that were told add nothing."""
+    rng = np.random.default_rng(19)
+    one, two = (
+        chains.Words(np.concatenate([rng.integers(8, 1 << 60, 40), np.full(n, 7), rng.integers(8, 1 << 60, 40)]).astype(np.uint64))
+        for n in (100, 950)
+    )
+    found = chains.passages_of(one, two)
+    covered = [set().union(*(range(p[k], p[k + 1]) for p in found)) for k in (0, 2)]
+    assert covered == [set(range(40, 140)), set(range(40, 990))]
+    assert len(found) < 60
+
+
 def test_parts_of_a_failing_chain_are_kept():
     rng = np.random.default_rng(5)
     noise = lambda n: rng.integers(1, 2**62, n).astype(np.uint64)
