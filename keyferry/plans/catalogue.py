@@ -861,9 +861,10 @@ def state_handoff(spark: SparkSession, d: str) -> DataFrame:
 def _value_fold(state: tuple, record: Row) -> tuple:
     """Number, sum in cents and maximum so far."""
     n, cents, most = state
-    if record.cents is None:
+    own = record.cents
+    if own is None:
         return n + 1, cents, most
-    return n + 1, cents + record.cents, record.cents if most is None else max(most, record.cents)
+    return n + 1, cents + own, own if most is None or own > most else most
 
 
 VALUE_STATE, VALUE_START = "n long, cents long, most long", (0, 0, None)

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Callable, Iterator
+from operator import itemgetter
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -164,29 +165,40 @@ class HoldReplay(StatefulProcessor):
         group = key[0]
         before = tuple(self.move.get() or (None,) * 6)
         move, last = before[:5], before[5]
+        # A lane without values needs not ask for that of each key.
+        self.fresh = not self.counts.exists()
         values: dict[str, tuple] = {}
         waiting: list[Row] = []
+        seen, plan, pick = None, self._plan(move), None
         for r in rows:
-            news = (r.source, r.target, r.flip_seq, r.release_seq, r.cancel_seq)
-            known = tuple(old if new is None else new for new, old in zip(news, move))
-            if known != move:
-                ended = self._end(move) is None and self._end(known) is not None
-                move = known
-                if ended:
-                    self._hold(waiting)
-                    yield from self._drain(group, move, values)
-            if r.control:
+            if pick is None:
+                # Rows give their columns by place: looking up each by name takes most of a record's time.
+                place = r.__fields__.index
+                pick = itemgetter(*map(place, MOVE)), itemgetter(*map(place, self.columns)), place("control"), place("seq")
+            r = tuple(r)
+            if (news := pick[0](r)) != seen:
+                seen = news
+                known = tuple(old if new is None else new for new, old in zip(news, move))
+                if known != move:
+                    ended = self._end(move) is None and self._end(known) is not None
+                    move, plan = known, self._plan(known)
+                    if ended:
+                        self._hold(waiting)
+                        yield from self._drain(group, plan, values)
+            if r[pick[2]]:
                 continue
-            if last is not None and r.seq <= last:
-                raise ValueError(f"record {r.seq} of group {group} came after record {last}")
-            last = r.seq
-            record = self.record(*(r[c] for c in self.columns))
-            if self._phase(move, r.seq) == "held" and self._end(move) is None:
+            seq = r[pick[3]]
+            if last is not None and seq <= last:
+                raise ValueError(f"record {seq} of group {group} came after record {last}")
+            last = seq
+            record = self.record(*pick[1](r))
+            flip, end = plan[:2]
+            if end is None and flip is not None and seq > flip:
                 waiting.append(record)
                 if len(waiting) == CHUNK:
                     self._hold(waiting)
             else:
-                yield self._emit(group, move, record, values)
+                yield self._emit(group, plan, record, values)
         self._hold(waiting)
         self._store(values)
         if (*move, last) != before:
@@ -198,27 +210,29 @@ class HoldReplay(StatefulProcessor):
         _, _, _, release, cancel = move
         return release if cancel is None or (release is not None and release <= cancel) else cancel
 
-    def _phase(self, move: tuple, seq: int) -> str:
-        _, _, flip, release, cancel = move
+    def _plan(self, move: tuple) -> tuple:
+        """Flip, end, whether that is a cancellation, source and target of a move."""
+        source, target, flip, release, cancel = move
         end = self._end(move)
-        cancelled = end is not None and end == cancel and end != release
-        if flip is None or (cancelled and seq > end):
-            return "other"
-        if seq <= flip:
-            return "pre"
-        return "held" if end is None or seq <= end else "live"
-
-    def _emit(self, group: int, move: tuple, r: Row, values: dict[str, tuple]) -> Row:
-        source, target, _, release, cancel = move
-        phase, end = self._phase(move, r.seq), self._end(move)
-        back = end is not None and end == cancel and end != release
-        owner = {"other": r.owner, "pre": source, "held": source if back else target}.get(phase, target)
-        effective = end if phase == "held" else r.seq
-        return self.row(r.seq, r.key, group, phase, owner, effective, *self._next(r, values))
-
-    def _drain(self, group: int, move: tuple, values: dict[str, tuple]) -> Iterator[Row]:
+        return flip, end, end is not None and end == cancel and end != release, source, target
+
+    def _emit(self, group: int, plan: tuple, r: Row, values: dict[str, tuple]) -> Row:
+        flip, end, back, source, target = plan
+        seq, key, owner = r[:3]
+        effective = seq
+        if flip is None or (back and seq > end):
+            phase = "other"
+        elif seq <= flip:
+            phase, owner = "pre", source
+        elif end is None or seq <= end:
+            phase, owner, effective = "held", source if back else target, end
+        else:
+            phase, owner = "live", target
+        return self.row(seq, key, group, phase, owner, effective, *self._next(key, r, values))
+
+    def _drain(self, group: int, plan: tuple, values: dict[str, tuple]) -> Iterator[Row]:
         for held in self.held.get():
-            yield self._emit(group, move, self.record(*held), values)
+            yield self._emit(group, plan, self.record(*held), values)
         self.held.clear()
 
     def _hold(self, waiting: list[Row]) -> None:
@@ -226,13 +240,13 @@ class HoldReplay(StatefulProcessor):
             self.held.appendList([tuple(r) for r in waiting])
             waiting.clear()
 
-    def _next(self, record: Row, values: dict[str, tuple]) -> tuple:
-        key = record.key
+    def _next(self, key: str, record: Row, values: dict[str, tuple]) -> tuple:
         value = values.get(key)
         if value is None:
             if len(values) >= CHUNK:
                 self._store(values)
-            value = self.counts.getValue((key,))
+                self.fresh = False
+            value = None if self.fresh else self.counts.getValue((key,))
             value = self.start if value is None else tuple(value)
         values[key] = value = tuple(self.fold(value, record))
         return value

@@ -1,11 +1,15 @@
+from types import SimpleNamespace
+
 from conftest import rows, stream
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from keyferry.operators import counts, cutover, integrity, state as st
 from keyferry.scratch import settle
 from keyferry.sources.tables import with_groups
+from keyferry.streaming import processors
 
 CUT = "key_group int, source int, target int, flip_seq long, release_seq long"
 
@@ -149,3 +153,64 @@ def test_without_release_records_wait(spark):
         (0, "pre", 0, 1), (2, "pre", 2, 2),
         (4, "held", None, None), (6, "held", None, None), (8, "held", None, None),
     ]
+
+
+class Lane:
+    """State of one lane in memory, with the number of times a key was asked for."""
+
+    def __init__(self):
+        self.values, self.records, self.known, self.asked = {}, [], None, 0
+
+    def getMapState(self, name, key, value):
+        return self
+
+    def getListState(self, name, value):
+        return self
+
+    def getValueState(self, name, value):
+        lane = self
+        return SimpleNamespace(get=lambda: lane.known, update=lambda move: setattr(lane, "known", move))
+
+    def exists(self):
+        return bool(self.values)
+
+    def getValue(self, key):
+        self.asked += 1
+        return self.values.get(key)
+
+    def updateValue(self, key, value):
+        self.values[key] = value
+
+    def appendList(self, rows):
+        self.records += rows
+
+    def get(self):
+        return iter(self.records)
+
+    def clear(self):
+        self.records = []
+
+
+def test_a_lane_without_values_asks_for_none(monkeypatch):
+    """Columns come in any order; a lane that has nothing yet reads no key, also when its values are written in parts."""
+    columns = ["lane", "seq", "key", "cents", "owner", "control", "key_group", *processors.MOVE]
+    row = Row(*columns)
+    rows = [row(0, i, f"k{i % 7}", i, 3, False, 5, 0, 1, 20, 40 if i > 50 else None, None) for i in range(60)]
+    lane, out = Lane(), []
+    processor = processors.HoldReplay(lambda s, r: (s[0] + r.cents,), "cents long", (0,), "cents long")
+    processor.init(lane)
+    out += processor.handleInputRows((5, 0), iter(rows[:30]), None)
+    assert lane.asked == 0 and len(lane.records) == 9
+    out += processor.handleInputRows((5, 0), iter(rows[30:]), None)
+    assert lane.asked == 7
+    so_far, want = {}, []
+    for i in range(60):
+        so_far[i % 7] = so_far.get(i % 7, 0) + i
+        phase, owner, at = ("pre", 0, i) if i <= 20 else ("held", 1, 40) if i <= 40 else ("live", 1, i)
+        want.append((i, f"k{i % 7}", 5, phase, owner, at, so_far[i % 7]))
+    assert sorted(map(tuple, out)) == want
+    monkeypatch.setattr(processors, "CHUNK", 3)
+    small = Lane()
+    processor.init(small)
+    again = [*processor.handleInputRows((5, 0), iter(rows[:30]), None), *processor.handleInputRows((5, 0), iter(rows[30:]), None)]
+    assert sorted(map(tuple, again)) == want
