@@ -616,6 +616,68 @@ def test_runs_of_a_word_give_few_passages():
     assert len(found) < 60
 
 
+def texts_met(texts):
+    """Links, and covered words of each text, if every two of these lists of words meet in one block."""
+    rows = [(0, 0, 0, k, list(range(k)), " ".join(map(str, t))) for k, t in enumerate(texts)]
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.string()]
+    columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), types, strict=True)]
+    links, covered = set(), [set() for _ in texts]
+    for batch in chains._meet(iter([pa.record_batch(columns, names=["head", "i", "j", "t", "others", "text"])])):
+        for a, b, a_start, a_end, b_start, b_end, similarity in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            assert min(a_end - a_start, b_end - b_start) >= chains.LENGTH and similarity >= chains.SIMILARITY - 1e-9
+            links.add((a, b))
+            covered[a].update(range(a_start, a_end))
+            covered[b].update(range(b_start, b_end))
+    return links, covered
+
+
+def test_a_block_gives_the_links_and_places_of_its_pairs(monkeypatch):
+    """Near copies, moved and edited passages, runs of a word, few and many different words, and nothing in common."""
+    rng = np.random.default_rng(23)
+    for _ in range(12):
+        kinds = int(rng.choice([4, 40, 4_000]))
+        base, other = rng.integers(0, kinds, 160), rng.integers(0, kinds, 90)
+        texts = [rng.integers(0, kinds, rng.integers(3, 300)) for _ in range(3)]
+        for rate in (0.01, 0.03, 0.06, 0.1, 0.15):
+            changed = np.where(rng.random(160) < rate, rng.integers(0, kinds, 160), base)
+            texts += [changed, np.delete(changed, rng.integers(0, 160, 3)), np.concatenate([other, changed[:70], other[:30]])]
+        runs = [np.full(rng.integers(10, 120), w) for w in rng.integers(0, 3, 12)]
+        texts += [np.concatenate(runs[k : k + 3]) for k in range(0, 12, 3)] + [np.concatenate([runs[0], base[:80], runs[1]])]
+        texts = [texts[k] for k in rng.permutation(len(texts))]
+        words = list(chains._hashes(pa.array([" ".join(map(str, t)) for t in texts])))
+        links, covered = set(), [set() for _ in texts]
+        for b, a in ((b, a) for b in range(len(texts)) for a in range(b)):
+            for a_start, a_end, b_start, b_end, _ in chains.passages_of(chains.Words(words[a]), chains.Words(words[b])):
+                links.add((a, b))
+                covered[a].update(range(a_start, a_end))
+                covered[b].update(range(b_start, b_end))
+        assert texts_met(texts) == (links, covered)
+        assert links
+        monkeypatch.setattr(chains, "PART_WORDS", int(rng.choice([200, 1_000, 300_000])))
+
+
+def test_near_copies_are_not_all_aligned(monkeypatch):
+    """Of a family of near copies most pairs are told by words in a row; the others need a piece of an alignment."""
+    gaps, matches = [], chains._matches
+    monkeypatch.setattr(chains, "_matches", lambda a, b: gaps.append(1) or matches(a, b))
+    rng = np.random.default_rng(24)
+    base = rng.integers(0, 5_000, 400)
+    texts = [np.where(rng.random(400) < 0.04, rng.integers(5_000, 9_000, 400), base) for _ in range(60)]
+    links, covered = texts_met(texts)
+    assert len(links) == 60 * 59 / 2 and min(map(len, covered)) > 390
+    # All 1,770 alignments look into 9,793 gaps.
+    assert len(gaps) < 6_000
+
+
+def test_numbers_in_common_are_counted():
+    rng = np.random.default_rng(25)
+    n = rng.integers(0, 30, 12)
+    sets = [rng.integers(0, 60, k).tolist() for k in n]
+    got = [chains._together(np.concatenate(sets).astype(np.int64), n, limit) for limit in (7, 1 << 16)]
+    want = [[sum(v in two for v in one) for two in sets] for one in sets]
+    assert [g.tolist() for g in got] == [want, want]
+
+
 def test_parts_of_a_failing_chain_are_kept():
     rng = np.random.default_rng(5)
     noise = lambda n: rng.integers(1, 2**62, n).astype(np.uint64)
@@ -630,6 +692,20 @@ def test_parts_of_a_failing_chain_are_kept():
     assert {p for k in (0, 70, 140) for p in range(k, k + 50)} <= covered
 
 
+def test_groups_taken_one_after_another_give_the_same(spark, monkeypatch):
+    """Texts that meet in many groups, sent in passes of few rows."""
+    rng = random.Random(26)
+    noise = lambda n: [spelled(rng) for _ in range(n)]
+    passages = [noise(60) for _ in range(6)]
+    texts = [noise(9) + passages[k % 6] + noise(9) + passages[(k * 5 + 1) % 6] for k in range(14)]
+    once = fuzzy_rows(spark, texts)
+    monkeypatch.setattr(chains, "PASS_ROWS", 12)
+    written, settle = [], chains.settle
+    monkeypatch.setattr(chains, "settle", lambda df, name: written.append(name) or settle(df, name))
+    assert fuzzy_rows(spark, texts) == once and set(once) == set(range(14))
+    assert written.count("pairs") > 1
+
+
 def test_substituted_words_leave_enough_seeds(spark):
     rng = random.Random(8)
     noise = lambda n: [spelled(rng) for _ in range(n)]
