@@ -692,6 +692,43 @@ def test_parts_of_a_failing_chain_are_kept():
     assert {p for k in (0, 70, 140) for p in range(k, k + 50)} <= covered
 
 
+def test_texts_with_enough_common_seeds_meet():
+    """Whatever else two texts have and however frequent seeds are, ``SUPPORT`` common ones in a window have two in common."""
+    rng = np.random.default_rng(27)
+    for _ in range(400):
+        common = rng.choice(2**31, chains.SUPPORT, replace=False)
+        if rng.random() < 0.3:
+            common[rng.integers(0, chains.SUPPORT, 5)] = common[0]
+        level = {k: int(rng.integers(0, 4)) for k in common[rng.random(chains.SUPPORT) < rng.random()].tolist()}
+        met, texts = [], []
+        for _ in range(2):
+            at = np.sort(rng.choice(chains.WINDOW, chains.SUPPORT, replace=False)) + rng.integers(0, 200)
+            seeds = dict(zip(rng.integers(0, 300, 60).tolist(), rng.integers(2**31, 2**32, 60).tolist(), strict=True))
+            seeds |= dict(zip(at.tolist(), common.tolist(), strict=True))
+            places = np.array(sorted(seeds))
+            kinds = np.array([seeds[p] for p in places.tolist()], np.uint32)
+            often = np.array([level.get(k, int(k % 4) if k >= 2**31 else 0) for k in kinds.tolist()], np.int8)
+            first, second = chains.twos(kinds, places + chains.WINDOW, often)
+            met.append(set(zip(kinds[first].tolist(), kinds[second].tolist(), strict=True)))
+            texts.append((kinds.view(np.int32), places))
+        assert met[0] & met[1]
+        one = np.array([[False, True], [False, False]])
+        assert (chains._beside(*map(list, zip(*texts, strict=True)), one) == one).all()
+
+
+def test_near_copies_give_a_row_each(spark, monkeypatch):
+    """Links of a family of near copies are counted where they meet, not written one by one."""
+    rng = random.Random(29)
+    base = [spelled(rng) for _ in range(150)]
+    texts = [[spelled(rng) if rng.random() < 0.02 else w for w in base] for _ in range(40)]
+    written, settle = {}, chains.settle
+    monkeypatch.setattr(chains, "settle", lambda df, name: written.setdefault(name, settle(df, name)))
+    got = fuzzy_rows(spark, texts)
+    different = len(set(map(tuple, texts)))
+    assert {(r["class_id"], r["n_links"]) for r in got.values()} == {(0, different - 1)} and len(got) == 40
+    assert written["passages"].count() <= 120
+
+
 def test_groups_taken_one_after_another_give_the_same(spark, monkeypatch):
     """Texts that meet in many groups, sent in passes of few rows."""
     rng = random.Random(26)
